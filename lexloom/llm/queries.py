@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch_path, table
+from .mixing import mix_sources
 from .token_counts import token_prefixes
+from .token_store import read_token_shards, write_token_shards
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +17,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written as shards in the shared folder and read back."""
+    folder = scratch_path(spark, "token-shards")
+    write_token_shards(table(spark, sf_dir, "documents"), folder, end_id=2)
+    return read_token_shards(spark, folder)
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents, and how often, a mix of all sources by weight takes."""
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op6_token_store": op6_token_store,
+    "op9_mix_sources": op9_mix_sources,
 }
 ORACLE_SQL: dict[str, str] = {}
