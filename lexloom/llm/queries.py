@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table
+from .language import predict_language, train_language
 from .mixing import mix_sources
 from .token_counts import token_prefixes
 from .token_store import read_token_shards, write_token_shards
+from .url_rules import judge_urls
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def held_out(key: Column) -> Column:
+    """Whether a document is left out of training: crc32 of its id as text, mod 4, is 2."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = train_language(docs.filter(~held_out(F.col("doc_id"))))
+    found = predict_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written as shards in the shared folder and read back."""
     folder = scratch_path(spark, "token-shards")
@@ -30,9 +45,49 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+#: The rules of the contract: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_language": op5_language,
     "op6_token_store": op6_token_store,
+    "op8_url_rules": op8_url_rules,
     "op9_mix_sources": op9_mix_sources,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_OP8_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), fits AS (
+  SELECT *, host = 'com' OR host LIKE '%.com' AS is_com, host = 'example.com' OR host LIKE '%.example.com' AS is_example,
+         host = 'www.example.com' OR host LIKE '%.www.example.com' AS is_www, host = 'net' OR host LIKE '%.net' AS is_net FROM named
+), ruled AS (
+  SELECT page_id, host, path,
+    CASE WHEN is_www AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN is_example AND path LIKE '/en/%' THEN 'example.com/en/'
+         WHEN is_com AND path LIKE '/%' THEN 'com/' WHEN is_net AND path LIKE '/es/%' THEN 'net/es/'
+         WHEN is_net AND path LIKE '/fr/%' THEN 'net/fr/' END AS rule FROM fits
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_url_rules": _OP8_SQL,
+}
