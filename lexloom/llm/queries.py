@@ -10,9 +10,16 @@ from .language import predict_language, train_language
 from .mixing import mix_sources
 from .token_counts import token_prefixes
 from .token_store import read_token_shards, write_token_shards
+from .top_k import exact_top_k
+from .toxicity import predict_chain, train_chain
 from .url_rules import judge_urls
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all vectors to each whose id is divisible by 50."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document, and whether they are over 512."""
     counts = token_prefixes(table(spark, sf_dir, "documents"), keep_steps=False)
@@ -45,6 +52,14 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of low quality and, after it in the chain, of toxicity."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    found = predict_chain(docs, train_chain(docs, labels, ["low_quality", "toxic"]))
+    return found.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 #: The rules of the contract: host, path, verdict.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -62,13 +77,27 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op3_token_counts": op3_token_counts,
     "op5_language": op5_language,
     "op6_token_store": op6_token_store,
+    "op7_toxicity": op7_toxicity,
     "op8_url_rules": op8_url_rules,
     "op9_mix_sources": op9_mix_sources,
 }
 
+_OP1_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
 _OP8_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
@@ -89,5 +118,6 @@ SELECT page_id, host, path, rule,
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_top_k": _OP1_SQL,
     "op8_url_rules": _OP8_SQL,
 }
