@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import scratch_path, table
 from .language import predict_language, train_language
 from .mixing import mix_sources
+from .near_dup import near_duplicates
 from .token_counts import token_prefixes
 from .token_store import read_token_shards, write_token_shards
 from .top_k import exact_top_k
@@ -20,6 +21,11 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies that every document is in."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document, and whether they are over 512."""
     counts = token_prefixes(table(spark, sf_dir, "documents"), keep_steps=False)
@@ -78,6 +84,7 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_top_k": op1_top_k,
+    "op2_near_dup": op2_near_dup,
     "op3_token_counts": op3_token_counts,
     "op5_language": op5_language,
     "op6_token_store": op6_token_store,
