@@ -11,6 +11,8 @@ import json
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: White space as the tokenizer's pattern knows it (Unicode White_Space).
@@ -27,7 +29,7 @@ UNITS = regex.compile(
 _EDGE = regex.compile(rf"\A[{_WS}]|[{_WS}]\Z")
 _RUN = regex.compile(rf"[{_WS}]{{2}}")
 #: Units of one generation; a worker keeps two generations of them.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 700_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -40,9 +42,12 @@ def byte_letters() -> dict[str, int]:
 class UnitStore:
     """Bytes for every text, joined from what `work` gives for its units."""
 
+    #: What the bytes are: ids, or steps.
+    item = "<u4"
+
     def __init__(self, specials: tuple[str, ...]):
-        self.after_space: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
+        self.after_space: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.other: dict[str, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
 
@@ -50,22 +55,28 @@ class UnitStore:
         """The bytes of units."""
         raise NotImplementedError
 
-    def fill(self, texts: list[str]) -> None:
-        """Works out the units that `texts` bring and that are not yet known."""
+    def learn(self, names: list[str]) -> list[bytes | None]:
+        """The bytes of units that follow a space, worked out where not yet known. None: a unit
+        that begins or ends in white space, so that what is beside it counts."""
         if len(self.after_space) > KEPT_UNITS:
             self.before, self.after_space = self.after_space, {}
-        held, old, new = self.after_space, self.before, set()
-        for text in texts:
-            new.update(text.split(" ")[1:])
-        fresh = [x for x in new if x not in held]
-        if old:
-            held.update({x: old[x] for x in fresh if x in old})
-            fresh = [x for x in fresh if x not in held]
-        held.update(dict.fromkeys(x for x in fresh if x == "" or _EDGE.search(x)))
-        fresh = [x for x in fresh if x not in held]
+        held, old = self.after_space, self.before
+        out = list(map(held.get, names))
+        gaps = [i for i, x in enumerate(out) if x is None]
+        fresh = []
+        for i in gaps:
+            x = names[i]
+            if x == "" or _EDGE.search(x):
+                continue
+            if x in old:
+                out[i] = held[x] = old[x]
+            else:
+                fresh.append(i)
         for at in range(0, len(fresh), 50_000):
             part = fresh[at : at + 50_000]
-            held.update(zip(part, self.work([" " + x for x in part]), strict=True))
+            for i, value in zip(part, self.work([" " + names[i] for i in part]), strict=True):
+                out[i] = held[names[i]] = value
+        return out
 
     def slow(self, text: str) -> bytes:
         found = UNITS.findall(text)
@@ -76,25 +87,64 @@ class UnitStore:
             self.other.update(zip(new, self.work(new), strict=True))
         return b"".join(map(self.other.__getitem__, found))
 
+    def plains(self, texts: list[str]) -> list[bytes]:
+        """The bytes of texts without special strings. Each different unit of the batch is looked
+        up once."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        flat = lists.values.dictionary_encode()
+        index, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        inner = np.ones(len(index), bool)
+        inner[offsets[:-1]] = False
+        used = np.zeros(len(names), bool)
+        used[index[inner]] = True
+        wanted = np.flatnonzero(used)
+        found = self.learn([names[i] for i in wanted])
+        units: list[bytes] = [b""] * len(names)
+        edge = np.zeros(len(names) + len(texts), bool)
+        for i, x in zip(wanted.tolist(), found, strict=True):
+            if x is None:
+                edge[i] = True
+            else:
+                units[i] = x
+        single = np.diff(offsets) == 1
+        for k, i in enumerate(index[offsets[:-1]].tolist()):
+            head = names[i]
+            if not single[k] and (head == "" or _EDGE.search(head)):
+                edge[len(units)] = True
+                units.append(b"")
+            else:
+                units.append(self.slow(head) if head else b"")
+        index[offsets[:-1]] = len(names) + np.arange(len(texts))
+        blob = np.frombuffer(b"".join(units), self.item)
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // blob.itemsize
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[index]
+        ends = np.cumsum(n)
+        kind = np.int32 if max(len(blob), int(ends[-1])) < 1 << 31 else np.int64
+        at = np.repeat((begin[index] - (ends - n)).astype(kind), n)
+        at += np.arange(ends[-1], dtype=kind)
+        raw = blob.take(at).tobytes()
+        cuts = (np.concatenate([[0], ends])[offsets] * blob.itemsize).tolist()
+        out = [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+        if edge.any():
+            for k in np.flatnonzero(np.add.reduceat(edge[index], offsets[:-1])):
+                out[k] = self.slow(texts[k])
+        return out
+
     def plain(self, text: str) -> bytes:
-        """The bytes of a text without special strings."""
-        head, *rest = text.split(" ")
-        held = self.after_space
-        if rest and (head == "" or _EDGE.search(head)):
-            return self.slow(text)
-        try:
-            tail = b"".join(map(held.__getitem__, rest))
-        except KeyError:
-            self.fill([text])
-            return self.plain(text)
-        except TypeError:  # a unit with white space at its edge: what is beside it counts
-            return self.slow(text)
-        return (self.slow(head) if head else b"") + tail
+        return self.plains([text])[0]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        self.fill(texts)
         find = self.special
-        return [self.marked(x) if find is not None and find.search(x) else self.plain(x) for x in texts]
+        odd = [k for k, x in enumerate(texts) if find is not None and find.search(x)]
+        marked = set(odd)
+        out = self.plains([x for k, x in enumerate(texts) if k not in marked]) if odd else self.plains(texts)
+        for k in odd:
+            out.insert(k, self.marked(texts[k]))
+        return out
 
     def marked(self, text: str) -> bytes:
         """The bytes of a text that holds special strings."""
@@ -147,6 +197,8 @@ class PrefixCounts(UnitStore):
     Pieces of like length are worked out together, as rows of a matrix. Tokens are numbered by
     the order of the merges that make them, single bytes first."""
 
+    item = "<i2"
+
     def __init__(self, path: str):
         held = _file(path)
         super().__init__(tuple(t["content"] for t in held["added_tokens"]))

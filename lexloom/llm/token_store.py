@@ -71,7 +71,7 @@ def write_token_shards(
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "seq", "before", "n_ids", "doc_keys", "lengths", "blob"])
 
         for whole in batches:
-            for batch in slices(whole.select(["_key", "_text"]), "_text", 4 << 20):
+            for batch in slices(whole.select(["_key", "_text"]), "_text", 8 << 20):
                 for k, ids in zip(batch.column("_key").to_pylist(), store.batch(batch.column("_text").to_pylist()), strict=True):
                     keys.append(k)
                     held.append(ids + end)
