@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     shared = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     rows = written(buckets.join(shared, "bucket").select("bucket", "rep", "n", F.col("centre.rep").alias("centre"), F.col("centre.n").alias("centre_n"), "members"), "buckets")
     near = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-    links = verified(docs, key, text, words, percent, rows.filter(near & (F.col("rep") <> F.col("centre"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    links = verified(docs, key, text, words, percent, rows.filter(near & (F.col("rep") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
     roots = components(links)
     for turn in range(ROUNDS):
         pairs = written(split_pairs(rows, roots, turn, percent), "pairs")
@@ -142,9 +142,9 @@ def split_pairs(rows: DataFrame, roots: DataFrame, turn: int, percent: int) -> D
     place = F.pmod(F.xxhash64("rep", "bucket"), F.lit(1 << ROUNDS))
     due = (place >= (0 if turn == 0 else 1 << turn)) & (place < (1 << (turn + 1)))
     due = due | (F.col("members") <= SMALL) if turn == 0 else due & (F.col("members") > SMALL)
-    probe = split.filter((F.col("root") <> F.col("main")) & due).select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
+    probe = split.filter((F.col("root") != F.col("main")) & due).select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
     near = F.least("n", "x_n") * 100 >= F.greatest("n", "x_n") * percent
-    met = split.filter("rep <> centre").join(probe, "bucket").filter((F.col("root") <> F.col("x_root")) & near)
+    met = split.filter("rep <> centre").join(probe, "bucket").filter((F.col("root") != F.col("x_root")) & near)
     return met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
 
 
