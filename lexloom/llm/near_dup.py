@@ -63,7 +63,7 @@ def set_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text", 4 << 20):
+            for batch in slices(whole, "_text", 1 << 20):
                 texts = batch.column("_text").to_pylist()
                 s, of = shingles(word_hashes(texts, lower=True), words)
                 n = np.bincount(of, minlength=len(texts))
@@ -88,7 +88,7 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text", 4 << 20):
+            for batch in slices(whole, "_text", 1 << 20):
                 texts = batch.column("_text").to_pylist()
                 s, of = shingles(word_hashes(texts, lower=True), words)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts whose texts have about `most` bytes; a longer text is a part of its own."""
-    sizes = np.cumsum(np.array([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()], np.int64)) // most
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     at = 0
     for end in [*(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]:
         if end > at:
