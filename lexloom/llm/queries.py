@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table
+from .decontam import contaminated
 from .language import predict_language, train_language
 from .mixing import mix_sources
 from .near_dup import near_duplicates
@@ -82,6 +83,12 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, the items, and where."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_near_dup": op2_near_dup,
@@ -91,6 +98,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_url_rules": op8_url_rules,
     "op9_mix_sources": op9_mix_sources,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 _OP1_SQL = """
