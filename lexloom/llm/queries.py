@@ -10,6 +10,7 @@ from .decontam import contaminated
 from .language import predict_language, train_language
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .substrings import remove_repeats
 from .token_counts import token_prefixes
 from .token_store import read_token_shards, write_token_shards
 from .top_k import exact_top_k
@@ -33,6 +34,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 35 words that stand elsewhere too."""
+    return remove_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
 def held_out(key: Column) -> Column:
     """Whether a document is left out of training: crc32 of its id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -93,6 +99,7 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_near_dup": op2_near_dup,
     "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_language": op5_language,
     "op6_token_store": op6_token_store,
     "op7_toxicity": op7_toxicity,
