@@ -26,7 +26,8 @@ def kl_divergence(teacher: Column, student: Column, subset: list[int] | None = N
     """Divergence of softmax(student) from softmax(teacher), over all entries or a subset."""
     if subset is not None:
         pick = F.array(*map(F.lit, subset))
-        teacher, student = (F.transform(pick, lambda i, v=v: F.element_at(v, i + 1)) for v in (teacher, student))
+        part = lambda v: F.transform(pick, lambda i: F.element_at(v, i + 1))
+        teacher, student = part(teacher), part(student)
     parts = lambda t, s: F.zip_with(teacher, student, lambda x, y: F.exp(x - t) * ((x - t) - (y - s)))
     total = lambda t, s: F.aggregate(parts(t, s), F.lit(0.0), lambda a, x: a + x)
     return let(logsumexp(teacher), lambda t: let(logsumexp(student), lambda s: total(t, s)))
