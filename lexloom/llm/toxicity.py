@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,17 +106,18 @@ def train_chain(
     strong = word.filter(F.col("n") >= FEWEST_ROWS).withColumn("_s", F.greatest(*[surprise(c) for c in categories], F.lit(0.0)))
     chosen = strong.filter("_s >= 12").orderBy(F.desc("_s"), "word").limit(WORDS).select("word").collect()
     vocabulary = {r[0]: i for i, r in enumerate(chosen)}
-    listed = F.array(*[F.lit(w) for w in []]) if not vocabulary else F.array_intersect("words", F.lit(list(vocabulary)))
-    data = rows.select(listed.cast("array<string>").alias("words"), "_fold", *categories).collect()
+    listed = F.array_intersect("words", F.lit(list(vocabulary))) if vocabulary else F.array().cast("array<string>")
+    data = rows.select(listed.alias("words"), "_fold", *categories).toArrow().combine_chunks()
     rows.unpersist()
     chain = Chain(list(categories), vocabulary)
-    row = np.repeat(np.arange(len(data)), [len(r.words) for r in data])
-    at = np.array([vocabulary[w] for r in data for w in r.words], np.int64)
-    fold = np.array([r["_fold"] for r in data], np.int64)
-    earlier = np.zeros((len(data), 0))
+    lists = data.column("words").combine_chunks() if data.num_rows else pa.array([], pa.list_(pa.string()))
+    row = np.repeat(np.arange(data.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    at = pc.index_in(lists.flatten(), pa.array(list(vocabulary), pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+    fold = data.column("_fold").to_numpy().astype(np.int64)
+    earlier = np.zeros((data.num_rows, 0))
     for c in categories:
-        y = np.array([r[c] for r in data], float)
-        out = np.zeros(len(data))
+        y = data.column(c).to_numpy().astype(float)
+        out = np.zeros(data.num_rows)
         for f in range(FOLDS):
             inside = fold != f
             number = np.cumsum(inside) - 1

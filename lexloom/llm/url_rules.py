@@ -103,8 +103,10 @@ def url_path(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Host and path without scheme, a leading `www.`, a final `/`, query and fragment."""
-    return F.concat(F.regexp_replace(url_host(url), "^www\\.", ""), F.regexp_replace(url_path(url), "/$", ""))
+    """Host and path without scheme, a leading `www.`, a final `/`, query and fragment; null where
+    nothing is left."""
+    both = F.concat(F.regexp_replace(url_host(url), "^www\\.", ""), F.regexp_replace(url_path(url), "/$", ""))
+    return F.when(both != "", both)
 
 
 def listed_pages(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
