@@ -9,9 +9,11 @@ from .wavelet import WaveletMatrix
 
 class FMIndex:
     """Backward search for many patterns at once. The order of suffixes is worked out to `depth`
-    symbols, which is enough for patterns of that length at most."""
+    symbols, which is enough for patterns of that length at most. A 0 is put at the text's end;
+    patterns hold no 0, so a text may use it to part its pieces."""
 
     def __init__(self, text: np.ndarray, depth: int = 64):
+        text = np.append(text, 0)
         self.n = len(text)
         top = int(text.max()) + 1 if self.n else 1
         order = np.zeros(self.n, np.int64)
