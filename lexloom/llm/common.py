@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-#: Separators of words: ASCII space, tab, line feed, vertical tab, form feed, carriage return.
-BLANK = "[\\x20\\x09-\\x0D]+"
+#: Words: runs of characters other than ASCII space, tab, line feed, vertical tab, form feed and
+#: carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,10 +40,3 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def blank_words(text: Column) -> Column:
-    """The words of a text as an array; null and blank texts give an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: w != "")
-
-

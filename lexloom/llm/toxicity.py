@@ -7,6 +7,7 @@ often they stand in rows of a category. Training rows are a bounded sample; ever
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,13 +20,25 @@ from pyspark.sql import functions as F
 from .token_counts import slices
 
 #: Most rows of the training sample, most words of the vocabulary, fewest rows that a word is in.
-SAMPLE_ROWS, WORDS, FEWEST_ROWS, FOLDS = 20_000, 4096, 5, 3
+SAMPLE_ROWS, WORDS, FEWEST_ROWS, FOLDS = 12_000, 4096, 5, 3
+#: Lengths of the beginnings of words that count as words.
+STEMS = (5, 6, 7)
+#: Least surprise (chi-square) of a word of the vocabulary.
+SURPRISE = 20.0
 EDGES = ".,;:!?()[]{}\"'`´*#$%&|<>=+-_/\\~^@…«»“”‘’"
 
 
 def words_of(text: str | None) -> set[str]:
-    """The different words of a whole text, lower-cased, without marks at their ends."""
-    return {w.strip(EDGES) for w in set((text or "").lower().split())} - {""}
+    """The different words of a whole text, lower-cased, without marks at their ends, and the
+    beginnings of longer words (marked `^`): a stem shows in forms that training has not seen."""
+    words = {w.strip(EDGES) for w in set((text or "").lower().split())} - {""}
+    return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in STEMS))
+
+
+def sketch(text: str) -> int:
+    """The least hash of a text's three-word shingles, which near copies mostly share."""
+    w = text.split()
+    return min(zlib.crc32(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2)))
 
 
 @dataclass
@@ -55,7 +68,7 @@ def predicted(w: np.ndarray, rows: np.ndarray, at: np.ndarray, earlier: np.ndarr
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(rows: np.ndarray, at: np.ndarray, earlier: np.ndarray, y: np.ndarray, words: int, penalty: float = 0.5, steps: int = 300) -> np.ndarray:
+def fit(rows: np.ndarray, at: np.ndarray, earlier: np.ndarray, y: np.ndarray, words: int, penalty: float = 1.0, steps: int = 300) -> np.ndarray:
     """Logistic regression with an L2 penalty, by accelerated gradient steps."""
     n, w = len(y), np.zeros(1 + words + earlier.shape[1])
     w[0] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
@@ -79,7 +92,7 @@ def train_chain(
 
     The sample: rows whose key hashes below sample_rows / rows, so about `sample_rows` rows at
     most, the same ones on each run. Rows with a null key, label or text are not used; of labels
-    that repeat a key the greatest counts. Without rows of both kinds a category's probability is
+    that repeat a key the greatest counts, and of near copies one. Without rows of both kinds a category's probability is
     constant."""
     own = labels.select(F.col(key).alias("_key"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     own = own.groupBy("_key").agg(*[F.max(c).alias(c) for c in categories])
@@ -89,10 +102,13 @@ def train_chain(
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [sorted(words_of(x)) for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), *[batch.column(c) for c in categories]], names=["words", *categories])
+            texts = batch.column("_text").to_pylist()
+            held = [sorted(words_of(x)) for x in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), pa.array(map(sketch, texts), pa.int64()), *[batch.column(c) for c in categories]], names=["words", "_sketch", *categories])
 
-    rows = seen.mapInArrow(split, "words array<string>, " + ", ".join(f"`{c}` int" for c in categories))
+    rows = seen.mapInArrow(split, "words array<string>, _sketch long, " + ", ".join(f"`{c}` int" for c in categories))
+    # one of each group of near copies: else the words of a text with many copies look telling
+    rows = rows.groupBy("_sketch").agg(F.max(F.struct(*categories, "words")).alias("r")).select("r.words", *[f"r.{c}" for c in categories])
     rows = rows.withColumn("_fold", F.pmod(F.xxhash64("words"), F.lit(FOLDS)).cast("int")).persist()
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     n = totals["n"]
@@ -104,7 +120,7 @@ def train_chain(
         return F.pow(F.col(c) - F.col("n") * F.lit(rate), F.lit(2)) / (F.col("n") * F.lit(spread))
 
     strong = word.filter(F.col("n") >= FEWEST_ROWS).withColumn("_s", F.greatest(*[surprise(c) for c in categories], F.lit(0.0)))
-    chosen = strong.filter("_s >= 12").orderBy(F.desc("_s"), "word").limit(WORDS).select("word").collect()
+    chosen = strong.filter(F.col("_s") >= SURPRISE).orderBy(F.desc("_s"), "word").limit(WORDS).select("word").collect()
     vocabulary = {r[0]: i for i, r in enumerate(chosen)}
     listed = F.array_intersect("words", F.lit(list(vocabulary))) if vocabulary else F.array().cast("array<string>")
     data = rows.select(listed.alias("words"), "_fold", *categories).toArrow().combine_chunks()
