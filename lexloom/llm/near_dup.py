@@ -2,11 +2,13 @@
 
 A text's set is its different word shingles. Texts with the same set are one node. A node's shingle
 hashes fall into bins; each bin keeps its least, an empty bin borrows from a bin that a fixed
-random order of its own names. Bands of bins give buckets. In a bucket all members are compared
-with its smallest one only (a star), on their full sets. Where the links found leave a bucket in
-more than one component, each member outside the centre's component is then compared with the
-members that are not in its own: so no link between two texts that share a bucket is lost, and a
-large group of copies costs as many pairs as it has members."""
+random order of its own names. Bands of bins give buckets. Shingles that no other candidate has bound how
+similar a text can be to any other. In a bucket all members are compared with the one that has the
+least share of such shingles (a star), on their full sets, where the bound lets them be similar at
+all. Where the links found leave a bucket in more than one component, each member outside the
+centre's component is then compared with the members that are not in its own, again within the
+bound: so no link between two texts that share a bucket is lost, and a large group of copies costs
+about as many pairs as it has members."""
 
 from __future__ import annotations
 
@@ -15,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -112,18 +114,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
     nodes = written(nodes, "nodes")
     buckets = nodes.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("centre"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rows = written(buckets.join(shared, "bucket").select("bucket", "rep", "n", F.col("centre.rep").alias("centre"), F.col("centre.n").alias("centre_n"), "members"), "buckets")
-    near = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
-    links = verified(docs, key, text, words, percent, rows.filter(near & (F.col("rep") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct())
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    rows = written(buckets.join(shared.select("bucket"), "bucket"), "buckets")
+    solid = solid_sizes(docs, key, text, words, rows.select("rep", "n").distinct())
+    rows = rows.join(solid.filter(F.col("solid") * 100 >= F.col("n") * percent).drop("n"), "rep")
+    best = F.max(F.struct((F.col("solid") / F.col("n")).alias("share"), (-F.col("rep")).alias("back"), "n", "solid"))
+    middle = rows.groupBy("bucket").agg(best.alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    middle = middle.select("bucket", "members", (-F.col("c.back")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.solid").alias("centre_solid"))
+    rows = written(rows.join(middle, "bucket"), "starred")
+    star = rows.filter(can_link("n", "solid", "centre_n", "centre_solid", percent) & (F.col("rep") != F.col("centre")))
+    links = verified(docs, key, text, words, percent, star.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct())
     roots = components(links)
+    split = None
     for turn in range(ROUNDS):
-        pairs = written(split_pairs(rows, roots, turn, percent), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = verified(docs, key, text, words, percent, pairs)
-        if not more.isEmpty():
-            links = written(links.unionByName(more), "all-links")
+        if split is None:
+            split = written(split_rows(rows if turn == 0 else rows.filter(F.col("members") > SMALL), roots), "split")
+        if split.isEmpty():
+            break
+        more = verified(docs, key, text, words, percent, split_pairs(split, turn, percent))
+        if more.isEmpty():
+            split = None if turn == 0 else split
+        else:
+            links, split = written(links.unionByName(more), "all-links"), None
             roots = components(links)
     roots = roots.select("node", "root")
     named = nodes.join(roots, nodes.rep == roots.node, "left").select("h1", "h2", F.coalesce("root", "rep").alias("_component"))
@@ -132,18 +144,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
 
-def split_pairs(rows: DataFrame, roots: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a, b) yet to be compared, of buckets whose members lie in several components: this
-    turn's share of the members outside the centre's component, each with all members of other
-    components that have a like size."""
+def solid_sizes(docs: DataFrame, key: str, text: str, words: int, nodes: DataFrame) -> DataFrame:
+    """(rep, n, solid): how many of a node's shingles some other node has too. Two sets cannot share
+    more than the lesser of these, which rules out most pairs of texts that were edited too much."""
+    each = full_sets(docs, key, text, words, nodes.select(F.col("rep").alias("doc"))).select("doc", F.explode("shingles").alias("s"))
+    lone = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("rep")).filter("n = 1")
+    lone = lone.groupBy("rep").agg(F.count(F.lit(1)).alias("lone"))
+    return written(nodes.join(lone, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("solid")), "solid")
+
+
+def can_link(n: str, solid: str, other_n: str, other_solid: str, percent: int) -> Column:
+    """Whether two sets of these sizes can be as similar as asked."""
+    return F.least(solid, other_solid) * (100 + percent) >= (F.col(n) + F.col(other_n)) * percent
+
+
+def split_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets whose members lie in several components, with each member's root and that
+    of the bucket's centre (main)."""
     named = rows.join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
     spread = named.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("root"))).alias("main"))
-    split = named.join(spread.filter("lo < hi").select("bucket", "main"), "bucket")
+    return named.join(spread.filter("lo < hi").select("bucket", "main"), "bucket")
+
+
+def split_pairs(split: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) yet to be compared: this turn's share of the members outside the centre's
+    component (in small buckets all at once), each with all members of other components that have a
+    like size."""
     place = F.pmod(F.xxhash64("rep", "bucket"), F.lit(1 << ROUNDS))
     due = (place >= (0 if turn == 0 else 1 << turn)) & (place < (1 << (turn + 1)))
-    due = due | (F.col("members") <= SMALL) if turn == 0 else due & (F.col("members") > SMALL)
-    probe = split.filter((F.col("root") != F.col("main")) & due).select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-    near = F.least("n", "x_n") * 100 >= F.greatest("n", "x_n") * percent
+    if turn == 0:
+        due = due | (F.col("members") <= SMALL)
+    probe = split.filter((F.col("root") != F.col("main")) & due).select("bucket", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("solid").alias("x_solid"), F.col("root").alias("x_root"))
+    near = can_link("n", "solid", "x_n", "x_solid", percent)
     met = split.filter("rep <> centre").join(probe, "bucket").filter((F.col("root") != F.col("x_root")) & near)
     return met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
 
