@@ -86,8 +86,8 @@ def sanitize(vocab: DataFrame, rules: DataFrame, specials: list[str], edits: Edi
 
 def summary(done: Sanitized, before: DataFrame, rules_before: DataFrame) -> DataFrame:
     """One row of counts: tokens and rules before and after, deleted, added, requested, ignored."""
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    sizes = {"tokens_before": before, "tokens_after": done.vocab, "rules_before": rules_before, "rules_after": done.rules}
     one = done.gone.agg(F.count(F.lit(1)).alias("deleted_tokens"), F.array_sort(F.collect_set("token")).alias("deleted"))
-    for df, name in ((before, "tokens_before"), (done.vocab, "tokens_after"), (rules_before, "rules_before"), (done.rules, "rules_after")):
-        one = one.join(n(df, name), F.lit(True))
-    return one.select("*", F.lit(len(done.added)).alias("added_tokens"), F.lit(len(done.requested)).alias("requested_tokens"), F.lit(len(done.ignored)).alias("ignored_tokens"))
+    counts = {name: F.lit(df.count()) for name, df in sizes.items()}
+    lists = {"added_tokens": done.added, "requested_tokens": done.requested, "ignored_tokens": done.ignored}
+    return one.withColumns(counts | {name: F.lit(len(x)) for name, x in lists.items()})
