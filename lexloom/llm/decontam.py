@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -106,8 +107,8 @@ def contaminated(
         part = _of_size(docs, known.filter(F.col("g") == g), key, text, g, percent, radius)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        none = docs.limit(0).crossJoin(items.limit(0).select(F.col(item_key).alias("_item")))
-        return none.select(F.col(key), F.col("_item").alias(item_key), F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
+        kinds = [docs.schema[key], T.StructField(item_key, items.schema[item_key].dataType), T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("similarity", T.DoubleType())]
+        return docs.sparkSession.createDataFrame([], T.StructType(kinds))
     best = found.groupBy("_doc", "_item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("later"), "n_words")).alias("b"))
     return best.select(F.col("_doc").alias(key), F.col("_item").alias(item_key), (-F.col("b.later")).alias("start"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
