@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 from .token_counts import slices
-from .url_rules import build_filter, possible_hits
+from .url_rules import build_filter
 from .word_hashes import factors, mixed, shingles, word_hashes
 
 #: 32 bands of 4 bins: two texts of similarity 0.8 share no bucket with a chance of 5e-8.
@@ -88,16 +88,19 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
     """(doc, shingles) of rows that may be among `wanted` (doc): a filter of bounded size spares
     the others; the join that follows is exact."""
 
+    bloom = build_filter(wanted, "doc")
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text", 1 << 20):
+            near = whole.filter(pa.array(bloom.has(whole.column("_hash").to_numpy())))
+            for batch in slices(near, "_text", 1 << 20):
                 texts = batch.column("_text").to_pylist()
                 s, of = shingles(word_hashes(texts, lower=True), words)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(s.view(np.int64)))], names=["doc", "shingles"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text"))
-    return possible_hits(rows, "doc", build_filter(wanted, "doc")).mapInArrow(take, "doc long, shingles array<bigint>")
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")).filter("doc is not null")
+    return rows.withColumn("_hash", F.xxhash64("doc")).mapInArrow(take, "doc long, shingles array<bigint>")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -35,6 +35,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator
         if end > at:
             yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # several workers share an executor's memory
 
 
 def token_prefixes(
