@@ -7,6 +7,8 @@ executor costs one stage's tasks at most. All stages but the last return the col
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,27 @@ from lexloom.llm.near_dup import near_duplicates
 from lexloom.llm.token_store import read_token_shards, write_token_shards
 
 
+#: Score from which a prediction replaces a `lang` that it contradicts.
+SURE = 0.99
+#: How far (in nats an n-gram) a text may fall below an even draw of n-gram buckets. Clean text lies
+#: nats above the even draw, random letters below; a model of a few hundred letters rejects nothing.
+SLACK = 0.25
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and such without any letter."""
-    found = predict_language(docs, train_language(docs), lang_out="_pred", score_out="_score")
-    return found.filter("_pred <> 'und'").select(*docs.columns)
+    """Keeps documents in a learned language and names it in `lang`.
+
+    The model is learned from all rows with a `lang` and a letter. A text goes if it is null, has no
+    letter, or is less likely under every learned language than an even draw (SLACK). `lang` becomes
+    the prediction where it is null, or where the prediction differs with a score of SURE or more.
+    Where nothing could be learned, all texts with a letter stay as they are."""
+    model = train_language(docs.filter(F.col("text").rlike(r"\p{L}")))
+    found = predict_language(docs, model, lang_out="_pred", score_out="_score", likely_out="_likely")
+    found = found.filter(F.col("_likely") >= -math.log(len(model.log)) - SLACK)
+    if model.names:
+        given = F.when(F.col("_score") < SURE, F.col("lang"))
+        found = found.withColumn("lang", F.coalesce(given, F.col("_pred")))
+    return found.select(*docs.columns)
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

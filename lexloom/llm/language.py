@@ -62,10 +62,11 @@ class LanguageModel:
     prior: np.ndarray
     log: np.ndarray
 
-    def score(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """The most likely language of each text and its probability; `und` and 0 where no letter."""
-        total = np.zeros((len(texts), len(self.names)))
-        letters = np.zeros(len(texts), bool)
+    def score(self, texts: list[str]) -> tuple[list[str], list[float], list[float | None]]:
+        """The most likely language of each text, its probability, and the mean log likelihood of
+        the text's n-grams under the language that gives the highest; `und`, 0 and None where no
+        letter. Where no language was learned, texts with letters are as likely as an even draw."""
+        total, size = np.zeros((len(texts), len(self.names))), np.zeros(len(texts), np.int64)
         short = [i for i, x in enumerate(texts) if len(x) <= PART]
         jobs = [(short, [texts[i] for i in short])]
         jobs += [([i], [x[at : at + PART]]) for i, x in enumerate(texts) if len(x) > PART for at in range(0, len(x), PART)]
@@ -76,13 +77,17 @@ class LanguageModel:
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             at = np.array(rows)[owner[starts]]
             np.add.at(total, at, np.add.reduceat(self.log[bucket], starts, axis=0, dtype=np.float64))
-            letters[at] = True
-        total += self.prior
-        best = total.argmax(axis=1) if self.names else np.zeros(len(texts), int)
+            size[at] += np.diff(np.append(starts, len(owner)))
+        letters = size > 0
+        even = -float(np.log(len(self.log)))
+        likely = total.max(axis=1) / np.maximum(size, 1) if self.names else np.full(len(texts), even)
+        likely = [x if ok else None for x, ok in zip(likely.tolist(), letters, strict=True)]
         if not self.names:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), likely
+        total += self.prior
+        best = total.argmax(axis=1)
         p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.names[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], np.where(letters, p, 0.0).tolist()
+        return [self.names[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], np.where(letters, p, 0.0).tolist(), likely
 
 
 def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.1) -> LanguageModel:
@@ -127,19 +132,25 @@ def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", alph
     return LanguageModel(names, np.log([documents[x] / total for x in names]), log.astype(np.float32))
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score") -> DataFrame:
+def predict_language(
+    docs: DataFrame, model: LanguageModel, text: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score", likely_out: str | None = None
+) -> DataFrame:
     """All columns of `docs` and the predicted language and its score (0 to 1), from the whole
-    text alone. Null texts and such without a letter: `und`, 0. The two new columns replace any
-    of the same names. One narrow pass."""
+    text alone; with likely_out, also the mean log likelihood of the text's n-grams under the
+    language that gives the highest. Null texts and such without a letter: `und`, 0, null. The new
+    columns replace any of the same names. One narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c.lower() not in (lang_out.lower(), score_out.lower())]
+    new = [lang_out, score_out, *([likely_out] if likely_out else [])]
+    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in new}]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = rows.limit(0).withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0)).schema
+    schema = rows.limit(0).withColumn(lang_out, F.lit("")).withColumn(score_out, F.lit(0.0))
+    schema = (schema.withColumn(likely_out, F.lit(None).cast("double")) if likely_out else schema).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text, 4 << 20):
-                names, score = shared.value.score([x or "" for x in batch.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, lang_out, score_out])
+                names, score, likely = shared.value.score([x or "" for x in batch.column(text).to_pylist()])
+                found = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(likely, pa.float64())][: len(new)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *new])
 
     return rows.mapInArrow(predict, schema)

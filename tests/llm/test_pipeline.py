@@ -64,3 +64,45 @@ def test_odd_documents(spark, sf, tmp_path):
     for rows in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, rows, sf).count() <= 3 * 5
+
+
+def test_language_decides_by_the_prediction(spark, sf):
+    schema = table(spark, sf, "documents").schema
+    words = {"en": "the cat and this other house with that garden".split(), "de": "der hund und dieses andere haus mit jenem garten".split()}
+    text = lambda lang, k: " ".join(words[lang][(k * k + i * (k + 1)) % 9] for i in range(12))
+    rows = [(k, text(lang, k), lang, "s", 0) for lang in words for k in range(60)]
+    odd = [(1000, text("de", 5), None, "s", 0), (1001, text("de", 7), "en", "s", 0), (1002, "xq zvwkj qqxz jvvk zxqj wvkx", None, "s", 0), (1003, "42 --", "en", "s", 0), (1004, None, "de", "s", 0), (1005, "дом", None, "s", 0)]
+    docs = spark.createDataFrame(rows + odd, schema)
+    got = {(r.doc_id, r.text): r.lang for r in corpus_pipeline.language(spark, docs, sf).collect()}
+
+    # brute force: counts of letters and trigrams in plain Python, by the buckets of grams()
+    import math
+    from collections import Counter
+
+    from lexloom.llm.language import BUCKETS, grams
+
+    count = {lang: Counter() for lang in words}
+    number = Counter()
+    for _, t, lang, _, _ in rows + odd:
+        if t and lang and any(c.isalpha() for c in t):
+            count[lang].update(grams([t], BUCKETS)[0].tolist())
+            number[lang] += 1
+    want = {}
+    for key, t, lang, _, _ in rows + odd:
+        own = grams([t or ""], BUCKETS)[0].tolist()
+        if own:
+            log = {x: sum(math.log((count[x][g] + 0.1) / (count[x].total() + 0.1 * BUCKETS)) for g in own) for x in words}
+            whole = {x: log[x] + math.log(number[x] / number.total()) for x in words}
+            best = max(sorted(words), key=lambda x: whole[x])
+            sure = 1 / sum(math.exp(v - whole[best]) for v in whole.values()) >= corpus_pipeline.SURE
+            if max(log.values()) / len(own) >= -math.log(BUCKETS) - corpus_pipeline.SLACK:
+                want[key, t] = best if lang is None or sure else lang
+    assert got == want
+    assert got[odd[0][:2]] == got[odd[1][:2]] == "de"
+    assert {k for k, _ in got} & {1002, 1003, 1004, 1005} == set()
+
+
+def test_language_with_nothing_learned(spark, sf):
+    rows = [(1, "clean words", None, "s", 0), (2, "--", None, "s", 0), (3, None, "en", "s", 0), (4, "42", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, table(spark, sf, "documents").schema)
+    assert [tuple(r) for r in corpus_pipeline.language(spark, docs, sf).collect()] == rows[:1]
