@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. `run`
 writes what a stage returns to the shared folder and reads it again for the next one, so a lost
 executor costs one stage's tasks at most. All stages but the last return the columns of
-`documents`. Rows that repeat a doc_id, null ids and null texts pass as each operator defines."""
+`documents`. Each row is a document of its own: the stages decide by row, not by doc_id, which may
+repeat or be null."""
 
 from __future__ import annotations
 
@@ -43,25 +44,46 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own (`_row`) and a hash of all columns (`_hash`), written, so the
+    key stays what it is however often the rows are read."""
+    return written(docs.withColumn("_hash", F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(_row, _no): a number from 1 among the keyed rows with the same hash. Rows are ranked within
+    chunks of 4096 keys, and the chunks by their counts, so no large group of copies is one task's."""
+    own = rows.select("_row", "_hash", F.shiftright("_row", 12).alias("_chunk"))
+    ahead = F.expr("coalesce(sum(_n) over (partition by _hash order by _chunk rows between unbounded preceding and 1 preceding), 0)")
+    chunks = own.groupBy("_hash", "_chunk").agg(F.count(F.lit(1)).alias("_n")).select("_hash", "_chunk", ahead.alias("_ahead"))
+    rank = F.expr("row_number() over (partition by _hash, _chunk order by _row)")
+    return own.withColumn("_rank", rank).join(chunks, ["_hash", "_chunk"]).select("_row", (F.col("_ahead") + F.col("_rank")).alias("_no"))
+
+
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8): the
-    one with the smallest id. Rows with a null id stay."""
-    gone = near_duplicates(docs, words=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8): the one with
+    the smallest id, null ids last. Each row counts by its own text, whatever its id."""
+    rows = keyed(docs)
+    groups = near_duplicates(rows, key="_row", words=5, percent=80).select("_row", "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")
+    kept = rows.select("_row", order.alias("_order")).join(groups, "_row").groupBy("component_id").agg(F.min("_order").alias("_one"))
+    return rows.join(kept.select("_one._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item. Rows with a null id stay."""
-    held = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """Drops the rows whose text holds a benchmark item, whatever their id."""
+    rows = keyed(docs)
+    held = contaminated(rows, table(spark, sf_dir, "benchmark"), key="_row").select("_row").distinct()
+    return rows.join(held, "_row", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix of sources by weight has it: 0 to 3 times. Rows that
-    repeat an id are taken as often as the one that is taken most."""
-    times = mix_sources(docs).groupBy("doc_id").agg(F.max("repeats").cast("int").alias("_times")).filter("_times > 0")
-    times = times.withColumnRenamed("doc_id", "_id")
-    taken = docs.join(times, docs.doc_id.eqNullSafe(times["_id"]))
+    """Takes each row as often as the mix of sources by weight has it: 0 to 3 times. Rows are picked
+    by what is in them and their number among identical rows, so reruns agree."""
+    rows = keyed(docs)
+    rows = written(rows.join(numbered(rows), "_row").withColumn("_key", F.struct("_hash", "_no")).drop("_row", "_hash", "_no"), "numbered")
+    times = mix_sources(rows, key="_key").filter("repeats > 0").select("_key", F.col("repeats").cast("int").alias("_times"))
+    taken = rows.join(times, "_key")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

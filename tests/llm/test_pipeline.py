@@ -106,3 +106,44 @@ def test_language_with_nothing_learned(spark, sf):
     rows = [(1, "clean words", None, "s", 0), (2, "--", None, "s", 0), (3, None, "en", "s", 0), (4, "42", "en", "s", 0)]
     docs = spark.createDataFrame(rows, table(spark, sf, "documents").schema)
     assert [tuple(r) for r in corpus_pipeline.language(spark, docs, sf).collect()] == rows[:1]
+
+
+def texts_of(n, size=30):
+    return [" ".join(f"w{k}x{i}" for i in range(size)) for k in range(n)]
+
+
+def test_near_dup_decides_by_row(spark, sf):
+    a, b, c, d, e = texts_of(5)
+    near = a + " more"
+    rows = [(1, a), (1, a), (None, a), (1, b), (2, near), (2, c), (None, d), (None, d), (None, d), (7, e), (None, e), (3, c), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], table(spark, sf, "documents").schema)
+    got = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.near_dup(spark, docs, sf).collect())
+    assert got == sorted([("1", a), ("1", b), ("2", c), ("None", d), ("7", e), ("4", "None"), ("4", "None")])
+
+
+def test_decontaminate_decides_by_row(spark, sf):
+    item = table(spark, sf, "benchmark").first().text
+    rows = [(1, "before " + item + " after"), (1, "a clean text of some words"), (None, item), (None, "another clean text of words"), (2, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], table(spark, sf, "documents").schema)
+    assert sorted(r.n_chars for r in corpus_pipeline.decontaminate(spark, docs, sf).collect()) == [1, 3, 4, 5]
+
+
+def test_mix_decides_by_row(spark, sf):
+    rows = [(k % 3 or None, " ".join(["w"] * (1 + k % 7)), "en", f"s{k % 2}", k) for k in range(300)]
+    rows += [(None, "the same words", "en", "s0", -1)] * 90 + [(5, "the same words", "en", "s1", -2)] * 90
+    docs = spark.createDataFrame(rows, table(spark, sf, "documents").schema)
+    take = lambda df: sorted(map(str, corpus_pipeline.mix(spark, df, sf).collect()))
+    got = corpus_pipeline.mix(spark, docs, sf).collect()
+    words = {s: sum(len(r.text.split()) for r in got if r.source == s) for s in ("s0", "s1")}
+    size = {s: sum(len(t.split()) for _, t, _, own, _ in rows if own == s) for s in ("s0", "s1")}
+    for s, weight in (("s0", 5), ("s1", 2)):
+        assert abs(words[s] - sum(size.values()) * weight / 7) <= 2 and words[s] <= 3 * size[s]
+    assert max(sum(r.n_chars == k for r in got) for k in range(300)) <= 3
+    assert sorted(map(str, got)) == take(docs.repartition(5, "text", "n_chars")) == take(docs.orderBy("n_chars"))
+
+
+def test_numbers_of_identical_rows(spark):
+    docs = spark.range(0, 20_000, numPartitions=3).selectExpr("id % 2 as doc_id", "'x' as text")
+    rows = corpus_pipeline.keyed(docs)
+    found = rows.join(corpus_pipeline.numbered(rows), "_row").groupBy("doc_id").agg(F.min("_no"), F.max("_no"), F.count_distinct("_no"))
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 10_000, 10_000), (1, 1, 10_000, 10_000)]
