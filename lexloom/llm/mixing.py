@@ -44,9 +44,13 @@ def fill_budget(lengths: list[int], counts: list[int], budget: int) -> dict[int,
             reached |= reached << (n * k) & mask
             c, k = c - k, 2 * k
     at = reached.bit_length() - 1
+    rest -= at
     for n, k, before in reversed(steps):
         if not before >> at & 1:
-            take[n], at = take[n] + k, at - n * k
+            take[n], left[n], at = take[n] + k, left[n] - k, at - n * k
+    for n in sorted(lengths, reverse=True):  # what the table could not hold
+        k = min(left[n], rest // n)
+        take[n], rest = take[n] + k, rest - k * n
     return take
 
 

@@ -149,3 +149,16 @@ def test_mix(spark):
     again = sorted((str(r.doc_id), r.taken) for r in mixing.mix_sources(docs.repartition(7)).collect())
     assert again == sorted((str(r.doc_id), r.taken) for r in got)
     assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_fill_budget_with_long_documents_only():
+    assert mixing.fill_budget([70_000, 71_000, 72_000], [1, 1, 1], 100_000) == {70_000: 0, 71_000: 0, 72_000: 1}
+    rng = random.Random(8)
+    for _ in range(20):
+        lengths = sorted(rng.sample(range(mixing.FIT_WORDS + 1, 4 * mixing.FIT_WORDS), 9))
+        counts = [rng.randint(1, 4) for _ in lengths]
+        budget = rng.randint(0, sum(a * b for a, b in zip(lengths, counts)))
+        take = mixing.fill_budget(lengths, counts, budget)
+        rest = budget - sum(n * k for n, k in take.items())
+        assert rest >= 0 and all(0 <= take[n] <= c for n, c in zip(lengths, counts))
+        assert not any(take[n] < c and n <= rest for n, c in zip(lengths, counts))
