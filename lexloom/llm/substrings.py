@@ -151,7 +151,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             ask = np.flatnonzero(single | salted)
             of = np.repeat(ask, windows[ask])
             within = np.arange(len(of)) - np.repeat(np.cumsum(windows[ask]) - windows[ask], windows[ask])
-            twice = FMIndex(symbols).repeated(symbols, begin[of] + within, window)
+            twice = FMIndex(symbols, depth=window).repeated(symbols, begin[of] + within, window)
             # windows of anchors in several shards: a hash, to be counted over all of them
             over = salted[of]
             value = np.zeros(len(of), np.uint64)

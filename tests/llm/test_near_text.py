@@ -163,3 +163,23 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and len(want) > 20
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_long_windows_equal_brute_force(spark):
+    head = [f"h{i}" for i in range(80)]
+    tails = [[f"t{k}x{i}" for i in range(60)] for k in (0, 1, 2)]
+    rows = [(k, " ".join([f"u{k}", *head, *tails[k * k % 5 % 3], f"v{k}"])) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.remove_repeats(docs, window=100).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_removal(rows, 100)
+
+
+def test_fm_index_of_long_windows():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    head, tails = rng.integers(1, 9, 90), rng.integers(1, 9, (3, 40))
+    text = np.concatenate([np.concatenate([[k % 7 + 1], head, tails[k % 3], [0]]) for k in range(24)])
+    start = np.array([k * 132 + i for k in range(24) for i in range(131 - 100 + 1)])
+    seen = collections.Counter(tuple(text[i : i + 100]) for i in start)
+    assert FMIndex(text, depth=100).repeated(text, start, 100).tolist() == [seen[tuple(text[i : i + 100])] > 1 for i in start]
