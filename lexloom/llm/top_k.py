@@ -100,12 +100,12 @@ def exact_top_k(
     all other rows, ties to the smaller key. Components x become floor(scale * x).
 
     query: a condition on the columns of `vectors`. Rows whose key or vector is null, or whose
-    vector holds a null or a non-finite number, take no part. Of rows that repeat a key the
+    vector is empty or holds a null or a non-finite number, take no part. Of rows that repeat a key the
     greatest vector counts. A query is compared with vectors of its own length only. Other columns
     are not read. Every query meets every shard, as the task asks for: queries are dealt to shards
     in batches, and only hits at or above the k-th score already known come back."""
     clean = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & clean)
+    rows = vectors.filter(F.col(key).isNotNull() & (F.size(vector) > 0) & clean)
     whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
     rows = rows.select(F.col(key).cast("long").alias("key"), whole.alias("vector"), F.coalesce(query, F.lit(False)).alias("asks"))
     shards = max(FEWEST_SHARDS, -(-rows.count() // shard_rows))

@@ -151,6 +151,12 @@ def test_mix(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_top_k_with_empty_vectors(spark):
+    rows = [(50, []), (51, []), (100, [1.0, 2.0]), (101, [3.0, 1.0]), (102, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in exact_top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(100, 1, 101, 5 * 256 * 256)]
+
+
 def test_fill_budget_with_long_documents_only():
     assert mixing.fill_budget([70_000, 71_000, 72_000], [1, 1, 1], 100_000) == {70_000: 0, 71_000: 0, 72_000: 1}
     rng = random.Random(8)
