@@ -27,13 +27,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in parts whose texts have about `most` bytes; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most `rows` rows whose texts have about `most` bytes; a longer text is
+    a part of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     at = 0
     for end in [*(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]:
-        if end > at:
-            yield batch.slice(at, end - at)
+        for first in range(at, end, rows):
+            yield batch.slice(first, min(rows, end - first))
         at = end
     pa.default_memory_pool().release_unused()  # several workers share an executor's memory
 

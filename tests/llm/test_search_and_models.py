@@ -168,3 +168,71 @@ def test_fill_budget_with_long_documents_only():
         rest = budget - sum(n * k for n, k in take.items())
         assert rest >= 0 and all(0 <= take[n] <= c for n, c in zip(lengths, counts))
         assert not any(take[n] < c and n <= rest for n, c in zip(lengths, counts))
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    """Counts of letters and trigrams and their logarithms in plain Python, for a hundred languages,
+    with ties, texts in parts and repeated rows."""
+    import math
+    from collections import Counter
+
+    from lexloom.llm import language
+
+    monkeypatch.setattr(language, "PART", 16)
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)] + list("äéñß")
+    rows = []
+    for k in range(100):
+        own = rng.choices(letters, k=6)
+        rows += [("".join(rng.choices([*own, " ", " ", "-"], k=rng.randint(1, 60))), f"l{k:02d}") for _ in range(4)]
+    rows += [("same words", "tie b"), ("same words", "tie a"), rows[0], ("12 --", "l00"), (None, "l01"), ("abc", None)]
+    model = train_language(spark.createDataFrame(rows, "text string, lang string"))
+
+    def features(text):
+        low = "".join(c.lower() if c.isalpha() else " " for c in f" {text or ''} ")
+        for i in range(1, len(low) - 1):
+            if low[i] != " ":
+                yield low[i - 1 : i + 2]
+                yield low[i]
+
+    def bucket(f):
+        a, b, c = f if len(f) == 3 else ("\0", f, "\0")
+        x = (ord(a) << 42 ^ ord(b) << 21 ^ ord(c)) if len(f) == 3 else ord(b) ^ 1 << 62
+        return (x * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - (model.buckets.bit_length() - 1))
+
+    count, number = {}, Counter()
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            number[lang] += 1
+            count.setdefault(lang, Counter()).update(map(bucket, features(text)))
+    asked = [None, "", "??", "same words", *[t for t, _ in rows[:60]], " ".join(t for t, _ in rows[:90])]
+    got = model.score([x or "" for x in asked])
+    for text, name, score, likely in zip(asked, *got):
+        own = [bucket(f) for f in features(text)]
+        if not own:
+            assert (name, score, likely) == ("und", 0.0, None)
+            continue
+        log = {x: sum(math.log((n[g] + 0.1) / (n.total() + 0.1 * model.buckets)) for g in own) for x, n in count.items()}
+        whole = {x: v + math.log(number[x] / number.total()) for x, v in log.items()}
+        best = max(sorted(whole), key=whole.get)
+        assert name == best or abs(whole[name] - whole[best]) < 1e-3 * len(own)
+        assert likely == pytest.approx(max(log.values()) / len(own), abs=1e-4)
+        assert score == pytest.approx(1 / sum(math.exp(v - whole[best]) for v in whole.values()), abs=1e-3)
+    assert model.score(["same words"])[0] == ["tie a"]
+
+
+def test_language_memory_does_not_grow_with_languages():
+    import tracemalloc
+
+    from lexloom.llm.language import LanguageModel
+
+    text = " ".join(random.Random(3).choices(["lorem", "ipsum", "dolor", "sit", "amet", "straße"], k=80_000))
+    peak = []
+    for names in (2, 100):
+        model = LanguageModel([f"l{k}" for k in range(names)], np.zeros(names), np.random.default_rng(1).normal(size=(names, 1 << 15)).astype(np.float32))
+        model.score(["warm"])
+        tracemalloc.start()
+        model.score([text])
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < 1.1 * peak[0] + (1 << 20)
