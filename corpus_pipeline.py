@@ -37,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where nothing could be learned, all texts with a letter stay as they are."""
     model = train_language(docs.filter(F.col("text").rlike(r"\p{L}")))
     found = predict_language(docs, model, lang_out="_pred", score_out="_score", likely_out="_likely")
-    found = found.filter(F.col("_likely") >= -math.log(len(model.log)) - SLACK)
+    found = found.filter(F.col("_likely") >= -math.log(model.buckets) - SLACK)
     if model.names:
         given = F.when(F.col("_score") < SURE, F.col("lang"))
         found = found.withColumn("lang", F.coalesce(given, F.col("_pred")))
