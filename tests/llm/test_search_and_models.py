@@ -11,27 +11,62 @@ from lexloom.llm.toxicity import predict_chain, train_chain
 from lexloom.llm.url_rules import BlockedBloom, judge_urls, listed_pages
 
 
-def brute(rows, k):
-    vecs = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q, a in vecs:
-        if q % 50 == 0:
-            hits = sorted((-int(a @ b), i) for i, b in vecs if i != q and len(b) == len(a))[:k]
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(hits)}
-    return out
+LONG = (1 << 63) - 1
 
 
-def test_top_k_is_exact(spark):
+def brute(rows, k):
+    vecs = [(i, [int(np.floor(np.float64(256 * float(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(256 * float(x)) for x in v)]
+    asked = {}
+    for i, v in vecs:
+        if i % 50 == 0:
+            asked[i] = max(asked.get(i, v), v)
+    out = []
+    for q, a in asked.items():
+        hits = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vecs if i != q and len(b) == len(a))[:k]
+        out += [(q, n + 1, i, max(-LONG, min(LONG, -s))) for n, (s, i) in enumerate(hits)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("shard,leaf", [(4096, 32), (40, 4), (7, 2)])
+def test_top_k_is_exact(spark, shard, leaf):
     rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    rows = [(i, (rng.normal(size=8) * (1 + i % 3)).astype(np.float32).tolist()) for i in range(400)]
     rows += [(i, rows[7][1]) for i in range(400, 460)]  # ties
-    rows += [(1000, None), (1050, [1.0] * 7 + [float("nan")]), (1100, [None] * 8), (1150, [1.0, 2.0]), (None, [0.0] * 8), (1200, [1e20] * 8), (1201, [])]
+    rows += [(100, rows[3][1]), (101, rows[100][1]), (101, rows[100][1])]  # repeated keys
+    rows += [(1000, None), (1050, [1.0] * 7 + [float("nan")]), (1100, [None] * 8), (1150, [1.0, 2.0]), (1151, [3.0, -2.0]), (1152, [5.0]), (None, [0.0] * 8), (1200, []), (1201, []), (1250, [float("inf")] * 8)]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
-    small = [r for r in rows if r[0] is None or r[0] < 1200]
-    got = {tuple(r) for r in exact_top_k(df.filter("vec_id is null or vec_id < 1200"), F.col("vec_id") % 50 == 0, shard_rows=10).collect()}
-    assert got == brute(small, 5)
-    assert exact_top_k(df, F.col("vec_id") % 50 == 0).count() > 0
-    assert exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    got = sorted(tuple(r) for r in exact_top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard, leaf_rows=leaf).collect())
+    assert got == brute(rows, 5)
+    assert exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+@pytest.mark.parametrize("size", [3e6, 1e9, 1e20, 1e37])
+def test_top_k_of_large_numbers(spark, size):
+    rng = np.random.default_rng(2)
+    rows = [(i, [size] * 8 + [k / 256]) for i, k in ((0, 1), (1, 1), (2, 2), (50, 2))]
+    rows += [(i, (rng.normal(size=9) * size).tolist()) for i in range(100, 260)] + [(1300, [-size] * 9), (1301, [1e306] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_top_k(df, F.col("vec_id") % 50 == 0, shard_rows=30, leaf_rows=4).collect())
+    assert got == brute(rows, 5)
+
+
+def test_ball_tree_cuts_leaves():
+    from lexloom.llm.top_k import BallTree
+
+    rng = np.random.default_rng(3)
+    points = np.floor(rng.normal(size=(4000, 6)) * 20 + 4000 * rng.integers(-3, 4, (4000, 1)))
+    tree = BallTree(np.arange(4000), points, leaf=16)
+    assert len(tree.levels) == 9
+    queries = points[:50]
+    best, owner, visited = tree.search(np.arange(50), queries, 5, np.full(50, -np.inf))
+    exact = queries @ points.T
+    exact[np.arange(50), np.arange(50)] = -np.inf
+    for i in range(50):
+        want = sorted((-s, j) for j, s in enumerate(exact[i]))[:5]
+        assert [(-s, j) for s, j in zip(best[i], owner[i])] == want
+    assert visited < 50 * 256 / 4
+    again, _, fewer = tree.search(np.arange(50), queries, 5, best[:, -1])
+    assert (again == best).all() and fewer <= visited
 
 
 def test_language(spark):
@@ -151,12 +186,6 @@ def test_mix(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_top_k_with_empty_vectors(spark):
-    rows = [(50, []), (51, []), (100, [1.0, 2.0]), (101, [3.0, 1.0]), (102, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in exact_top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(100, 1, 101, 5 * 256 * 256)]
-
-
 def test_fill_budget_with_long_documents_only():
     assert mixing.fill_budget([70_000, 71_000, 72_000], [1, 1, 1], 100_000) == {70_000: 0, 71_000: 0, 72_000: 1}
     rng = random.Random(8)
