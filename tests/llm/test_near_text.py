@@ -63,20 +63,58 @@ def brute_components(rows, n):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("seed,small", [(1, 32), (2, 0)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, small):
-    monkeypatch.setattr(near_dup, "SMALL", small)  # 0: all buckets go through the doubling rounds
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_equal_brute_force(spark, seed):
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(docs, words=4).collect()}
     assert got == brute_components(rows, 4)
 
 
+def near_copies(seed, n, size=150, most=9):
+    """A text and n copies with up to `most` words each replaced, dropped or put in, some by a word
+    that other copies got too; links and texts just below the similarity are many."""
+    rng = random.Random(seed)
+    base, rows = [f"b{i}" for i in range(size)], []
+    for i in range(n):
+        w = base[:]
+        for _ in range(rng.randint(1, most)):
+            k, new = rng.randrange(len(w)), rng.choice(["x", "y", f"u{i}x{rng.random()}"])
+            w[k : k + rng.randint(0, 1)] = [new] * rng.randint(0, 1)
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_links_of_a_large_group_of_near_copies(spark):
+    import numpy as np
+
+    rows = near_copies(7, 2000)
+    sets = [sets_of(t, 4) for _, t in rows]
+    number = {s: k for k, s in enumerate({s for x in sets for s in x})}
+    at = np.zeros((len(rows), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        at[i, [number[s] for s in x]] = 1
+    both, n = (at @ at.T).astype(int), at.sum(axis=1).astype(int)
+    link = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    root = np.arange(len(rows))
+    while True:
+        low = np.where(link, root[None], len(rows)).min(axis=1)
+        if (low == root).all():
+            break
+        root = low
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, words=4).collect()}
+    assert got == dict(enumerate(root.tolist())) and 20 < len(set(got.values())) < 1980
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dup.near_duplicates(docs).collect())
     assert got == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "3", True), ("None", "None", True)]
     assert near_dup.near_duplicates(docs.limit(0)).count() == 0
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    docs = spark.createDataFrame([(5, a), (5, b), (4, a), (9, b + " more"), (2, c), (7, "a " * 300_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()) == [(2, 2), (4, 4), (5, 4), (5, 4), (7, 7), (9, 4)]
 
 
 def test_components(spark):
