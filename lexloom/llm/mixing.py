@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +18,19 @@ from .common import WORD, written
 
 #: Parts into which the documents of one length are dealt before they are ranked.
 PARTS = 1024
-#: Most words that dynamic programming fills, and most lengths that it uses.
-FIT_WORDS, FIT_LENGTHS = 1 << 16, 512
+#: Most words that dynamic programming fills (the default of fit_words).
+FIT_WORDS = 1 << 16
 
 
-def fill_budget(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
+def fill_budget(lengths: list[int], counts: list[int], budget: int, fit_words: int = FIT_WORDS) -> dict[int, int]:
     """How many documents of each length to take so that their sizes sum to the budget or as
-    little below it as can be found. Lengths are over 0."""
+    little below it as can be found. Lengths are over 0, each stands once.
+
+    A share of every length in proportion comes first, then long documents until what remains is
+    within half of fit_words, then bounded-knapsack dynamic programming over all lengths that fit.
+    What remains short: nothing, if any choice of the documents left sums to the remainder; else as
+    little as any choice does, where the remainder is at most fit_words. Above that (sources of a few
+    very long documents) it is less than the shortest document left."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if budget >= total:
         return dict(zip(lengths, counts, strict=True))
@@ -31,23 +38,26 @@ def fill_budget(lengths: list[int], counts: list[int], budget: int) -> dict[int,
     left = {n: c - take[n] for n, c in zip(lengths, counts, strict=True)}
     rest = budget - sum(n * k for n, k in take.items())
     for n in sorted(lengths, reverse=True):  # long ones first, down to what the table covers
-        k = min(left[n], max(0, rest - FIT_WORDS // 2) // n)
+        k = min(left[n], max(0, rest - fit_words // 2) // n)
         take[n], left[n], rest = take[n] + k, left[n] - k, rest - k * n
-    chosen = [n for n in sorted(lengths) if left[n] and n <= rest][:FIT_LENGTHS]
-    most = min(rest, FIT_WORDS)
-    mask, reached, steps = (1 << (most + 1)) - 1, 1, []
-    for n in chosen:
+    most = min(rest, fit_words)
+    reached, via = np.zeros(most + 1, bool), np.full(most + 1, -1, np.int64)
+    reached[0] = True
+    steps: list[tuple[int, int]] = []
+    for n in sorted(n for n in lengths if left[n] and n <= most):
         c, k = min(left[n], most // n), 1
-        while c > 0:  # 1, 2, 4, ... copies at once
+        while c > 0 and not reached[most]:  # 1, 2, 4, ... copies at once
             k = min(k, c)
-            steps.append((n, k, reached))
-            reached |= reached << (n * k) & mask
+            new = reached[: most + 1 - n * k] & ~reached[n * k :]
+            via[n * k :][new] = len(steps)  # the first step that reaches a sum
+            reached[n * k :] |= new
+            steps.append((n, k))
             c, k = c - k, 2 * k
-    at = reached.bit_length() - 1
+    at = int(np.flatnonzero(reached)[-1])
     rest -= at
-    for n, k, before in reversed(steps):
-        if not before >> at & 1:
-            take[n], left[n], at = take[n] + k, left[n] - k, at - n * k
+    while at:
+        n, k = steps[via[at]]
+        take[n], left[n], at = take[n] + k, left[n] - k, at - n * k
     for n in sorted(lengths, reverse=True):  # what the table could not hold
         k = min(left[n], rest // n)
         take[n], rest = take[n] + k, rest - k * n
@@ -91,16 +101,18 @@ def mix_sources(
     weights: tuple[float, ...] = (5, 2, 1),
     most: float = 3.0,
     seed: int = 7,
+    fit_words: int = FIT_WORDS,
 ) -> DataFrame:
     """One row per document: key, size (words), source, source_size, target, repeats, taken.
 
     Null texts have size 0 and take nothing; null sources are one source, the last. Rows that
     repeat a key are documents of their own. No document repeats more than `most` times (rounded
-    up where the rest of a budget picks it). Only sums by source, and counts by source, length and
+    up where the rest of a budget picks it). A source's taken words miss its target by what
+    `fill_budget` says of fit_words. Only sums by source, and counts by source, length and
     hash part, are shuffled, then the small rows (key, size); never the texts."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), size.alias("size"))
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_key"))).withColumn("_part", F.pmod("_hash", F.lit(PARTS)).cast("int"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_hash"))
+    rows = rows.withColumn("_part", F.pmod("_hash", F.lit(PARTS)).cast("int"))
     #: Never null: equal joins on it keep the rows of the null source.
     rows = written(rows.withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")
     lengths = written(rows.groupBy("_src", "source", "size", "_part").agg(F.count(F.lit(1)).alias("_n")), "mix-counts")
@@ -113,7 +125,7 @@ def mix_sources(
         budget, whole = int(round(float(group.target.iloc[0]))), int(group.source_size.iloc[0])
         passes = min(budget // whole, int(most))
         rest = budget - passes * whole if passes < most else 0
-        take = fill_budget(group["size"].tolist(), group["_n"].tolist(), rest)
+        take = fill_budget(group["size"].tolist(), group["_n"].tolist(), rest, fit_words)
         return pd.DataFrame({"_src": group["_src"], "size": group["size"], "passes": passes, "extra": [take[n] for n in group["size"]]})
 
     plans = by_length.groupBy("_src").applyInPandas(plan, "_src string, size long, passes int, extra long")

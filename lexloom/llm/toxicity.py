@@ -7,7 +7,6 @@ often they stand in rows of a category. Training rows are a bounded sample; ever
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,10 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+from .near_dup import near_duplicates
 from .token_counts import slices
 
-#: Most rows of the training sample, most words of the vocabulary, fewest rows that a word is in.
-SAMPLE_ROWS, WORDS, FEWEST_ROWS, FOLDS = 12_000, 4096, 5, 3
+#: Defaults: most rows of the training sample, most words of the vocabulary.
+SAMPLE_ROWS, WORDS = 12_000, 4096
+#: Fewest rows that a word is in, folds.
+FEWEST_ROWS, FOLDS = 5, 3
+#: Words of a shingle and the similarity (percent) of near copies in the training sample.
+SHINGLE, NEAR = 5, 80
 #: Lengths of the beginnings of words that count as words.
 STEMS = (5, 6, 7)
 #: Least surprise (chi-square) of a word of the vocabulary.
@@ -35,12 +40,6 @@ def words_of(text: str | None) -> set[str]:
     return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in STEMS))
 
 
-def sketch(text: str) -> int:
-    """The least hash of a text's three-word shingles, which near copies mostly share."""
-    w = text.split()
-    return min(zlib.crc32(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2)))
-
-
 @dataclass
 class Chain:
     """Categories in order, the vocabulary, and each category's weights (bias, words, earlier ones)."""
@@ -84,32 +83,54 @@ def fit(rows: np.ndarray, at: np.ndarray, earlier: np.ndarray, y: np.ndarray, wo
     return w
 
 
-def train_chain(
-    docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS
-) -> Chain:
-    """Learns a chain from rows of `labels` (key and a 0/1 column for each category, in the chain's
-    order) that have a text.
+def out_of_fold(row: np.ndarray, at: np.ndarray, earlier: np.ndarray, y: np.ndarray, fold: np.ndarray, words: int) -> np.ndarray:
+    """Each row's probability by a model of the rows of all other folds."""
+    out = np.zeros(len(y))
+    for f in range(FOLDS):
+        inside = fold != f
+        number = np.cumsum(inside) - 1
+        use = inside[row]
+        w = fit(number[row[use]], at[use], earlier[inside], y[inside], words)
+        out[~inside] = predicted(w, row, at, earlier, words)[~inside]
+    return out
+
 
-    The sample: rows whose key hashes below sample_rows / rows, so about `sample_rows` rows at
-    most, the same ones on each run. Rows with a null key, label or text are not used; of labels
-    that repeat a key the greatest counts, and of near copies one. Without rows of both kinds a category's probability is
-    constant."""
+def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(words, each category): the sample that a chain is learned from.
+
+    Rows whose key hashes below sample_rows / rows, so about `sample_rows` rows at most, the same ones
+    on each run. Rows with a null key, label or text are not used; of labels that repeat a key the
+    greatest counts. Of near copies (five-word shingles, similarity 0.8 on the full sets) with the same
+    labels, the one with the smallest key stays: else the words of a text with many copies look telling.
+    Rows that repeat a key and a text count once."""
     own = labels.select(F.col(key).alias("_key"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     own = own.groupBy("_key").agg(*[F.max(c).alias(c) for c in categories])
     share = min(1.0, sample_rows / max(1, own.count()))
     own = own.filter((F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) / F.lit(1 << 20)) < share) if share < 1 else own
-    seen = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropna().join(own, "_key").drop("_key")
+    seen = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropna().join(own, "_key")
+
+    kept = written(seen.select("_key", "_text", *categories).distinct().withColumn("_row", F.monotonically_increasing_id()), "labelled")
+    groups = near_duplicates(kept, key="_row", text="_text", words=SHINGLE, percent=NEAR).select("_row", "component_id")
+    first = kept.join(groups, "_row").groupBy("component_id", *categories).agg(F.min(F.struct("_key", "_row")).alias("_first"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            held = [sorted(words_of(x)) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), pa.array(map(sketch, texts), pa.int64()), *[batch.column(c) for c in categories]], names=["words", "_sketch", *categories])
-
-    rows = seen.mapInArrow(split, "words array<string>, _sketch long, " + ", ".join(f"`{c}` int" for c in categories))
-    # one of each group of near copies: else the words of a text with many copies look telling
-    rows = rows.groupBy("_sketch").agg(F.max(F.struct(*categories, "words")).alias("r")).select("r.words", *[f"r.{c}" for c in categories])
-    rows = rows.withColumn("_fold", F.pmod(F.xxhash64("words"), F.lit(FOLDS)).cast("int")).persist()
+        for whole in batches:
+            for batch in slices(whole, "_text", 1 << 20):
+                held = pa.array([sorted(words_of(x)) for x in batch.column("_text").to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([held, *[batch.column(c) for c in categories]], names=["words", *categories])
+
+    rows = kept.join(first.select("_first._row"), "_row", "left_semi").select("_text", *categories)
+    return rows.mapInArrow(split, "words array<string>, " + ", ".join(f"`{c}` int" for c in categories))
+
+
+def train_chain(
+    docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, vocabulary_words: int = WORDS
+) -> Chain:
+    """Learns a chain from rows of `labels` (key and a 0/1 column for each category, in the chain's
+    order) that have a text, by a bounded sample of about `sample_rows` of them (`training_rows`) and
+    the `vocabulary_words` most telling of their words. Without rows of both kinds a category's
+    probability is constant."""
+    rows = written(training_rows(docs, labels, categories, key, text, sample_rows).withColumn("_fold", F.pmod(F.xxhash64("words"), F.lit(FOLDS)).cast("int")), "training")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     n = totals["n"]
     word = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories])
@@ -120,11 +141,10 @@ def train_chain(
         return F.pow(F.col(c) - F.col("n") * F.lit(rate), F.lit(2)) / (F.col("n") * F.lit(spread))
 
     strong = word.filter(F.col("n") >= FEWEST_ROWS).withColumn("_s", F.greatest(*[surprise(c) for c in categories], F.lit(0.0)))
-    chosen = strong.filter(F.col("_s") >= SURPRISE).orderBy(F.desc("_s"), "word").limit(WORDS).select("word").collect()
+    chosen = strong.filter(F.col("_s") >= SURPRISE).orderBy(F.desc("_s"), "word").limit(vocabulary_words).select("word").collect()
     vocabulary = {r[0]: i for i, r in enumerate(chosen)}
     listed = F.array_intersect("words", F.lit(list(vocabulary))) if vocabulary else F.array().cast("array<string>")
     data = rows.select(listed.alias("words"), "_fold", *categories).toArrow().combine_chunks()
-    rows.unpersist()
     chain = Chain(list(categories), vocabulary)
     lists = data.column("words").combine_chunks() if data.num_rows else pa.array([], pa.list_(pa.string()))
     row = np.repeat(np.arange(data.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
@@ -133,13 +153,7 @@ def train_chain(
     earlier = np.zeros((data.num_rows, 0))
     for c in categories:
         y = data.column(c).to_numpy().astype(float)
-        out = np.zeros(data.num_rows)
-        for f in range(FOLDS):
-            inside = fold != f
-            number = np.cumsum(inside) - 1
-            use = inside[row]
-            w = fit(number[row[use]], at[use], earlier[inside], y[inside], len(vocabulary))
-            out[~inside] = predicted(w, row, at, earlier, len(vocabulary))[~inside]
+        out = out_of_fold(row, at, earlier, y, fold, len(vocabulary))
         chain.weights.append(fit(row, at, earlier, y, len(vocabulary)))
         earlier = np.column_stack([earlier, out])
     return chain
