@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import SPACE
+
 
 def merge_once(text: str, rank: dict[tuple[str, str], int]) -> list[str]:
     """Characters merged by the lowest rank among neighbours, leftmost first, until none is left."""
@@ -28,20 +30,26 @@ def merge_once(text: str, rank: dict[tuple[str, str], int]) -> list[str]:
     return parts
 
 
-def encode(text: Column, rank: dict[tuple[str, str], int]) -> Column:
-    """Tokens of each word of a text (split on white space). The rules are one vocabulary's; each
-    different word of a batch is worked out once."""
+def encode_words(words: DataFrame, word: str, ranks: dict[str, dict[tuple[str, str], int]]) -> DataFrame:
+    """Adds the tokens of each word under each named table of ranks (one vocabulary's), in Arrow batches."""
+
+    def one(rank: dict[tuple[str, str], int]) -> Column:
+        def batch(values: pd.Series) -> pd.Series:
+            return values.map(lambda w: merge_once(w, rank))
+
+        return F.pandas_udf(batch, T.ArrayType(T.StringType()))(F.col(word))
+
+    return words.withColumns({name: one(rank) for name, rank in ranks.items()})
 
-    def batch(values: pd.Series) -> pd.Series:
-        held: dict[str, list[str]] = {}
-        done = []
-        for x in values:
-            out: list[str] = []
-            for w in (x or "").split():
-                if w not in held:
-                    held[w] = merge_once(w, rank)
-                out += held[w]
-            done.append(out)
-        return pd.Series(done)
 
-    return F.pandas_udf(batch, T.ArrayType(T.StringType()))(text)
+def same_encoding(docs: DataFrame, key: str, text: str, a: dict[tuple[str, str], int], b: dict[tuple[str, str], int]) -> DataFrame:
+    """(key, n_tokens, same) of each row: its number of tokens under the ranks `a`, and whether `b` gives
+    the same tokens. Words (split on white space) are counted per row, each different word is
+    encoded once, and the two meet in a join. Null and blank texts have no token."""
+    split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), f"{SPACE}+"), lambda w: w != "")
+    rows = docs.select(F.col(key), split.alias("_w"))
+    each = rows.select(key, F.explode_outer("_w").alias("_word")).groupBy(key, "_word").agg(F.count(F.lit(1)).alias("_n"))
+    words = each.select("_word").filter("_word is not null").distinct()
+    coded = encode_words(words, "_word", {"_a": a, "_b": b}).select("_word", F.size("_a").alias("_tokens"), (F.col("_a") == F.col("_b")).alias("_same"))
+    out = each.join(coded, "_word", "left").groupBy(key)
+    return out.agg(F.coalesce(F.sum(F.col("_n") * F.col("_tokens")), F.lit(0)).cast("int").alias("n_tokens"), F.bool_and(F.coalesce("_same", F.lit(True))).alias("same"))

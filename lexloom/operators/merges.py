@@ -121,14 +121,19 @@ def delete_cascade(rules: DataFrame, deleted: DataFrame) -> DataFrame:
     """(tokenizer_id, token): the given tokens and every token made from one of them, in rounds
     until none is new. A token goes even if another rule still makes it."""
     gone = deleted.select("tokenizer_id", "token").distinct().persist()
-    made = rules.select("tokenizer_id", "left", "right", "merged").persist()
+    made = rules.select("tokenizer_id", F.col("merged").alias("_to"), F.explode(F.array_distinct(F.array("left", "right"))).alias("token")).persist()
     fresh = gone
-    while True:
-        by = lambda side: made.join(fresh.withColumnRenamed("token", side), ["tokenizer_id", side], "left_semi").select("tokenizer_id", F.col("merged").alias("token"))
-        fresh = by("left").unionByName(by("right")).distinct().join(gone, ["tokenizer_id", "token"], "left_anti").persist()
+    while True:  # a round more than the longest chain of merges
+        hit = made.join(fresh, ["tokenizer_id", "token"], "left_semi").select("tokenizer_id", F.col("_to").alias("token"))
+        fresh = hit.distinct().join(gone, ["tokenizer_id", "token"], "left_anti").persist()
         if fresh.isEmpty():
+            fresh.unpersist()
+            made.unpersist()
             return gone
-        gone = gone.unionByName(fresh).persist()
+        more = gone.unionByName(fresh).persist()
+        more.count()
+        gone.unpersist()
+        gone = more
 
 
 def surviving(rules: DataFrame, gone: DataFrame, keep: bool = True) -> DataFrame:

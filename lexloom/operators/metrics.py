@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import anneal_scale, finite
+from .ordinal import running_total, with_ordinal
 
 
 def step_rollup(rows: DataFrame, values: list[str], accumulation: int, step: str = "step") -> DataFrame:
@@ -21,21 +22,48 @@ def stream_rollup(rows: DataFrame, values: list[str], streams: tuple[str, ...] =
     return rows.groupBy(step).agg(*[F.count_if(F.col("stream") == s).alias(f"{s}_batches") for s in streams], *[own(v, s).alias(f"{s}_{v}") for s in streams for v in values])
 
 
-def rolling_mean(rows: DataFrame, value: str, width: int, order: str, by: list[str], name: str) -> DataFrame:
+def rolling_mean(rows: DataFrame, value: str, width: int, order: str, by: list[str], name: str, part: int = 1 << 14) -> DataFrame:
     """Adds the mean of the row's value and of those of the width - 1 rows before it in its series;
-    nulls are skipped, null if all are."""
+    nulls are skipped, null if all are. A series is cut into parts of `part` rows, each of which also
+    gets the last width - 1 rows before it, so a long series is many tasks' work."""
     if width <= 1:
         return rows.withColumn(name, F.col(value))
-    return rows.withColumn(name, F.avg(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(1 - width, 0)))
+    part = max(part, width)
+    no = with_ordinal(rows, order, by, "_no").withColumn("_part", F.floor(F.col("_no") / part))
+    ahead = F.when(F.col("_no") % part >= part - (width - 1), F.array("_part", F.col("_part") + 1)).otherwise(F.array("_part"))
+    cut = no.withColumn("_in", F.explode(ahead))
+    mean = F.avg(value).over(Window.partitionBy(*by, "_in").orderBy("_no").rowsBetween(1 - width, 0))
+    return cut.withColumn(name, mean).filter(F.col("_in") == F.col("_part")).select(*rows.columns, name)
+
+
+def quantiles(rows: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
+    """Per series: exact quantiles of a numeric value, linear between neighbours, as columns named by
+    `at`; null values are left out. Values are counted, and running counts over ranges of values tell
+    which hold the two places that a quantile lies between: no task sees a whole series, and values
+    that repeat are one row."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    before = running_total(counts, "_v", by, F.col("_n"), "_before")
+    whole = before.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    whole = whole.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_all")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    held = before.join(whole, same)
+    low = lambda p: F.floor((F.col("_all") - 1) * F.lit(p))
+    has = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
+    ends = {f"_{side}{i}": F.when(has(k), F.col("_v")) for i, p in enumerate(at.values()) for side, k in (("a", low(p)), ("b", F.least(low(p) + 1, F.col("_all") - 1)))}
+    found = held.withColumns(ends).groupBy(*by).agg(F.max("_all").alias("_all"), *[F.max(c).alias(c) for c in ends])
+    part = lambda p: (F.col("_all") - 1) * F.lit(p) - low(p)
+    return found.select(*by, *[((1 - part(p)) * F.col(f"_a{i}") + part(p) * F.col(f"_b{i}")).alias(name) for i, (name, p) in enumerate(at.items())])
 
 
 def trimmed_limits(rows: DataFrame, value: str, by: list[str], trim: float = 0.05, low: float | None = None, high: float | None = None) -> DataFrame:
     """Per series: limits between the quantiles of half of `trim` at each end (linear between
     values), clamped, widened by 5 % (flat: by 5 % of the value, 1e-6 at least), clamped again;
-    null where the lower is not below the upper. Exact quantiles of a series are one group's work."""
+    null where the lower is not below the upper."""
     tail = min(trim, 0.99) / 2
     clamp = lambda x: F.greatest(F.least(x, F.lit(high)), F.lit(low))  # noqa: E731  greatest and least skip nulls
-    found = rows.filter(finite(F.col(value))).groupBy(*by).agg(F.percentile(value, F.lit(tail)).alias("a"), F.percentile(value, F.lit(1 - tail)).alias("b"))
+    found = quantiles(rows.filter(finite(F.col(value))), value, by, {"a": tail, "b": 1 - tail})
     found = found.withColumn("a", clamp(F.col("a"))).withColumn("b", clamp(F.col("b")))
     gap = F.when(F.col("b") > F.col("a"), 0.05 * (F.col("b") - F.col("a"))).otherwise(F.greatest(0.05 * F.abs("a"), F.lit(1e-6)))
     found = found.withColumn("lo", clamp(F.col("a") - gap)).withColumn("hi", clamp(F.col("b") + gap))

@@ -23,12 +23,24 @@ def permute_columns(values: Column, order: list[int]) -> Column:
     return F.transform(F.array(*map(F.lit, order)), lambda i: F.element_at(values, i + 1))
 
 
+def mean_rows(rows: DataFrame, by: list[str], values: str = "values", width: int = 64) -> DataFrame:
+    """Per value of `by`: the mean of the rows' arrays, position by position. Arrays are cut into pieces
+    of `width` positions and pieces are summed column by column before the shuffle, so what is
+    shuffled is one piece per group and task, not one row per cell."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / F.lit(width)).cast("int") - 1, F.lit(0)))
+    pieces = rows.select(*by, F.explode(starts).alias("_piece"), F.col(values).alias("_v"))
+    pieces = pieces.select(*by, "_piece", F.slice("_v", F.col("_piece") * width + 1, width).alias("_v"))
+    sums = pieces.groupBy(*by, "_piece").agg(*[F.avg(F.try_element_at("_v", F.lit(i + 1)).cast("double")).alias(f"_{i}") for i in range(width)], F.max(F.size("_v")).alias("_size"))
+    sums = sums.select(*by, "_piece", F.slice(F.array(*[f"_{i}" for i in range(width)]), F.lit(1), F.col("_size")).alias("_v"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_piece", "_v"))), lambda x: x["_v"]))
+    return sums.groupBy(*by).agg(whole.alias(values))
+
+
 def added_rows(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """(new_id, old_ids) to (r, values): each new row is the mean of its old rows; an old row that is
+    """(new_id, old_id) to (r, values): each new row is the mean of its old rows; an old row that is
     listed twice counts twice."""
-    each = sources.select("new_id", F.explode("old_ids").alias("old_id")).join(rows, F.col("old_id") == F.col("r"))
-    parts = each.select("new_id", F.posexplode("values").alias("i", "x")).groupBy("new_id", "i").agg(F.avg("x").alias("x"))
-    return parts.groupBy("new_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("values")).withColumnRenamed("new_id", "r")
+    each = sources.select("new_id", "old_id").join(rows, F.col("old_id") == F.col("r"))
+    return mean_rows(each.select("new_id", "values"), ["new_id"]).withColumnRenamed("new_id", "r").select("r", "values")
 
 
 def pad_and_stack(rows: DataFrame, width: int, size: int, experts: int, copy: bool = True) -> DataFrame:

@@ -418,8 +418,7 @@ def bpe_encode_equivalence(spark, sf_dir):
     good = G.ordered(rules, G.edges(rules), "good")
     rank = {(r.left, r.right): r.idx for r in rules.collect()}  # one vocabulary
     again = {(r.left, r.right): r.place for r in rules.join(good.select("idx", "place"), "idx").collect()}
-    docs = read(spark, sf_dir, "documents").select("doc_id", B.encode(F.col("text"), rank).alias("a"), B.encode(F.col("text"), again).alias("b"))
-    return docs.select("doc_id", F.size("a").alias("n_tokens"), (F.col("a") == F.col("b")).alias("same"))
+    return B.same_encoding(read(spark, sf_dir, "documents"), "doc_id", "text", rank, again)
 
 
 # --- vectors, logits, tensors ---------------------------------------------------------------
@@ -499,7 +498,7 @@ def reindex_rows(spark, sf_dir):
 @query(_VEC + """SELECT CAST(label AS BIGINT) AS r, i, round(avg(v[i + 1]), 6) AS x FROM (SELECT label, v, CAST(unnest(range(0, 64)) AS INTEGER) AS i FROM v) GROUP BY 1, 2""")
 def init_added_rows(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    sources = rows.groupBy(F.col("label").cast("long").alias("new_id")).agg(F.collect_list("vec_id").alias("old_ids"))
+    sources = rows.select(F.col("label").cast("long").alias("new_id"), F.col("vec_id").alias("old_id"))
     out = T.added_rows(rows.select(F.col("vec_id").alias("r"), F.col("v").alias("values")), sources)
     return out.select("r", F.posexplode("values").alias("i", "x")).withColumn("x", six(F.col("x")))
 
