@@ -26,8 +26,9 @@ PIECES = regex.compile(
 UNITS = regex.compile(
     rf"{_ENDING}|[{_WS}]*[^ \P{{White_Space}}]{_ENDING}|[{_WS}]*\p{{L}}+|[{_WS}]*\p{{N}}+|[{_WS}]*[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+"
 )
-_EDGE = regex.compile(rf"\A[{_WS}]|[{_WS}]\Z")
 _RUN = regex.compile(rf"[{_WS}]{{2}}")
+#: How the vocabulary file writes a space.
+SPACE = "\u0120"
 #: Units of one generation; a worker keeps two generations of them.
 KEPT_UNITS = 700_000
 
@@ -55,6 +56,10 @@ class UnitStore:
         """The bytes of units."""
         raise NotImplementedError
 
+    def work_spaced(self, names: list[str]) -> list[bytes]:
+        """The bytes of units that are a space and a name without white space at its ends."""
+        return self.work([" " + x for x in names])
+
     def learn(self, names: list[str]) -> list[bytes | None]:
         """The bytes of units that follow a space, worked out where not yet known. None: a unit
         that begins or ends in white space, so that what is beside it counts."""
@@ -62,30 +67,31 @@ class UnitStore:
             self.before, self.after_space = self.after_space, {}
         held, old = self.after_space, self.before
         out = list(map(held.get, names))
-        gaps = [i for i, x in enumerate(out) if x is None]
-        fresh = []
-        for i in gaps:
-            x = names[i]
-            if x == "" or _EDGE.search(x):
-                continue
-            if x in old:
-                out[i] = held[x] = old[x]
-            else:
-                fresh.append(i)
+        fresh = [i for i, x in enumerate(out) if x is None]
+        if old:
+            for i in fresh:
+                x = old.get(names[i])
+                if x is not None:
+                    out[i] = held[names[i]] = x
+            fresh = [i for i in fresh if out[i] is None]
+        fresh = [i for i in fresh if (x := names[i]) and x == x.strip()]
         for at in range(0, len(fresh), 50_000):
             part = fresh[at : at + 50_000]
-            for i, value in zip(part, self.work([" " + names[i] for i in part]), strict=True):
-                out[i] = held[names[i]] = value
+            todo = [names[i] for i in part]
+            found = self.work_spaced(todo)
+            held.update(zip(todo, found, strict=True))
+            for i, value in zip(part, found, strict=True):
+                out[i] = value
         return out
 
-    def slow(self, text: str) -> bytes:
-        found = UNITS.findall(text)
+    def slows(self, texts: list[str]) -> list[bytes]:
+        """The bytes of texts, unit by unit."""
+        found = list(map(UNITS.findall, texts))
         if len(self.other) > KEPT_UNITS // 4:
             self.other.clear()
-        new = list({x for x in found if x not in self.other})
-        if new:
-            self.other.update(zip(new, self.work(new), strict=True))
-        return b"".join(map(self.other.__getitem__, found))
+        new = list({u for x in found for u in x if u not in self.other})
+        self.other.update(zip(new, self.work(new), strict=True))
+        return [b"".join(map(self.other.__getitem__, x)) for x in found]
 
     def plains(self, texts: list[str]) -> list[bytes]:
         """The bytes of texts without special strings. Each different unit of the batch is looked
@@ -95,28 +101,24 @@ class UnitStore:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = lists.offsets.to_numpy()
         flat = lists.values.dictionary_encode()
-        index, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        index, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
         inner = np.ones(len(index), bool)
         inner[offsets[:-1]] = False
         used = np.zeros(len(names), bool)
         used[index[inner]] = True
         wanted = np.flatnonzero(used)
-        found = self.learn([names[i] for i in wanted])
-        units: list[bytes] = [b""] * len(names)
+        found = self.learn([names[i] for i in wanted.tolist()] if len(wanted) < len(names) else names)
         edge = np.zeros(len(names) + len(texts), bool)
-        for i, x in zip(wanted.tolist(), found, strict=True):
-            if x is None:
-                edge[i] = True
-            else:
-                units[i] = x
+        edge[wanted] = [x is None for x in found]
+        held = np.full(len(names), b"", object)
+        held[wanted] = [x or b"" for x in found]
+        units = held.tolist()
         single = np.diff(offsets) == 1
-        for k, i in enumerate(index[offsets[:-1]].tolist()):
-            head = names[i]
-            if not single[k] and (head == "" or _EDGE.search(head)):
-                edge[len(units)] = True
-                units.append(b"")
-            else:
-                units.append(self.slow(head) if head else b"")
+        heads = [names[i] for i in index[offsets[:-1]].tolist()]
+        # a head with white space at its ends counts what is beside it
+        alone = [bool(one or x and x == x.strip()) for one, x in zip(single, heads, strict=True)]
+        edge[len(names) :] = ~np.array(alone)
+        units += self.slows([x if ok else "" for x, ok in zip(heads, alone, strict=True)])
         index[offsets[:-1]] = len(names) + np.arange(len(texts))
         blob = np.frombuffer(b"".join(units), self.item)
         sizes = np.fromiter(map(len, units), np.int64, len(units)) // blob.itemsize
@@ -130,8 +132,9 @@ class UnitStore:
         cuts = (np.concatenate([[0], ends])[offsets] * blob.itemsize).tolist()
         out = [raw[i:j] for i, j in zip(cuts, cuts[1:])]
         if edge.any():
-            for k in np.flatnonzero(np.add.reduceat(edge[index], offsets[:-1])):
-                out[k] = self.slow(texts[k])
+            odd = np.flatnonzero(np.add.reduceat(edge[index], offsets[:-1]))
+            for k, value in zip(odd, self.slows([texts[k] for k in odd]), strict=True):
+                out[k] = value
         return out
 
     def plain(self, text: str) -> bytes:
@@ -170,6 +173,19 @@ class LibraryIds(UnitStore):
 
         super().__init__(tuple(t["content"] for t in _file(path)["added_tokens"]))
         self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        #: Which ids begin with a space.
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for x, i in vocab.items() if x.startswith(SPACE)]] = True
+
+    def work_spaced(self, names: list[str]) -> list[bytes]:
+        # one text of all units: no piece crosses their borders, and only a unit's first id begins with a space
+        if not names:
+            return []
+        ids = np.array(self.library.encode_batch_fast([" " + " ".join(names)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * 4).tolist()
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def work(self, todo: list[str]) -> list[bytes]:
         if not todo:
