@@ -78,7 +78,7 @@ def set_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text", 1 << 20):
+            for batch in slices(whole, "_text", 1 << 18):
                 texts = batch.column("_text").to_pylist()
                 s, of = shingles(word_hashes(texts, lower=True), words)
                 n = np.bincount(of, minlength=len(texts))
@@ -102,7 +102,7 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             near = whole.filter(pa.array(bloom.has(whole.column("_hash").to_numpy())))
-            for batch in slices(near, "_text", 1 << 20):
+            for batch in slices(near, "_text", 1 << 18):
                 texts = batch.column("_text").to_pylist()
                 s, of = shingles(word_hashes(texts, lower=True), words)
                 n = np.bincount(of, minlength=len(texts))
