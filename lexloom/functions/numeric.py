@@ -61,8 +61,10 @@ def frozen_scale(frozen_rate: Column, rate: Column) -> Column:
 
 
 def steps_needed(examples: Column, epochs: float, per_step: Column) -> Column:
-    """Steps that show `examples` for some epochs: rounded up, 1 at least."""
-    return F.greatest(F.lit(1), F.ceil(examples * F.lit(float(epochs)) / per_step)).cast("long")
+    """Steps that show `examples` for some epochs: rounded up, 1 at least. No examples, or nothing shown
+    a step, is an error when read."""
+    sure = F.assert_true((examples >= 1) & (per_step > 0), F.lit("no examples, or a step shows none"))
+    return F.when(sure.isNull(), F.greatest(F.lit(1), F.ceil(examples * F.lit(float(epochs)) / per_step)).cast("long"))
 
 
 def gate(step: Column, every: int, weight: float, enabled: Column) -> Column:
@@ -82,3 +84,22 @@ def top_k_weights(scores: Column, k: int) -> Column:
 def rms_norm(v: Column, eps: float = 1e-6) -> Column:
     """A vector over the root of its mean square."""
     return let(dot(v, v) / F.size(v), lambda mean: F.transform(v, lambda x: x / F.sqrt(mean + eps)))
+
+
+def gibibytes(size: Column) -> Column:
+    """Bytes in units of 2^30; null stays null."""
+    return size.cast("double") / F.lit(float(1 << 30))
+
+
+def headroom(most: Column, used: Column) -> Column:
+    """What is left of a limit, 0 at least; null without a limit."""
+    return F.when(most.isNotNull(), F.greatest(most - used, F.lit(0)))
+
+
+def unit(v: Column) -> Column:
+    """An array scaled to length 1; one of length 0 stays as it is."""
+    return let(F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x / n))
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))

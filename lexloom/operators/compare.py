@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import dot
+from ..functions.numeric import cosine, dot, unit
 from ..functions.text import normalize
 
 #: Similarity from which answers mean the same.
@@ -88,3 +88,45 @@ def config_differences(a: DataFrame, b: DataFrame, shown: int = 8) -> DataFrame:
     """Two (key, value) tables to one row: how many keys differ, and the first of them by name."""
     off = misaligned(a, b, ["key"], "value")
     return off.agg(F.count(F.lit(1)).alias("n_different"), F.slice(F.array_sort(F.collect_list("key")), 1, shown).alias("first_keys"))
+
+
+def masked_mean(states: DataFrame, by: list[str], values: str, mask: str, width: int) -> DataFrame:
+    """Per text: the mean of its positions' vectors where the mask is 1 (a count of 0 counts as 1),
+    scaled to length 1. width: entries of a vector. Sums are formed position by position before the
+    shuffle."""
+    own = [F.sum(F.element_at(values, i + 1).cast("double") * F.col(mask)).alias(f"_{i}") for i in range(width)]
+    sums = states.groupBy(*by).agg(*own, F.greatest(F.sum(mask), F.lit(1)).alias("_n"))
+    mean = F.transform(F.array(*[f"_{i}" for i in range(width)]), lambda x: x / F.col("_n"))
+    return sums.select(*by, unit(mean).alias(values))
+
+
+def pooled_similarity(a: DataFrame, b: DataFrame, key: str, values: str = "values") -> DataFrame:
+    """(key, semantic_similarity) of two tables of pooled vectors."""
+    other = b.select(F.col(key).alias("_key"), F.col(values).alias("_other"))
+    return a.join(other, F.col(key) == F.col("_key")).select(key, cosine(F.col(values), F.col("_other")).alias("semantic_similarity"))
+
+
+def aligned(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Both tables joined on their keys; a position that only one has, or where the values differ, is an
+    error when read (two models must have cut the prompts into the same tokens)."""
+    left, right = a.withColumn("_a", F.lit(True)), b.select(*keys, F.col(value).alias("_value"), F.lit(True).alias("_b"))
+    both = left.join(right, keys, "full_outer")
+    same = F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.col(value).eqNullSafe(F.col("_value"))
+    return both.filter(F.assert_true(same, F.lit("the token ids of both sides differ")).isNull()).drop("_a", "_b", "_value")
+
+
+def vocabulary_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: tokens that only one of two vocabularies (token, id) has or that have another id, and
+    whether the vocabularies are equal."""
+    off = misaligned(a, b, ["token"], "id")
+    return off.agg(F.count(F.lit(1)).alias("n_different"), (F.count(F.lit(1)) == 0).alias("equal"))
+
+
+def chains(rules: DataFrame) -> DataFrame:
+    """(tokenizer_id, idx, next_idx): for each rule the first other rule (by idx) whose left part is this
+    one's right part."""
+    one = rules.select("tokenizer_id", "idx", F.col("right").alias("_at"))
+    two = rules.select("tokenizer_id", F.col("idx").alias("_next"), F.col("left").alias("_at"))
+    # of the rules with one left part only the first two can be a first other rule
+    two = two.withColumn("_k", F.row_number().over(Window.partitionBy("tokenizer_id", "_at").orderBy("_next"))).filter("_k <= 2")
+    return one.join(two, ["tokenizer_id", "_at"]).filter("idx <> _next").groupBy("tokenizer_id", "idx").agg(F.min("_next").alias("next_idx"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import steps_needed
+from ..functions.text import blank
 from .ordinal import batch_number, with_ordinal
 
 
@@ -43,21 +46,84 @@ def schedule(docs: DataFrame, key: str, stream: Column, cycle: dict[str, int], b
     return out.withColumn("micro_batch", place.cast("long"))
 
 
-def pad(rows: DataFrame, ids: str, batch: list[str], fill: int = 0, most: int | None = None, left: bool = False) -> DataFrame:
-    """Cuts id arrays to `most` and fills them up to the longest of their batch; adds `mask`."""
+def pad(rows: DataFrame, ids: str, batch: list[str], fill: int = 0, most: int | None = None, left: bool = False, fixed: bool = False) -> DataFrame:
+    """Cuts id arrays to `most` and fills them up to the longest of their batch, or (fixed) to `most`;
+    adds `mask`."""
+    if fixed and not most:
+        raise ValueError("a fixed width needs `most`")
     cut = rows.withColumn(ids, F.slice(F.col(ids), 1, most)) if most else rows
-    out = cut.withColumn("_n", F.size(ids)).withColumn("_wide", F.max("_n").over(Window.partitionBy(*batch)))
+    out = cut.withColumn("_n", F.size(ids))
+    out = out.withColumn("_wide", F.lit(most)) if fixed else out.withColumn("_wide", F.max("_n").over(Window.partitionBy(*batch)))
     gap, ones, zeros = F.col("_wide") - F.col("_n"), F.array_repeat(F.lit(1), F.col("_n")), F.array_repeat(F.lit(0), F.col("_wide") - F.col("_n"))
     filler = F.array_repeat(F.lit(fill).cast(rows.schema[ids].dataType.elementType), gap.cast("int"))
     both = F.concat(filler, ids) if left else F.concat(ids, filler)
     return out.withColumn("mask", F.concat(zeros, ones) if left else F.concat(ones, zeros)).withColumn(ids, both).drop("_n", "_wide")
 
 
-def cycle_examples(lines: DataFrame, epochs: int, seeds: list[list[int]]) -> DataFrame:
-    """Lines of several files, for each epoch in that epoch's order of files: (epoch, path_ord,
-    line_no, text). seeds: for each epoch the order of the files' numbers."""
-    if len(seeds) < epochs:
+def most_steps(steps: DataFrame) -> DataFrame:
+    """One row of `resolve_steps`: the steps of the stream that needs most (null if there is none)."""
+    return steps.agg(F.max("steps").alias("steps"))
+
+
+def planned_steps(examples: DataFrame, shares: dict[str, float], steps: int, per_step: int) -> DataFrame:
+    """One row (steps): a number over 0 as it is; a negative number -n means n epochs of the stream that
+    needs most steps; 0 is an error."""
+    if steps == 0:
+        raise ValueError("the number of steps is 0")
+    if steps > 0:
+        return examples.sparkSession.createDataFrame([(steps,)], "steps long")
+    return most_steps(resolve_steps(examples, shares, float(-steps), per_step))
+
+
+def stream_share(docs: DataFrame, stream: Column) -> DataFrame:
+    """(stream, share): each stream's part of all rows."""
+    n = docs.groupBy(stream.alias("stream")).agg(F.count(F.lit(1)).alias("_n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("_n").alias("_all")))).select("stream", (F.col("_n") / F.col("_all")).alias("share"))
+
+
+def path_orders(paths: list[str], epochs: int, seed: int) -> list[list[int]]:
+    """For each epoch the order of the files' numbers: shuffled anew at the end of each pass."""
+    pick = random.Random(seed)
+    now, out = list(range(len(paths))), []
+    for _ in range(epochs):
+        pick.shuffle(now)
+        out.append(now[:])
+    return out
+
+
+def cycle_examples(lines: DataFrame, epochs: int, orders: list[list[int]]) -> DataFrame:
+    """Lines (path_no, line_no, text) of several files, for each epoch in that epoch's order of files:
+    (epoch, path_ord, line_no, text, example_no), numbered from 0 over all epochs. Blank lines are
+    passed over; a pass that holds no line is an error. orders: for each epoch the files' numbers."""
+    if len(orders) < epochs:
         raise ValueError("each epoch needs an order of its files")
-    spark = lines.sparkSession
-    order = spark.createDataFrame([(e, p, i) for e in range(epochs) for i, p in enumerate(seeds[e])], "epoch int, path_no int, path_ord int")
-    return lines.join(F.broadcast(order), "path_no").select("epoch", "path_ord", "line_no", "text")
+    kept = lines.filter(~blank(F.col("text")))
+    sizes = {r["path_no"]: r["n"] for r in kept.groupBy("path_no").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a file
+    if epochs and not any(sizes.values()):
+        raise ValueError("a whole pass over the corpus holds no example")
+    at, starts = 0, []
+    for e in range(epochs):
+        for i, p in enumerate(orders[e]):
+            starts.append((e, p, i, at))
+            at += sizes.get(p, 0)
+    order = lines.sparkSession.createDataFrame(starts, "epoch int, path_no int, path_ord int, _start long")
+    own = with_ordinal(kept, "line_no", ["path_no"], "_own")
+    out = own.join(F.broadcast(order), "path_no")
+    return out.select("epoch", "path_ord", "line_no", "text", (F.col("_start") + F.col("_own")).alias("example_no"))
+
+
+def position(paths: list[str], seed: int, batch: int, done: int) -> dict:
+    """What is saved of a corpus stream after `done` batches: the files, the seed, and the next example."""
+    return {"paths": list(paths), "seed": seed, "batch": batch, "next_example": done * batch}
+
+
+def resume(examples: DataFrame, saved: dict, paths: list[str], seed: int) -> DataFrame:
+    """The examples from a saved position on. Other files or another seed than those saved are an error."""
+    if saved["paths"] != list(paths) or saved["seed"] != seed:
+        raise ValueError("the saved position is one of other files or of another order")
+    return examples.filter(F.col("example_no") >= saved["next_example"])
+
+
+def resume_schedule(saved: list[str], cycle: list[str], position_: int) -> tuple[int, bool]:
+    """(place in the cycle, whether it was restored): a saved place of another cycle is not taken."""
+    return (position_ % len(cycle), True) if saved == cycle else (0, False)

@@ -15,8 +15,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import space_priority
 
-#: Names of the orders. Fixed values.
-ORDERS = ("original", "good", "length_then_lexicographic", "lexicographic", "length_descending", "left_right", "whitespace_first")
+#: Names of the orders and what they sort by. The names are fixed values.
+ORDERS = {
+    "original": "the rules' own order",
+    "good": "shorter results first, then by result, left and right part",
+    "length_then_lexicographic": "the same as good",
+    "lexicographic": "by result, then shorter first, then by left and right part",
+    "length_descending": "longer results first, then by result, left and right part",
+    "left_right": "by left part, right part, result",
+    "whitespace_first": "results that begin with white space first, longer ones before, then by result and parts",
+}
 
 
 def edges(rules: DataFrame) -> DataFrame:
@@ -56,6 +64,7 @@ def order_keys(rules: DataFrame) -> DataFrame:
     keys = {
         "original": [F.col("idx")],
         "good": [n, F.col("merged"), F.col("left"), F.col("right"), F.col("idx")],
+        "length_then_lexicographic": [n, F.col("merged"), F.col("left"), F.col("right"), F.col("idx")],
         "lexicographic": [F.col("merged"), n, F.col("left"), F.col("right"), F.col("idx")],
         "length_descending": [-n, F.col("merged"), F.col("left"), F.col("right"), F.col("idx")],
         "left_right": [F.col("left"), F.col("right"), F.col("merged"), F.col("idx")],
@@ -82,13 +91,14 @@ def sort_key(order: str) -> Callable[[tuple], tuple]:
     return keys[order]
 
 
-def ordered(rules: DataFrame, links: DataFrame, order: str = "good", seed: int | None = None) -> DataFrame:
+def ordered(rules: DataFrame, links: DataFrame, order: str | Callable[[tuple], tuple] = "good", seed: int | None = None) -> DataFrame:
     """(tokenizer_id, place, idx): rules so that every edge points forward, the smallest key among
     the available rules first; with order `original` and a seed, a seeded random choice among
-    them instead. A cycle is an error."""
+    them instead. order: a name, or a function from (idx, left, right, merged) to a key, ties to the
+    smaller idx. A cycle is an error."""
     if seed is not None and order != "original":
         raise ValueError("a seed goes with the order `original` only")
-    key = sort_key(order)
+    key = sort_key(order) if isinstance(order, str) else lambda r: (order(r), r[0])
     arrows = links.select(F.col("tokenizer_id").alias("_tokenizer"), F.col("src").alias("src"), F.col("dst").alias("dst"))
 
     def one(k: tuple, own: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:

@@ -117,3 +117,53 @@ def route_loss(rows: DataFrame, by: list[str]) -> DataFrame:
     """Per batch: for each router the mean of -ln(max(target probability, 1e-8)), summed over routers."""
     own = rows.groupBy(*by, "router").agg(F.avg(-F.log(F.greatest(F.col("target_prob"), F.lit(1e-8)))).alias("l"))
     return own.groupBy(*by).agg(F.sum("l").alias("route_loss"))
+
+
+#: The metric line's fields in their order: name, format, and columns of which the first that is not
+#: null is shown. Fixed values.
+LINE = [
+    ("step", "%d", ("step",)),
+    ("mix", "%s", ("mix",)),
+    ("loss", "%.4f", ("loss", "lm_loss")),
+    ("lm", "%.4f", ("lm_loss",)),
+    ("distill", "%.4f", ("distill_loss",)),
+    ("route", "%.4f", ("route_loss",)),
+    ("eval", "%.4f", ("eval_lm_loss", "latest_eval_lm_loss")),
+    ("lr", "%.2e", ("learning_rate",)),
+    ("grad", "%.3f", ("grad_norm",)),
+]
+
+
+def training_line(rows: DataFrame, fields: list[tuple[str, str, tuple[str, ...]]] | None = None) -> Column:
+    """One record as a line: fields in fixed order, each from the first of its columns that is there and
+    not null, numbers only if finite; columns that `rows` lacks count as null."""
+    parts = []
+    for name, form, columns in fields or LINE:
+        held = [c for c in columns if c in rows.columns]
+        if not held:
+            continue
+        value = F.coalesce(*held)
+        sure = value.isNotNull() if form in ("%s", "%d") else finite(value)
+        parts.append(F.when(sure, F.concat(F.lit(f"{name}="), F.format_string(form, value))))
+    return F.concat_ws(" ", *parts)
+
+
+def series(rows: DataFrame, order: list[str], fields: list[str]) -> DataFrame:
+    """(order, field, value): several fields as one long series without nulls; fields that `rows`
+    lacks count as null."""
+    held = [f for f in fields if f in rows.columns]
+    if not held:
+        return rows.select(*order, F.lit("").alias("field"), F.lit(0.0).alias("value")).limit(0)
+    own = rows.select(*order, *[F.col(f).cast("double").alias(f) for f in held])
+    return own.unpivot(order, held, "field", "value").filter("value is not null")
+
+
+def groups_of_runs(rows: DataFrame, flag: str, order: str, by: list[str], name: str = "group") -> DataFrame:
+    """Adds the number (from 0) of the run of flagged rows that a row is in, -1 where it is not flagged:
+    a run starts at a flagged row after one that is not (or none)."""
+    w = Window.partitionBy(*by).orderBy(order)
+    on = F.coalesce(F.col(flag), F.lit(False))
+    start = on & ~F.coalesce(F.lag(flag).over(w), F.lit(False))
+    out = rows.withColumn("_start", start.cast("int"))
+    run = F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    return out.withColumn(name, F.when(on, run).otherwise(-1).cast("long")).drop("_start")

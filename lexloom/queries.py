@@ -13,6 +13,7 @@ from .operators import encode as B
 from .operators import losses as L
 from .operators import merges as G
 from .operators import metrics as M
+from .operators import parameters as W
 from .operators import rewrite as R
 from .operators import tensors as T
 from .operators.ordinal import batch_number, with_ordinal
@@ -128,6 +129,54 @@ def prompt_select(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").filter(~X.blank(F.col("text"))).select("item_id", X.strip(F.col("text")).alias("text"))
 
 
+_CALLED = "CASE WHEN turn % 2 = 0 THEN ' \tYES - ' || text WHEN turn % 3 = 0 THEN 'Yesterday ' || text ELSE text END"
+
+
+@query(f"SELECT conv_id, turn, starts_with({_NORM.format(_CALLED)}, 'yes') AS says_yes FROM conversations")
+def judge_verdicts(spark, sf_dir):
+    text = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" \tYES - "), "text")).when(F.col("turn") % 3 == 0, F.concat(F.lit("Yesterday "), "text")).otherwise(F.col("text"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.judge_says_yes(text).alias("says_yes"))
+
+
+@query("""
+SELECT d.doc_id, md5('Do these two answers to the prompt say the same? Reply yes or no.' || chr(10) || chr(10) || 'Prompt:' || chr(10) || b.text || chr(10) || chr(10) ||
+  'First answer:' || chr(10) || d.text || chr(10) || chr(10) || 'Second answer:' || chr(10) || lower(d.text)) AS digest
+FROM documents d JOIN benchmark b ON b.item_id = d.doc_id WHERE d.text IS NOT NULL""")
+def judge_prompts(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("prompt"))
+    docs = read(spark, sf_dir, "documents").filter("text is not null").join(items, "doc_id")
+    return docs.select("doc_id", F.md5(X.judge_prompt(F.col("prompt"), F.col("text"), F.lower("text")).cast("binary")).alias("digest"))
+
+
+@query("""
+SELECT doc_id, md5(replace(replace(replace(replace(text, 'tion', 'TION'), 'the', 'THE'), 'th', '+'), 'en', '')) AS digest FROM documents""")
+def literal_rewrite(spark, sf_dir):
+    text = X.replace_literals(F.col("text"), {"th": "+", "the": "THE", "tion": "TION", "und": "und"}, ["en"])
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.cast("binary")).alias("digest"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(replace(replace(text, ' the ', ' a '), ' und ', ' oder mit '), ' ') AS b FROM documents),
+p AS (SELECT doc_id, a, b, CAST(unnest(range(0, greatest(len(a), len(b)))) AS INTEGER) AS pos FROM w)
+SELECT doc_id, pos, a[pos + 1] AS value_a, b[pos + 1] AS value_b FROM p WHERE a[pos + 1] IS DISTINCT FROM b[pos + 1]""")
+def token_misalignment(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    changed = F.replace(F.replace("text", F.lit(" the "), F.lit(" a ")), F.lit(" und "), F.lit(" oder mit "))
+    words = lambda text: docs.select("doc_id", F.posexplode(F.split(text, " ")).alias("pos", "word"))
+    return C.misaligned(words(F.col("text")), words(changed), ["doc_id", "pos"], "word")
+
+
+@query("""
+WITH n AS (SELECT n_nationkey AS i, n_name AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation), a AS (SELECT key, value FROM n),
+b AS (SELECT key, CASE WHEN i % 2 = 0 THEN value || '*' ELSE value END AS value FROM n WHERE i <> 7),
+d AS (SELECT coalesce(a.key, b.key) AS key FROM a FULL JOIN b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value)
+SELECT count(*) AS n_different, array_to_string(list_sort(list(key))[1:8], ' ') AS first_keys FROM d""")
+def config_differences(spark, sf_dir):
+    a = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    b = a.filter("i <> 7").withColumn("value", F.when(F.col("i") % 2 == 0, F.concat("value", F.lit("*"))).otherwise(F.col("value")))
+    return C.config_differences(a, b).withColumn("first_keys", F.array_join("first_keys", " "))
+
+
 # --- corpus ---------------------------------------------------------------------------------
 
 def stream() -> Column:
@@ -149,6 +198,42 @@ def steps_needed(spark, sf_dir):
     return P.resolve_steps(P.counts(read(spark, sf_dir, "documents"), stream()), {"ind": 0.75, "ood": 0.25}, 2.0, 32)
 
 
+@query(f"""
+WITH n AS (SELECT {_STREAM} AS stream, count(*) AS examples FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT max(CAST(greatest(1, ceil(examples * 3.0 / (CASE WHEN stream = 'ind' THEN 0.75 ELSE 0.25 END * 32))) AS BIGINT)) AS steps FROM n""")
+def total_steps(spark, sf_dir):
+    return P.planned_steps(P.counts(read(spark, sf_dir, "documents"), stream()), {"ind": 0.75, "ood": 0.25}, -3, 32)
+
+
+@query(f"SELECT {_STREAM} AS stream, round(count(*) * 1.0 / (SELECT count(*) FROM documents), 9) AS share FROM documents GROUP BY 1")
+def stream_share(spark, sf_dir):
+    return P.stream_share(read(spark, sf_dir, "documents"), stream()).withColumn("share", F.round("share", 9))
+
+
+@query("SELECT doc_id, CAST(least(len(string_split(text, ' ')), 64) AS BIGINT) AS n_ids, CAST(64 AS BIGINT) AS padded FROM documents")
+def fixed_padding(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
+    out = P.pad(rows, "ids", [], most=64, left=True, fixed=True)
+    return out.select("doc_id", F.aggregate("mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("n_ids"), F.size("ids").cast("long").alias("padded"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS own FROM documents WHERE lang IS NOT NULL AND trim(text) <> ''),
+n AS (SELECT lang, count(*) AS n FROM l GROUP BY 1), f AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS p FROM (SELECT DISTINCT lang FROM l)),
+o AS (SELECT e, f.lang, CASE e WHEN 0 THEN f.p ELSE (SELECT count(*) FROM f) - 1 - f.p END AS ord FROM f, (SELECT unnest([0, 1]) AS e)),
+s AS (SELECT e, o.lang, ord, coalesce(sum(n) OVER (ORDER BY e, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM o JOIN n ON n.lang = o.lang)
+SELECT CAST(e AS INTEGER) AS epoch, doc_id, CAST(start + own AS BIGINT) AS example_no FROM s JOIN l ON l.lang = s.lang""")
+def cycled_examples(spark, sf_dir):
+    """Each language as one file, in order and then in reverse order, as one endless stream's two passes."""
+    docs = read(spark, sf_dir, "documents").filter("lang is not null")
+    files = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    place = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
+    lines = docs.select(place[F.col("lang")].alias("path_no"), F.col("doc_id").alias("line_no"), "text")
+    n = len(files)
+    out = P.cycle_examples(lines, 2, [list(range(n)), list(range(n))[::-1]])
+    return out.select("epoch", F.col("line_no").alias("doc_id"), "example_no")
+
+
 @query(f"""
 WITH o AS (SELECT doc_id, {_STREAM} AS stream, row_number() OVER (PARTITION BY {_STREAM} ORDER BY doc_id) - 1 AS example_no FROM documents),
 b AS (SELECT *, example_no // 8 AS batch_no FROM o)
@@ -283,6 +368,72 @@ def metric_line(spark, sf_dir):
     return rows.select("step", M.metric_line({"mix": "%s", "skipped": "%.4f", "value": "%.6f"}).alias("line"))
 
 
+_ROUTE = "WITH e AS (SELECT *, event_id // 24 AS batch, event_id % 3 AS router, value / 200 AS prob, value / 250 + 0.01 AS unbiased, event_id % 2 AS weight FROM events)\n"
+
+
+def route_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events")
+    value = F.col("value")
+    return rows.select("event_type", F.floor(F.col("event_id") / 24).alias("batch"), (F.col("event_id") % 3).alias("router"), (value / 200).alias("prob"), (value / 250 + 0.01).alias("unbiased"), (F.col("event_id") % 2).alias("weight"))
+
+
+@query(_ROUTE + """SELECT event_type, round(sum(prob) / count(*), 6) AS prob, round(sum(unbiased) / count(*), 6) AS unbiased,
+  round(sum(prob) / count(*) - sum(unbiased) / count(*), 6) AS bias_delta, round(sum(weight) / count(*), 6) AS weight FROM e GROUP BY 1""")
+def routing_averages(spark, sf_dir):
+    return M.routing_averages(route_rows(spark, sf_dir), ["event_type"]).withColumns({c: six(F.col(c)) for c in ("prob", "unbiased", "bias_delta", "weight")})
+
+
+@query(_ROUTE + ", r AS (SELECT batch, router, avg(-ln(greatest(prob, 1e-8))) AS l FROM e GROUP BY 1, 2) SELECT batch, round(sum(l), 6) AS route_loss FROM r GROUP BY 1")
+def route_loss(spark, sf_dir):
+    return M.route_loss(route_rows(spark, sf_dir).withColumnRenamed("prob", "target_prob"), ["batch"]).withColumn("route_loss", six(F.col("route_loss")))
+
+
+@query("""
+WITH n AS (SELECT user_id, value, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events)
+SELECT user_id, round(sum(value * k) / sum(k), 6) AS eval_loss, CAST(sum(k) AS BIGINT) AS tokens FROM n GROUP BY 1""")
+def eval_weighted_loss_all(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return M.weighted_eval(rows, "value", "k", "event_id", 4, 0, ["user_id"]).withColumn("eval_loss", six(F.col("eval_loss")))
+
+
+@query("SELECT event_id, round(CASE WHEN event_id % 5 > 0 AND value > 0 THEN (event_id % 5) / value ELSE 0.0 END, 6) AS scale FROM events")
+def frozen_scale(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", six(N.frozen_scale((F.col("event_id") % 5).cast("double"), F.col("value"))).alias("scale"))
+
+
+@query("""
+SELECT event_id, round(event_id * 1e8 / 1073741824.0, 6) AS used_gib, CASE WHEN event_id % 4 <> 0 THEN greatest(1000000000 - event_id * 1000000, 0) ELSE -1 END AS headroom FROM events""")
+def memory_headroom(spark, sf_dir):
+    used = F.col("event_id").cast("long")
+    most = F.when(used % 4 != 0, F.lit(1_000_000_000))
+    return read(spark, sf_dir, "events").select("event_id", six(N.gibibytes(used * F.lit(100_000_000))).alias("used_gib"), F.coalesce(N.headroom(most, used * 1_000_000), F.lit(-1)).alias("headroom"))
+
+
+@query(_STEPS + """, r AS (SELECT step, sum(loss) / 8 AS loss, CASE WHEN step % 4 = 0 THEN max(value) END AS eval_lm_loss FROM e GROUP BY step)
+SELECT step, 'eval_lm_loss' AS field, round(eval_lm_loss, 9) AS value FROM r WHERE eval_lm_loss IS NOT NULL UNION ALL SELECT step, 'loss', round(loss, 9) FROM r WHERE loss IS NOT NULL""")
+def metric_series(spark, sf_dir):
+    rows = step_rows(spark, sf_dir).groupBy("step").agg((F.sum("loss") / 8).alias("loss"), F.max("value").alias("_top"))
+    rows = rows.select("step", "loss", F.when(F.col("step") % 4 == 0, F.col("_top")).alias("eval_lm_loss"))
+    return M.series(rows, ["step"], ["loss", "eval_lm_loss", "missing"]).withColumn("value", F.round("value", 9))
+
+
+@query(_STEPS + f""", r AS (SELECT step, {_MIX} AS mix, CASE WHEN step % 3 = 0 THEN NULL ELSE step * 0.25 END AS lm_loss, CASE WHEN step % 5 = 0 THEN 'NaN'::DOUBLE ELSE step * 0.5 END AS grad_norm FROM e GROUP BY step)
+SELECT step, concat_ws(' ', 'step=' || step, 'mix=' || mix, 'loss=' || printf('%.4f', lm_loss), 'lm=' || printf('%.4f', lm_loss), CASE WHEN isfinite(grad_norm) THEN 'grad=' || printf('%.3f', grad_norm) END) AS line FROM r""")
+def training_lines(spark, sf_dir):
+    rows = M.step_rollup(step_rows(spark, sf_dir), ["value"], 8).select("step", "mix")
+    rows = rows.withColumn("lm_loss", F.when(F.col("step") % 3 != 0, F.col("step") * 0.25)).withColumn("grad_norm", F.when(F.col("step") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("step") * 0.5))
+    return rows.select("step", M.training_line(rows).alias("line"))
+
+
+@query("""
+WITH f AS (SELECT user_id, event_id, event_type IN ('click', 'view') AS on_ FROM events),
+s AS (SELECT *, on_ AND NOT coalesce(lag(on_) OVER (PARTITION BY user_id ORDER BY event_id), false) AS start FROM f)
+SELECT user_id, event_id, CASE WHEN on_ THEN CAST(sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS BIGINT) ELSE -1 END AS "group" FROM s""")
+def run_groups(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").isin("click", "view").alias("on_"))
+    return M.groups_of_runs(rows, "on_", "event_id", ["user_id"]).drop("on_")
+
+
 # --- merge rules ----------------------------------------------------------------------------
 
 _RULES = """
@@ -300,19 +451,22 @@ gone AS (SELECT 'th' AS token UNION SELECT r.merged FROM rules r JOIN gone g ON
 """
 
 
-def rules_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary's merge rules derived from all documents: the 120 most frequent letter pairs, then
-    the 120 most frequent such pairs with a letter after them. Words are counted first."""
-    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "[^a-z]+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+def rules_of(spark: SparkSession, sf_dir: str, most: int | None = 120) -> DataFrame:
+    """A vocabulary's merge rules derived from all documents: the `most` frequent letter pairs, then the
+    `most` frequent such pairs with a letter after them (None: all pairs of letters of any script, a
+    bounded alphabet's). Words are counted first."""
+    letters = "a-z" if most else r"\p{L}"
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", f"[^{letters}]+")).alias("w")).filter("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     grams = lambda k: words.filter(F.length("w") >= k).select(F.explode(F.sequence(F.lit(1), F.length("w") - k + 1)).alias("i"), "w", "n").select(F.substring("w", F.col("i"), F.lit(k)).alias("m"), "n")
-    top = lambda rows, *by: rows.groupBy("m").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), *by).limit(120)
+    sums = lambda rows: rows.groupBy("m").agg(F.sum("n").alias("n"))
+    top = lambda rows, *by: sums(rows).orderBy(F.desc("n"), *by).limit(most) if most else sums(rows)
     two = top(grams(2), "m").persist()
     three = grams(3).join(two.select(F.col("m").alias("_l")), F.substring("m", 1, 2) == F.col("_l"), "left_semi")
     three = top(three, F.substring("m", 1, 2), F.substring("m", 3, 1))
     both = two.select(F.lit(1).alias("level"), "n", F.substring("m", 1, 1).alias("left"), F.substring("m", 2, 1).alias("right"))
     both = both.unionByName(three.select(F.lit(2).alias("level"), "n", F.substring("m", 1, 2).alias("left"), F.substring("m", 3, 1).alias("right")))
-    number = F.expr("row_number() over (order by level, n desc, `left`, `right`) - 1").cast("int")
-    return both.select(F.lit("t").alias("tokenizer_id"), number.alias("idx"), "left", "right", F.concat("left", "right").alias("merged")).persist()
+    number = F.expr("row_number() over (partition by tokenizer_id order by level, n desc, `left`, `right`) - 1").cast("int")
+    return both.withColumn("tokenizer_id", F.lit("t")).select("tokenizer_id", number.alias("idx"), "left", "right", F.concat("left", "right").alias("merged")).persist()
 
 
 def vocab_of(rules: DataFrame) -> DataFrame:
@@ -326,6 +480,39 @@ def gone_of(spark: SparkSession, rules: DataFrame) -> DataFrame:
     return G.delete_cascade(rules, spark.createDataFrame([("t", "th")], "tokenizer_id string, token string"))
 
 
+#: The same over all letters and pairs.
+_ALL_RULES = _RULES.replace("[a-z]+", r"\p{L}+").replace(" LIMIT 120", "")
+
+
+@query(_ALL_RULES + "SELECT src, dst FROM edges")
+def all_merge_edges(spark, sf_dir):
+    return G.edges(rules_of(spark, sf_dir, None)).drop("tokenizer_id")
+
+
+@query(_ALL_RULES + "SELECT token FROM gone")
+def all_delete_cascade(spark, sf_dir):
+    return gone_of(spark, rules_of(spark, sf_dir, None)).select("token")
+
+
+@query(_ALL_RULES + 'SELECT idx, merged FROM rules WHERE "left" NOT IN (SELECT token FROM gone) AND "right" NOT IN (SELECT token FROM gone) AND merged NOT IN (SELECT token FROM gone)')
+def all_surviving_merges(spark, sf_dir):
+    rules = rules_of(spark, sf_dir, None)
+    return G.surviving(rules, gone_of(spark, rules)).select("idx", "merged")
+
+
+@query()
+def all_topo_order(spark, sf_dir):
+    """All rules of the corpus in the order `good`, by its constraints."""
+    rules = rules_of(spark, sf_dir, None)
+    return G.ordered(rules, G.edges(rules), "good").drop("tokenizer_id")
+
+
+@query(_RULES + """, c AS (SELECT a.idx, min(b.idx) AS next_idx FROM rules a JOIN rules b ON b."left" = a."right" AND b.idx <> a.idx GROUP BY 1)
+SELECT idx, next_idx FROM c""")
+def rule_chains(spark, sf_dir):
+    return C.chains(rules_of(spark, sf_dir)).drop("tokenizer_id")
+
+
 @query(_RULES + 'SELECT idx, "left", "right", merged FROM rules')
 def merge_rules(spark, sf_dir):
     return rules_of(spark, sf_dir).drop("tokenizer_id")
@@ -362,6 +549,7 @@ def deleted_merges(spark, sf_dir):
 @query(_RULES + """
 SELECT idx, CAST(row_number() OVER (ORDER BY idx) - 1 AS INTEGER) AS place_original,
   CAST(row_number() OVER (ORDER BY length(merged), merged, "left", "right", idx) - 1 AS INTEGER) AS place_good,
+  CAST(row_number() OVER (ORDER BY length(merged), merged, "left", "right", idx) - 1 AS INTEGER) AS place_length_then_lexicographic,
   CAST(row_number() OVER (ORDER BY merged, length(merged), "left", "right", idx) - 1 AS INTEGER) AS place_lexicographic,
   CAST(row_number() OVER (ORDER BY -length(merged), merged, "left", "right", idx) - 1 AS INTEGER) AS place_length_descending,
   CAST(row_number() OVER (ORDER BY "left", "right", merged, idx) - 1 AS INTEGER) AS place_left_right,
@@ -517,3 +705,102 @@ SELECT 'embed' AS name, round(sum(list_sum(list_transform(d, lambda x: abs(x))))
 def expert_pair_diff(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.lit("embed").alias("name"), (F.col("vec_id") % 2).alias("e"), F.floor(F.col("vec_id") / 2).alias("r"), F.col("v").alias("values"))
     return T.expert_gap(rows, ["name"]).withColumns({c: six(F.col(c)) for c in ("mean_abs", "mean_sq")})
+
+
+@query(_VEC + """, e AS (SELECT vec_id // 8 AS t, CASE WHEN vec_id % 5 <> 0 THEN 1 ELSE 0 END AS m, unnest(range(1, 65)) AS i, v FROM v),
+s AS (SELECT t, i, sum(v[i] * m) / greatest(sum(m), 1) AS x FROM e GROUP BY 1, 2)
+SELECT a.t, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x)) / sqrt(sum(b.x * b.x)), 6) AS semantic_similarity FROM s a JOIN s b ON b.t = a.t + 1 AND b.i = a.i GROUP BY 1""")
+def pooled_similarity(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("t"), F.when(F.col("vec_id") % 5 != 0, 1).otherwise(0).alias("m"), "v")
+    pooled = C.masked_mean(rows, ["t"], "v", "m", 64)
+    out = C.pooled_similarity(pooled, pooled.withColumn("t", F.col("t") - 1), "t", "v")
+    return out.withColumn("semantic_similarity", six(F.col("semantic_similarity")))
+
+
+@query(ORACLE_SQL["lm_loss"].replace("round(sum(", "round((sum(").replace(", 6) AS loss_sum, CAST(sum(m) AS BIGINT) AS tokens", ") / greatest(sum(m), 1.0), 6) AS loss"))
+def lm_loss_mean(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("prompt_id"), "vec_id", (F.col("vec_id") % 64).alias("ids"), "v", F.when(F.col("vec_id") % 5 != 0, 1).otherwise(0).alias("m"))
+    return L.next_token_loss(rows, "prompt_id", "vec_id", "ids", "v", "m").select("prompt_id", six(L.mean_loss(F.col("loss_sum"), F.col("tokens"))).alias("loss"))
+
+
+@query(_VEC + "SELECT label, round(sqrt(sum(list_inner_product(v, v)) FILTER (WHERE vec_id % 7 <> 0)), 6) AS grad_norm FROM v GROUP BY 1")
+def gradient_norms(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("values", F.when(F.col("vec_id") % 7 != 0, F.col("v")))
+    return W.gradient_norm(rows, ["label"]).withColumn("grad_norm", six(F.col("grad_norm")))
+
+
+_NAMES = """
+WITH n AS (SELECT vec_id, 'model.layers.' || (vec_id // 10) || CASE vec_id % 10 WHEN 0 THEN '.router.proj.weight' WHEN 1 THEN '.experts.gate_up_proj' WHEN 2 THEN '.experts.bias'
+  WHEN 3 THEN '.mlp.up_proj.weight' WHEN 4 THEN '.embed.weight' ELSE '.norm' || (vec_id % 10) END AS name FROM embeddings),
+p AS (SELECT vec_id, name, CASE vec_id % 10 WHEN 1 THEN [2, 8, 16] WHEN 2 THEN [2, 8] WHEN 0 THEN [2, 16] WHEN 3 THEN [8, 16] WHEN 4 THEN [100, 16] ELSE [16] END AS shape FROM n),
+c AS (SELECT *, CASE WHEN contains(name, '.router.') THEN 'router' WHEN name = 'model.layers.0.embed.weight' THEN 'masked' WHEN contains(name, '.experts.') THEN 'standard' ELSE 'frozen' END AS class FROM p),
+r AS (SELECT *, CASE class WHEN 'router' THEN 0.01 WHEN 'masked' THEN 0.002 WHEN 'standard' THEN 0.001 ELSE 0.0 END AS rate, CASE WHEN len(shape) >= 2 THEN 0.1 ELSE 0.0 END AS weight_decay FROM c)
+"""
+
+
+def parameter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ten = F.col("vec_id") % 10
+    tail = F.when(ten == 0, ".router.proj.weight").when(ten == 1, ".experts.gate_up_proj").when(ten == 2, ".experts.bias").when(ten == 3, ".mlp.up_proj.weight").when(ten == 4, ".embed.weight").otherwise(F.concat(F.lit(".norm"), ten.cast("string")))
+    shape = F.when(ten == 1, F.array(*map(F.lit, (2, 8, 16)))).when(ten == 2, F.array(*map(F.lit, (2, 8)))).when(ten == 0, F.array(*map(F.lit, (2, 16)))).when(ten == 3, F.array(*map(F.lit, (8, 16)))).when(ten == 4, F.array(*map(F.lit, (100, 16)))).otherwise(F.array(F.lit(16)))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("model.layers."), F.floor(F.col("vec_id") / 10).cast("string"), tail).alias("name"), shape.alias("shape"))
+    return W.route(rows, {"router": 0.01, "masked": 0.002, "standard": 0.001}, ["model.layers.0.embed.weight"], trained=(W.EXPERT,), decay=0.1)
+
+
+@query(_NAMES + "SELECT name, class, rate, weight_decay, contains(name, '.experts.') AND len(shape) >= 2 AND shape[1] = 2 AS expert_pair FROM r")
+def parameter_classes(spark, sf_dir):
+    rows = parameter_rows(spark, sf_dir)
+    return rows.select("name", "class", "rate", "weight_decay", W.is_expert_pair(F.col("name"), F.col("shape")).alias("expert_pair"))
+
+
+@query(_NAMES + """SELECT rate, weight_decay, md5(string_agg(name, ',' ORDER BY name)) AS names, count(*) AS n,
+  CAST(sum(list_product(shape)) AS BIGINT) AS parameters FROM r WHERE rate > 0 GROUP BY 1, 2""")
+def optimizer_groups(spark, sf_dir):
+    out = W.optimizer_groups(parameter_rows(spark, sf_dir))
+    return out.select("rate", "weight_decay", F.md5(F.array_join("names", ",").cast("binary")).alias("names"), F.size("names").cast("long").alias("n"), "parameters")
+
+
+@query(_NAMES + "SELECT CAST(sum(n) AS BIGINT) AS parameters FROM (SELECT vec_id // 3 AS storage, max(list_product(shape)) AS n FROM r GROUP BY 1)")
+def unique_parameters(spark, sf_dir):
+    return W.unique_parameters(parameter_rows(spark, sf_dir).withColumn("storage", F.floor(F.col("vec_id") / 3)))
+
+
+@query(_VEC + """, n AS (SELECT count(*) FILTER (WHERE vec_id % 3 = 0) AS k FROM v)
+SELECT CASE WHEN vec_id % 3 = 0 THEN vec_id // 3 ELSE k + row_number() OVER (PARTITION BY vec_id % 3 = 0 ORDER BY vec_id) - 1 END AS r, round(list_sum(v), 6) AS total FROM v, n""")
+def permuted_rows(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("r"), F.col("v").alias("values"))
+    mapping = rows.filter("r % 3 = 0").select(F.col("r").alias("old_id"), F.floor(F.col("r") / 3).alias("new_id"))
+    return T.permute_rows(rows, mapping).select("r", six(N.total(F.col("values"))).alias("total"))
+
+
+@query(_VEC + "SELECT vec_id AS r, round(v[10] - v[1], 6) AS ends, round(v[2], 6) AS second FROM v")
+def permuted_columns(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("r"), F.col("v").alias("values"))
+    out = T.permute_mapped_columns(rows, {9: 0, 1: 1, 0: 2}, 64)
+    return out.select("r", six(F.col("values")[0] - F.col("values")[2]).alias("ends"), six(F.col("values")[1]).alias("second"))
+
+
+@query(_NAMES + r"SELECT vec_id, regexp_replace(name, '^model\.layers\.([0-9]+)\.', 'model.blocks.\1.', 'g') AS name FROM n WHERE NOT regexp_matches(name, '\.norm[5-7]$')")
+def renamed_tensors(spark, sf_dir):
+    rows = parameter_rows(spark, sf_dir).select("vec_id", "name")
+    return T.rename(rows, r"^model\.layers\.([0-9]+)\.", r"model.blocks.$1.", drop=r"\.norm[5-7]$")
+
+
+@query(_VEC + "SELECT vec_id AS r, CASE WHEN label = 1 THEN 1 ELSE 0 END AS mask, round(list_sum(v) * CASE WHEN label = 1 THEN 1 ELSE 0.25 END, 6) AS total FROM v")
+def masked_gradients(spark, sf_dir):
+    rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("r"), "label", F.col("v").alias("values"))
+    ids = rows.filter("label = 1").select(F.col("r").alias("id"))
+    out = T.checked_mask(rows, ids, 1 << 40)
+    return out.select("r", "mask", six(N.total(T.masked_gradient(F.col("values"), F.col("mask"), 0.25))).alias("total"))
+
+
+@query(_VEC + """, e AS (SELECT unnest([0, 1]) AS e), g AS (SELECT unnest(range(0, 8)) AS r), d AS (SELECT unnest(range(0, 70)) AS r),
+x AS (SELECT 'l0.experts.gate_up_proj' AS name, e, r + o AS r, CASE WHEN r < 6 THEN r + o // 8 * 100 END AS src, 64 AS take, 70 AS w FROM g, e, (SELECT unnest([0, 8]) AS o)
+  UNION ALL SELECT 'l0.experts.down_proj', e, r, CASE WHEN r < 64 THEN r + 200 END, 6, 8 FROM d, e)
+SELECT name, CAST(e AS INTEGER) AS e, r, round(coalesce(list_sum(v.v[1:take]), 0), 6) AS total, CAST(w AS INTEGER) AS width FROM x LEFT JOIN v ON v.vec_id = x.src
+UNION ALL SELECT 'l0.router.proj.weight', 0, unnest([0, 1]), 0.0, 70 UNION ALL SELECT 'l0.router.scale', 0, 0, 70.0, 70""")
+def dense_experts(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    part = lambda name, start, n, k: rows.filter((F.col("vec_id") >= start) & (F.col("vec_id") < start + n)).select(F.lit(f"l0.mlp.{name}_proj.weight").alias("name"), (F.col("vec_id") - start).alias("r"), F.slice("v", 1, k).alias("values"))
+    dense = part("gate", 0, 6, 64).unionByName(part("up", 100, 6, 64)).unionByName(part("down", 200, 64, 6))
+    out = T.dense_to_experts(dense, "l0", width=70, hidden=8, experts=2)
+    return out.select("name", F.col("e").cast("int").alias("e"), "r", six(N.total(F.col("values"))).alias("total"), F.size("values").alias("width"))
