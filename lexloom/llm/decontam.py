@@ -4,29 +4,35 @@ An item is contaminated text if a window of a document, as many words long as th
 document, if it has fewer), is as similar to the item as asked: the sum over shingles of the lesser
 count by the sum of the greater. Steps, all on Spark's own functions:
 
-1. Document shingles that some item has, with their positions (a join with the items' shingles).
+1. Document shingles that some item has, with their positions (a join with the items' shingles). A
+   document may hold an item only if it has one of the item's rarest shingles, so many as a similar
+   window cannot do without; common shingles alone make no pair.
 2. Windows to look at: those that begin at such a shingle, or end the document, and have enough of
    them. A window that is similar enough can be moved on to its first shared shingle without loss,
    and what "enough" is follows from the sizes, so no similar window is passed over here.
 3. A 64-bit SimHash of every window and item, shingles weighted by their counts. Fingerprints are
-   cut into radius + 1 blocks; two that differ in at most `radius` bits agree in some block, so an
-   equal join on (size, block number, block) meets every such pair.
+   cut into BLOCKS blocks; two that differ in at most `radius` bits differ in at most radius / BLOCKS
+   bits of some block. Items, which are few, stand under all keys that near each of their blocks, windows
+   under their own, so an equal join on (size, block number, block) meets every such pair, and few others.
 4. The pairs within the radius are checked on the weighted shingles themselves."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import cleaned, written
 
+#: Blocks of a fingerprint.
+BLOCKS = 4
 #: Bits in which fingerprints may differ. At similarity 0.8 windows of equal length share 8/9 of
-#: their weight, so each bit differs with a chance of 0.15: 9.7 bits on average, 2.9 standard
-#: deviation. 24 is five of these above.
-RADIUS = 24
+#: their weight, so each bit differs with a chance of about 0.15: 9 bits on average. Of windows just at
+#: 0.8, 99.97 % lie within 19 bits (208,000 windows of 9 to 60 shingles; all within 23).
+RADIUS = 19
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -58,16 +64,18 @@ def simhash(shingles: Column) -> Column:
     return let(shingles, of)
 
 
-def block_masks(radius: int) -> list[int]:
-    """The 64 bits cut into radius + 1 blocks, as signed masks."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    masks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def block_keys(fingerprint: Column) -> Column:
+    """(number, bits) of each block of a fingerprint."""
+    size = 64 // BLOCKS
+    cut = lambda i: F.shiftrightunsigned(fingerprint, size * i).bitwiseAND(F.lit((1 << size) - 1)).cast("int")
+    return F.array(*[F.struct(F.lit(i).alias("number"), cut(i).alias("bits")) for i in range(BLOCKS)])
 
 
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """(number, bits) of each block of a fingerprint."""
-    return F.array(*[F.struct(F.lit(i).alias("number"), fingerprint.bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(block_masks(radius))])
+def flips(radius: int) -> Column:
+    """All block values with at most radius / BLOCKS bits set, as one constant array."""
+    size, most = 64 // BLOCKS, min(64 // BLOCKS, radius // BLOCKS)
+    held = [sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(size), k)]
+    return F.split(F.lit(",".join(map(str, held))), ",").cast("array<int>")
 
 
 def overlap(left: Column, right: Column) -> Column:
@@ -76,6 +84,7 @@ def overlap(left: Column, right: Column) -> Column:
     return F.aggregate(F.array_intersect(left, right), F.lit(0), lambda s, v: s + F.least(count(left, v), count(right, v)))
 
 
+@cleaned
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -100,7 +109,7 @@ def contaminated(
     for g in range(1, words + 1):
         part = own.filter(F.col("g") == g).withColumn("_i", shingle_hashes(F.col("_w"), g)).drop("_w")
         known = part if known is None else known.unionByName(part)
-    known = known.select("_item", "_size", "g", "_i", F.size("_i").alias("m"), simhash(F.col("_i")).alias("_if"))
+    known = known.select("_item", "_size", "g", "_i", F.size("_i").alias("m"), F.xxhash64("_i").alias("_no"), simhash(F.col("_i")).alias("_if"))
     known = written(known, "items")
     found = None
     for (g,) in sorted(known.select("g").distinct().collect()):  # one size, unless items are very short
@@ -115,14 +124,26 @@ def contaminated(
 
 def _of_size(docs: DataFrame, known: DataFrame, key: str, text: str, g: int, percent: int, radius: int) -> DataFrame:
     """The windows that hold an item, for the items whose shingles have g words."""
-    marks = written(known.select(F.explode("_i").alias("h"), "_item", "m").distinct(), "item-shingles")
+    texts = known.dropDuplicates(["_no"]).drop("_item")
+    marks = texts.select(F.explode("_i").alias("h"), "_no", "m").groupBy("_no", "m", "h").agg(F.count(F.lit(1)).alias("weight"))
+    marks = written(marks, "item-shingles")
     rows = docs.select(F.col(key).alias("_doc"), F.xxhash64(F.col(text)).alias("_row"), F.col(text).alias("_text"))
     each = rows.select("_doc", "_row", shingle_hashes(text_words(F.col("_text")), g).alias("_s"))
     each = each.select("_doc", "_row", F.size("_s").alias("n"), F.posexplode("_s").alias("p", "h"))
     shared = written(each.join(marks.select("h").distinct(), "h").distinct(), "shared-shingles")
 
+    # an item's rarest shingles, of which a similar window has at least one: their weight is more
+    # than what the window may lack, m - 0.8 m
+    common = marks.join(shared.groupBy("h").agg(F.count(F.lit(1)).alias("often")), "h", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    ahead = F.sum("weight").over(Window.partitionBy("_no", "m").orderBy("often", "h").rowsBetween(Window.unboundedPreceding, -1))
+    lacks = F.col("m") - F.ceil(F.col("m") * percent / F.lit(100.0) - 1e-9)
+    rare = common.withColumn("_ahead", F.coalesce(ahead, F.lit(0))).filter(F.col("_ahead") <= lacks).select("h", "_no", "m")
+    met = shared.join(rare, "h").select("_doc", "_row", "_no", "m").distinct()
+    met = met.select(F.col("_doc").alias("_d"), F.col("_row").alias("_r"), "_no", "m")
+
     # positions of an item's shingles in a document; a window is m shingles from one of them on
-    hits = shared.join(marks, "h").groupBy("_doc", "_row", "n", "_item", "m").agg(F.sort_array(F.collect_set("p")).alias("P"))
+    hits = shared.join(met, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).drop("_d", "_r")
+    hits = hits.join(marks.select("_no", "m", "h"), ["_no", "m", "h"]).groupBy("_doc", "_row", "n", "_no", "m").agg(F.sort_array(F.collect_set("p")).alias("P"))
     need = F.ceil((F.col("m") + F.least("m", "n")) * percent / F.lit(100.0 + percent) - 1e-9).cast("int")
     hits = hits.withColumn("need", F.greatest(need, F.lit(1))).withColumn("last", F.greatest(F.col("n") - F.col("m"), F.lit(0))).filter(F.size("P") >= F.col("need"))
     enough = lambda i: F.element_at("P", (i + F.col("need") - 1).cast("int")) < F.element_at("P", i) + F.col("m")
@@ -138,12 +159,15 @@ def _of_size(docs: DataFrame, known: DataFrame, key: str, text: str, g: int, per
     windows = there.select("_doc", "_row", "n_all", F.col("spot.start").alias("start"), F.col("spot.m").alias("m"), F.slice("_s", F.col("spot.start") + 1, F.col("spot.m")).alias("w"))
     windows = written(windows.withColumn("f", simhash(F.col("w"))), "fingerprints")
 
-    cut = windows.select("*", F.explode(blocks(F.col("f"), radius)).alias("k")).select("*", "k.number", "k.bits").drop("k")
-    ours = known.select("_item", "_if", "m", F.explode(blocks(F.col("_if"), radius)).alias("k")).select("_item", "_if", "m", "k.number", "k.bits")
+    cut = windows.select("*", F.explode(block_keys(F.col("f"))).alias("k")).select("*", "k.number", "k.bits").drop("k")
+    ours = texts.select("_no", "_if", "m", F.explode(block_keys(F.col("_if"))).alias("k"))
+    ours = ours.select("_no", "_if", "m", "k.number", F.explode(F.transform(flips(radius), lambda x: x.bitwiseXOR(F.col("k.bits")))).alias("bits"))
     apart = F.col("f").bitwiseXOR(F.col("_if"))
-    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(x).cast("long")) == 0, F.lit(i)) for i, x in enumerate(block_masks(radius))])
-    near = cut.join(ours, ["m", "number", "bits"]).filter((F.bit_count(apart) <= radius) & (first == F.col("number")))  # a pair once, at its first block
-    pairs = near.join(known.select("_item", "_i", "_size"), "_item").withColumn("both", overlap(F.col("w"), F.col("_i")))
+    near_block = lambda i: F.bit_count(F.shiftrightunsigned(apart, 64 // BLOCKS * i).bitwiseAND(F.lit((1 << 64 // BLOCKS) - 1))) <= radius // BLOCKS
+    first = F.coalesce(*[F.when(near_block(i), F.lit(i)) for i in range(BLOCKS)])
+    near = cut.hint("shuffle_hash").join(ours, ["m", "number", "bits"]).filter((F.bit_count(apart) <= radius) & (first == F.col("number")))  # a pair once, at its first block
+    pairs = near.join(texts.select("_no", "_i", "_size"), "_no").withColumn("both", overlap(F.col("w"), F.col("_i")))
     total = F.size("w") + F.size("_i") - F.col("both")
     good = pairs.filter(F.col("both") * 100 >= total * percent)
+    good = good.join(known.select("_no", "_item"), "_no")
     return good.select("_doc", "_item", "start", F.least("_size", "n_all").alias("n_words"), F.round(F.col("both") / total, 6).alias("similarity"))

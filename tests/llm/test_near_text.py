@@ -165,7 +165,7 @@ def test_substrings_equal_brute_force(spark, monkeypatch, seed, spans):
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(4)
     items = [(i, " ".join(rng.choices(VOCAB, k=rng.choice([1, 3, 5, 9, 20, 45])))) for i in range(25)]
-    items += [(25, None), (26, ""), (27, items[3][1]), (28, "rep " * 12)]
+    items += [(25, None), (26, ""), (27, items[3][1]), (28, "rep " * 12), (5, items[6][1]), (5, items[6][1]), (5, items[6][1] + " tail"), (None, items[7][1])]
     rows = []
     for i in range(120):
         w = rng.choices(VOCAB, k=rng.randint(0, 60))
@@ -203,6 +203,45 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_recall_of_the_radius(spark):
+    """How many windows at the similarity asked for (or as little above it as a size allows) lie within
+    the radius: items of every size from 9 to 60 shingles, 300 windows each."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = []
+    for m in range(9, 61, 3):
+        both = -(-80 * 2 * m // 180)
+        for _ in range(300):
+            a = [rng.getrandbits(63) for _ in range(m)]
+            rows.append((m, a, a[:both] + [rng.getrandbits(63) for _ in range(m - both)]))
+    df = spark.createDataFrame(rows, "m int, a array<bigint>, b array<bigint>")
+    apart = F.bit_count(decontam.simhash(F.col("a")).bitwiseXOR(decontam.simhash(F.col("b"))))
+    found = df.select("m", apart.alias("d")).groupBy("m").agg(F.avg((F.col("d") <= decontam.RADIUS).cast("int")).alias("recall"), F.max("d").alias("most"), F.avg("d").alias("mean")).orderBy("m").collect()
+    print([(r.m, round(r.recall, 4), r.most, round(r.mean, 1)) for r in found])
+    assert min(r.recall for r in found) >= 0.99 and sum(r.recall for r in found) >= 0.998 * len(found)
+
+
+def test_blocks_meet_every_pair_within_the_radius(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    pairs = []
+    for i in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for k in rng.sample(range(64), rng.randint(0, 30)):
+            b ^= 1 << k
+        pairs.append((i, a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b))
+    df = spark.createDataFrame(pairs, "i int, a bigint, b bigint")
+    one = df.select("i", F.explode(decontam.block_keys(F.col("a"))).alias("k")).select("i", "k.number", "k.bits")
+    two = df.select("i", F.explode(decontam.block_keys(F.col("b"))).alias("k"))
+    two = two.select("i", "k.number", F.explode(F.transform(decontam.flips(decontam.RADIUS), lambda x: x.bitwiseXOR(F.col("k.bits")))).alias("bits"))
+    met = {r.i for r in one.join(two, ["i", "number", "bits"]).select("i").distinct().collect()}
+    assert met >= {i for i, a, b in pairs if bin((a ^ b) & ((1 << 64) - 1)).count("1") <= decontam.RADIUS}
+    assert len(met) < 300
+
+
 def test_long_windows_equal_brute_force(spark):
     head = [f"h{i}" for i in range(80)]
     tails = [[f"t{k}x{i}" for i in range(60)] for k in (0, 1, 2)]
