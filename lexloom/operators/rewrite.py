@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
@@ -11,29 +13,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The text model's type and architecture, and the keys of other modalities. Fixed values.
+TEXT_ARCHITECTURE, TEXT_MODEL_TYPE = "Gemma4ForCausalLM", "gemma4_text"
+MODALITY_KEYS = ("audio_token", "image_token", "video_token", "processor_class")
+
+
 class PlanError(ValueError):
     """Lists of tokens that contradict each other or the vocabulary."""
 
 
+def _held(vocab: DataFrame, tokens: set[str]) -> set[str]:
+    """Those of a list of tokens that a vocabulary has."""
+    asked = vocab.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string")
+    return {r[0] for r in vocab.select("token").join(asked, "token", "left_semi").distinct().collect()} if tokens else set()
+
+
 def check_plan(vocab: DataFrame, delete: list[str], add: list[str], rename: dict[str, str], special: list[str]) -> None:
-    """Raises PlanError for repeated or unknown tokens and for tokens in two lists."""
+    """Raises PlanError for repeated or unknown tokens, for tokens in two lists, for special tokens, and
+    for rename targets that are taken: by another rename, a special token, an addition, or a token that
+    is neither renamed nor deleted itself."""
     for name, items in (("delete", delete), ("add", add), ("rename targets", list(rename.values()))):
         if len(set(items)) < len(items):
             raise PlanError(f"{name}: tokens repeat")
-    sets = {"delete": set(delete), "add": set(add), "rename": set(rename), "special": set(special)}
-    for a, b in (("delete", "add"), ("delete", "rename"), ("add", "rename"), ("delete", "special"), ("add", "special"), ("rename", "special")):
+    targets = set(rename.values())
+    sets = {"delete": set(delete), "add": set(add), "rename": set(rename), "special": set(special), "rename targets": targets}
+    pairs = [("delete", "add"), ("delete", "rename"), ("add", "rename"), ("delete", "special"), ("add", "special"), ("rename", "special"), ("rename targets", "special"), ("rename targets", "add")]
+    for a, b in pairs:
         if both := sets[a] & sets[b]:
             raise PlanError(f"in both {a} and {b}: {sorted(both)[:8]}")
-    asked = sorted(sets["delete"] | sets["rename"])
-    there = {r[0] for r in vocab.filter(F.col("token").isin(asked)).select("token").collect()} if asked else set()
-    if missing := [x for x in asked if x not in there]:
+    asked = sets["delete"] | sets["rename"]
+    there = _held(vocab, asked | targets)
+    if missing := sorted(asked - there):
         raise PlanError(f"not in the vocabulary: {missing[:8]}")
-    targets = sorted(set(rename.values()))
-    taken = {r[0] for r in vocab.filter(F.col("token").isin(targets)).select("token").collect()} if targets else set()
-    if clash := taken - sets["rename"] - sets["delete"]:
+    if clash := (targets & there) - sets["rename"] - sets["delete"]:
         raise PlanError(f"rename targets exist: {sorted(clash)[:8]}")
 
 
+def check_special_plan(vocab: DataFrame, specials: list[str], keep: list[str], rename: dict[str, str]) -> list[str]:
+    """The special tokens that go: those neither kept nor renamed. PlanError for literals that are not
+    special, for one that is both kept and renamed, and for targets that two share or that are taken: by a
+    token that stays (a target may be dropped or renamed itself)."""
+    if both := set(keep) & set(rename):
+        raise PlanError(f"both kept and renamed: {sorted(both)}")
+    if odd := (set(keep) | set(rename)) - set(specials):
+        raise PlanError(f"not special: {sorted(odd)[:8]}")
+    moved = {k: v for k, v in rename.items() if k != v}
+    if len(set(moved.values())) < len(moved):
+        raise PlanError("two special tokens get the same name")
+    dropped = [s for s in specials if s not in keep and s not in rename]
+    if clash := _held(vocab, set(moved.values())) - set(dropped) - set(moved):
+        raise PlanError(f"special names are taken: {sorted(clash)[:8]}")
+    return dropped
+
+
 def rewrite_vocab(vocab: DataFrame, gone: DataFrame, renames: DataFrame, added: DataFrame) -> DataFrame:
     """vocab (tokenizer_id, token, id) without the tokens of `gone` (tokenizer_id, token), with those
     of `renames` (token, new_token) renamed and those of `added` (tokenizer_id, seq, token) appended
@@ -62,7 +94,9 @@ def reassign_ids(vocab: DataFrame, ordered_rules: DataFrame, specials: DataFrame
     marked = specials.select("tokenizer_id", "token").distinct().withColumn("_special", F.lit(True))
     rows = vocab.join(first, ["tokenizer_id", "token"], "left").join(marked, ["tokenizer_id", "token"], "left")
     kind = F.when(F.col("_special"), 0).when(F.col("_place").isNull(), 1).otherwise(2)
-    rows = rows.withColumn("class", kind)
+    # a special token that a rule makes would be of two classes
+    sure = F.assert_true(~(F.coalesce("_special", F.lit(False)) & F.col("_place").isNotNull()), F.lit("a special token is made by a rule"))
+    rows = rows.withColumn("class", kind).filter(sure.isNull())
     key = [F.col("class"), F.when(F.col("class") == 0, F.col("id")), F.when(F.col("class") == 1, F.col("token")), F.col("_place"), F.col("id")]
     number = (F.row_number().over(Window.partitionBy("tokenizer_id").orderBy(*key)) - 1).cast("long")
     return rows.select("tokenizer_id", "token", F.col("id").alias("old_id"), number.alias("new_id"), "class")
@@ -111,66 +145,198 @@ def initializers(added: dict[str, tuple[str, str]], remap: dict[str, tuple[int |
 _DROP = object()
 
 
-def remap_config(body: str, mapping: dict[int, int], literals: dict[str, str], dropped: set[str], size: int | None) -> str:
-    """A config's JSON with ids and literals rewritten at any depth: keys that end in `_token_id`
-    (whole numbers or lists), `id` and `ids`, decoder and encoder maps, `vocab_size*` set to `size`;
-    `*_token` literals, tokens and contents renamed; what names a dropped literal goes, and so does
-    a container that this leaves empty."""
+@dataclass(frozen=True)
+class ConfigPlan:
+    """How ids and literals in the files beside a tokenizer change: old to new ids, new names of literals,
+    literals and ids that are gone, and the new size of the vocabulary (None: sizes stay)."""
+
+    mapping: dict[int, int]
+    literals: dict[str, str]
+    dropped: frozenset[str] = frozenset()
+    dropped_ids: frozenset[int] = frozenset()
+    size: int | None = None
 
-    def ident(x: Any) -> Any:
+    def ident(self, x: Any) -> Any:
+        """The new id; a gone id drops, one that nothing maps is an error."""
         if isinstance(x, bool) or not isinstance(x, int):
             return x
-        return mapping.get(x, _DROP)
+        if x in self.dropped_ids:
+            return _DROP
+        if x not in self.mapping:
+            raise PlanError(f"id {x} is not in the vocabulary")
+        return self.mapping[x]
+
+    def idents(self, x: Any) -> Any:
+        if not isinstance(x, list):
+            return self.ident(x)
+        kept = [y for y in map(self.ident, x) if y is not _DROP]
+        return kept if kept or not x else _DROP
+
+    def literal(self, x: Any) -> Any:
+        """A literal, or an object with one at `content`, under its new name."""
+        if isinstance(x, dict) and isinstance(x.get("content"), str):
+            to = self.literal(x["content"])
+            return _DROP if to is _DROP else x | {"content": to}
+        if not isinstance(x, str):
+            return x
+        return _DROP if x in self.dropped else self.literals.get(x, x)
 
-    def many(x: Any) -> Any:
+    def many(self, x: Any) -> Any:
+        """Literals in a list or as values of an object; what is then empty goes."""
         if isinstance(x, list):
-            kept = [y for y in map(ident, x) if y is not _DROP]
-            return kept if kept or not x else _DROP
-        return ident(x)
-
-    def text(x: Any) -> Any:
-        return _DROP if x in dropped else literals.get(x, x) if isinstance(x, str) else walk(x)
-
-    def walk(x: Any) -> Any:
+            return [y for y in map(self.literal, x) if y is not _DROP] or _DROP
+        if isinstance(x, dict):
+            return {k: y for k, y in ((k, self.literal(v)) for k, v in x.items()) if y is not _DROP} or _DROP
+        return x
+
+    def decoder(self, x: dict[str, Any]) -> Any:
+        """An object from ids to descriptions, in the order of the new ids; keys that are no ids go."""
+        kept = []
+        for k, v in x.items():
+            v = self.literal(v)
+            new = self.ident(int(k)) if k.isdigit() and v is not _DROP else _DROP
+            if new is not _DROP:
+                kept.append((new, v | {"id": new} if isinstance(v, dict) and "id" in v else v))
+        return {str(k): v for k, v in sorted(kept, key=lambda p: p[0])} or _DROP
+
+    def encoder(self, x: dict[str, Any]) -> Any:
+        """An object from literals to ids, in the order of the new ids."""
+        kept = [(self.literal(k), self.ident(v)) for k, v in x.items() if k not in self.dropped]
+        kept = [(k, v) for k, v in kept if v is not _DROP]
+        return dict(sorted(kept, key=lambda p: p[1] if isinstance(p[1], int) else 1 << 30)) or _DROP
+
+    def config(self, x: Any) -> Any:
+        """A config at any depth: `*_token_id`, `*_token`, `content`, `tokens`, extra_special_tokens, the
+        decoder and encoder of added tokens, the sizes of the vocabulary. Other strings stay."""
         if isinstance(x, list):
-            kept = [y for y in map(lambda v: text(v) if isinstance(v, str) else walk(v), x) if y is not _DROP]
-            return kept if kept or not x else _DROP
+            return [y for y in map(self.config, x) if y is not _DROP]
         if not isinstance(x, dict):
             return x
-        if isinstance(x.get("content"), str) and x["content"] in dropped:
-            return _DROP
         out = {}
         for k, v in x.items():
-            if k == "added_tokens_decoder" and isinstance(v, dict):
-                pairs = [(mapping[int(i)], walk(t)) for i, t in v.items() if i.isdigit() and int(i) in mapping]
-                v = {str(i): t for i, t in sorted(pairs, key=lambda p: p[0]) if t is not _DROP} or _DROP
+            if k == "content" and isinstance(v, str):
+                v = self.literal(v)
+                if v is _DROP:
+                    return _DROP
+            elif k == "tokens" and isinstance(v, list):
+                v = [y for y in map(self.literal, v) if y is not _DROP]
+            elif k == "added_tokens_decoder" and isinstance(v, dict):
+                v = self.decoder(v)
             elif k == "added_tokens_encoder" and isinstance(v, dict):
-                v = {literals.get(t, t): mapping[i] for t, i in v.items() if t not in dropped and i in mapping} or _DROP
-            elif k.startswith("vocab_size") and size is not None:
-                v = size
-            elif k.endswith("_token_id") or k in ("id", "ids"):
-                v = many(v)
-            elif k.endswith("_token") or k == "content":
-                v = text(v)
+                v = self.encoder(v)
+            elif k in ("vocab_size", "vocab_size_per_layer_input") and isinstance(v, int) and self.size is not None:
+                v = self.size
+            elif k.endswith("_token_id"):
+                v = self.idents(v)
+            elif k.endswith("_token"):
+                v = self.literal(v)
+            elif k == "extra_special_tokens":
+                v = self.many(v)
             else:
-                v = walk(v)
+                v = self.config(v)
             if v is not _DROP:
                 out[k] = v
-        return out if out or not x else _DROP
-
-    done = walk(json.loads(body))
+        return out
+
+    def added_tokens(self, x: list[Any]) -> list[Any]:
+        """The list of added tokens, by new id, then content; entries without an id come last."""
+        kept = []
+        for t in x:
+            if isinstance(t, dict):
+                t = self.literal(t)
+                new = _DROP if t is _DROP else self.ident(t.get("id"))
+                if new is _DROP:
+                    continue
+                t = t | {"id": new} if "id" in t else t
+            kept.append(t)
+        place = lambda t: (t["id"] if isinstance(t, dict) and isinstance(t.get("id"), int) else 1 << 30, t.get("content") or "" if isinstance(t, dict) else "")
+        return sorted(kept, key=place)
+
+    def post_processor(self, x: Any, parent: str | None = None) -> Any:
+        """A post-processor: names and contents of special tokens, and below its `special_tokens` the ids."""
+        if isinstance(x, list):
+            return [y for y in (self.post_processor(v, parent) for v in x) if y is not _DROP]
+        if isinstance(x, str):
+            return self.literal(x) if parent in ("content", "token", "tokens") else x
+        if not isinstance(x, dict):
+            return x
+        out = {}
+        for k, v in x.items():
+            name = self.literal(k) if parent == "special_tokens" else k
+            if name is _DROP:
+                continue
+            inside = parent == "special_tokens" and isinstance(v, dict)
+            done = {i: self.idents(w) if i in ("id", "ids") else self.post_processor(w, i) for i, w in v.items()} if inside else self.post_processor(v, k)
+            if done is not _DROP:
+                out[name] = done
+        return out
+
+
+def remap_config(body: str, plan: ConfigPlan) -> str:
+    """A config's JSON under a plan."""
+    done = plan.config(json.loads(body))
     return json.dumps({} if done is _DROP else done, ensure_ascii=False)
 
 
-def remap_configs(configs: DataFrame, mapping: dict[int, int], literals: dict[str, str], dropped: set[str], size: int | None, body: str = "body") -> DataFrame:
-    """Config documents rewritten by `remap_config`; the mapping is one vocabulary's."""
+def text_only_config(body: str) -> str:
+    """A multimodal model's config as that of its text model: what is at `text_config`, with the text
+    model's type and architecture and the path of the whole."""
+    held = json.loads(body)
+    inner = held.get("text_config")
+    if not isinstance(inner, dict):
+        raise PlanError("the config has no text_config")
+    out = inner | {"architectures": [TEXT_ARCHITECTURE], "model_type": TEXT_MODEL_TYPE}
+    if "_name_or_path" in held:
+        out.setdefault("_name_or_path", held["_name_or_path"])
+    return json.dumps(out, ensure_ascii=False)
+
+
+def text_only_tokenizer_config(body: str) -> str:
+    """A tokenizer's config without the tokens and the processor of other modalities."""
+    return json.dumps({k: v for k, v in json.loads(body).items() if k not in MODALITY_KEYS}, ensure_ascii=False)
+
+
+def expert_config(body: str, experts: int, top_k: int) -> str:
+    """A dense text model's config (or that at `text_config`) as one of experts: as many experts as asked,
+    each as wide as the dense layer, which is twice as wide where layers share their keys and values
+    and the wide form is in use; keys of the dense form go."""
+    held = json.loads(body)
+    config = dict(held["text_config"]) if isinstance(held.get("text_config"), dict) else held
+    width = int(config["intermediate_size"])
+    if config.get("use_double_wide_mlp") and int(config.get("num_kv_shared_layers") or 0) > 0:
+        width *= 2
+    if not 1 <= top_k <= experts:
+        raise PlanError(f"{top_k} of {experts} experts")
+    config.pop("use_double_wide_mlp", None)
+    return json.dumps(config | {"enable_moe_block": True, "num_experts": experts, "top_k_experts": top_k, "moe_intermediate_size": width}, ensure_ascii=False)
+
+
+def small_config(body: str, layers: int, hidden: int, heads: int, width: int) -> str:
+    """A small model's config of the same kind: sizes replaced, a list with one entry a layer cut to the
+    layers left. Sizes must divide."""
+    if min(layers, hidden, heads, width) < 1 or hidden % heads:
+        raise PlanError(f"a hidden size of {hidden} has no {heads} heads")
+    config = json.loads(body)
+    old = config.get("num_hidden_layers")
+    out = {k: v[:layers] if isinstance(v, list) and old is not None and len(v) == old else v for k, v in config.items()}
+    kv = max(k for k in range(1, min(heads, int(config.get("num_key_value_heads") or heads)) + 1) if heads % k == 0)
+    return json.dumps(out | {"num_hidden_layers": layers, "hidden_size": hidden, "num_attention_heads": heads, "num_key_value_heads": kv, "head_dim": hidden // heads, "intermediate_size": width}, ensure_ascii=False)
+
+
+def rewritten(configs: DataFrame, change: Callable[[str], str], body: str = "body") -> DataFrame:
+    """Config documents under a function of their text, in Arrow batches; null stays null."""
 
     def batch(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else remap_config(x, mapping, literals, dropped, size))
+        return values.map(lambda x: None if x is None else change(x))
 
     return configs.withColumn(body, F.pandas_udf(batch, T.StringType())(F.col(body)))
 
 
+def remap_configs(configs: DataFrame, plan: ConfigPlan, body: str = "body") -> DataFrame:
+    """Config documents rewritten by `remap_config`; the plan is one vocabulary's."""
+    return rewritten(configs, lambda x: remap_config(x, plan), body)
+
+
 def mapping_json(remap: DataFrame, added: Column) -> DataFrame:
     """(tokenizer_id, body): old to new ids as one JSON object, keys by number, added tokens left out."""
     pairs = F.array_sort(F.collect_list(F.when(~added, F.struct(F.col("old_id").alias("k"), F.col("new_id").alias("v")))))

@@ -17,6 +17,7 @@ from .operators import parameters as W
 from .operators import rewrite as R
 from .operators import tensors as T
 from .operators.ordinal import batch_number, with_ordinal
+from .plans.sanitize import Edits, Sanitized, sanitize, summary
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -609,6 +610,51 @@ def bpe_encode_equivalence(spark, sf_dir):
     return B.same_encoding(read(spark, sf_dir, "documents"), "doc_id", "text", rank, again)
 
 
+_CLEAN = _RULES + """, clean AS (SELECT CASE v.token WHEN 'in' THEN 'IN' WHEN 'a' THEN 'A' ELSE v.token END AS token, v.id AS old_id, r.idx,
+  CASE WHEN v.token = 'e' THEN 0 WHEN r.idx IS NULL THEN 1 ELSE 2 END AS class FROM vocab v LEFT JOIN rules r ON r.merged = v.token WHERE v.token NOT IN (SELECT token FROM gone)),
+live AS (SELECT * FROM rules WHERE "left" NOT IN (SELECT token FROM gone) AND "right" NOT IN (SELECT token FROM gone) AND merged NOT IN (SELECT token FROM gone))
+"""
+
+
+def cleaned_tokenizer(spark: SparkSession, sf_dir: str) -> tuple[Sanitized, DataFrame, DataFrame]:
+    """The corpus's tokenizer without `th` and what is made of it, two tokens renamed, `e` as its special token."""
+    rules = rules_of(spark, sf_dir)
+    vocab = vocab_of(rules).persist()
+    return sanitize(vocab, rules, ["e"], Edits(delete=["th"], rename={"in": "IN", "a": "A"}, order="original")), vocab, rules
+
+
+@query(_CLEAN + """SELECT token, old_id, row_number() OVER (ORDER BY class, CASE WHEN class = 0 THEN old_id END, CASE WHEN class = 1 THEN token END, idx, old_id) - 1 AS new_id FROM clean""")
+def sanitized_vocab(spark, sf_dir):
+    return cleaned_tokenizer(spark, sf_dir)[0].remap.select("token", "old_id", "new_id")
+
+
+@query(_CLEAN + """, n AS (SELECT idx, unnest(['left', 'right', 'merged']) AS side, unnest(["left", "right", merged]) AS t FROM live), o AS (SELECT idx, side, CASE t WHEN 'in' THEN 'IN' WHEN 'a' THEN 'A' ELSE t END AS t FROM n)
+SELECT idx AS place, max(t) FILTER (WHERE side = 'left') AS "left", max(t) FILTER (WHERE side = 'right') AS "right", max(t) FILTER (WHERE side = 'merged') AS merged FROM o GROUP BY 1""")
+def sanitized_merges(spark, sf_dir):
+    return cleaned_tokenizer(spark, sf_dir)[0].rules.drop("tokenizer_id")
+
+
+@query(_CLEAN + """SELECT CAST((SELECT count(*) FROM gone) AS INTEGER) AS tokens_deleted_total, (SELECT string_agg(token, ' ' ORDER BY token) FROM gone) AS deleted_tokens,
+  CAST((SELECT count(*) FROM rules) - (SELECT count(*) FROM live) AS INTEGER) AS original_merges_deleted, CAST((SELECT count(*) FROM vocab) AS INTEGER) AS tokens_before,
+  CAST((SELECT count(*) FROM clean) AS INTEGER) AS tokens_after, CAST((SELECT count(*) FROM rules) AS INTEGER) AS rules_before, CAST((SELECT count(*) FROM live) AS INTEGER) AS rules_after,
+  CAST(1 AS INTEGER) AS requested_tokens_deleted, CAST(2 AS INTEGER) AS requested_tokens_renamed""")
+def sanitize_summary(spark, sf_dir):
+    done, vocab, rules = cleaned_tokenizer(spark, sf_dir)
+    names = ["tokens_deleted_total", "original_merges_deleted", "tokens_before", "tokens_after", "rules_before", "rules_after", "requested_tokens_deleted", "requested_tokens_renamed"]
+    return summary(done, vocab, rules).select(*names, F.array_join("deleted_tokens", " ").alias("deleted_tokens"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 9 AS i FROM documents)
+SELECT doc_id, json_extract(m, '$.bos_token_id')::BIGINT AS bos, json_extract(m, '$.vocab_size')::BIGINT AS size FROM (
+  SELECT doc_id, CAST('{"bos_token_id": ' || (8 - i) || ', "vocab_size": 9}' AS JSON) AS m FROM d)""")
+def remapped_configs(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.format_string('{"bos_token_id": %d, "vocab_size": 5, "name": "<x>"}', F.col("doc_id") % 9).alias("body"))
+    plan = R.ConfigPlan({i: 8 - i for i in range(9)}, {}, size=9)
+    out = R.remap_configs(docs, plan)
+    return out.select("doc_id", F.get_json_object("body", "$.bos_token_id").cast("long").alias("bos"), F.get_json_object("body", "$.vocab_size").cast("long").alias("size"))
+
+
 # --- vectors, logits, tensors ---------------------------------------------------------------
 
 _VEC = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (SELECT a.vec_id, a.label, a.v AS a, b.v AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)\n"

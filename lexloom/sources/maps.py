@@ -58,9 +58,18 @@ def read_id_mapping(spark: SparkSession, path: str) -> dict[int, int]:
     return {int(k): v for k, v in held.items()}
 
 
+def read_initializers(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """What added tokens are made of: new ids to lists of old ids, none of them empty."""
+    held = _object(spark, path)
+    number = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 0
+    if not all(k.isdigit() and isinstance(v, list) and v and all(map(number, v)) for k, v in held.items()):
+        raise ValueError(f"{path} holds something else than lists of ids")
+    return {int(k): v for k, v in held.items()}
+
+
 def read_token_groups(spark: SparkSession, path: str | None) -> dict[str, list]:
     """Lists of ids and tokens by name; no file: all empty."""
-    names = ("original_token_ids", "added_token_ids", "requested_token_ids", "intermediate_token_ids", "special_token_ids", "added_tokens", "requested_tokens", "intermediate_tokens", "special_tokens")
+    names = ("original_token_ids", "added_token_ids", "requested_added_token_ids", "intermediate_added_token_ids", "special_token_ids", "added_tokens", "requested_added_tokens", "intermediate_added_tokens", "special_tokens")
     held = _object(spark, path) if path else {}
     for n in names:
         kind = int if n.endswith("_ids") else str
