@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine, dot, unit
@@ -122,11 +124,10 @@ def vocabulary_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return off.agg(F.count(F.lit(1)).alias("n_different"), (F.count(F.lit(1)) == 0).alias("equal"))
 
 
-def chains(rules: DataFrame) -> DataFrame:
-    """(tokenizer_id, idx, next_idx): for each rule the first other rule (by idx) whose left part is this
-    one's right part."""
-    one = rules.select("tokenizer_id", "idx", F.col("right").alias("_at"))
-    two = rules.select("tokenizer_id", F.col("idx").alias("_next"), F.col("left").alias("_at"))
-    # of the rules with one left part only the first two can be a first other rule
-    two = two.withColumn("_k", F.row_number().over(Window.partitionBy("tokenizer_id", "_at").orderBy("_next"))).filter("_k <= 2")
-    return one.join(two, ["tokenizer_id", "_at"]).filter("idx <> _next").groupBy("tokenizer_id", "idx").agg(F.min("_next").alias("next_idx"))
+def scored(pairs: DataFrame, similarity: Callable[[Column, Column], Column], judge: Callable[[Column, Column], Column] | None, key: str, threshold: float = ALIKE, judge_all: bool = False) -> DataFrame:
+    """Answers (key, answer_a, answer_b) compared by functions of two columns: a similarity, and a judge's
+    verdict that is worked out for candidates only (None: no judge)."""
+    found = flags(pairs.withColumn("semantic_similarity", similarity(F.col("answer_a"), F.col("answer_b"))), threshold, judge_all)
+    asked = found.filter("is_candidate")
+    verdict = judge(F.col("answer_a"), F.col("answer_b")) if judge else F.lit(None).cast("boolean")
+    return judged(found, asked.select(key, verdict.alias("verdict")), key)

@@ -511,7 +511,7 @@ def all_topo_order(spark, sf_dir):
 @query(_RULES + """, c AS (SELECT a.idx, min(b.idx) AS next_idx FROM rules a JOIN rules b ON b."left" = a."right" AND b.idx <> a.idx GROUP BY 1)
 SELECT idx, next_idx FROM c""")
 def rule_chains(spark, sf_dir):
-    return C.chains(rules_of(spark, sf_dir)).drop("tokenizer_id")
+    return G.chains(rules_of(spark, sf_dir)).drop("tokenizer_id")
 
 
 @query(_RULES + 'SELECT idx, "left", "right", merged FROM rules')

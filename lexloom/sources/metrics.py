@@ -16,11 +16,20 @@ def read_metrics(spark: SparkSession, path: str, fields: list[str], tolerant: bo
     """The records in a log. A broken line is an error; tolerant: a broken last line is passed over."""
     if not tolerant:
         return spark.read.schema(schema(fields)).option("mode", "FAILFAST").json(path)
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r\n|\n")).alias("i", "line"), F.size(F.split(F.rtrim("value"), r"\r\n|\n")).alias("n"))
-    lines = lines.filter("trim(line) <> ''").withColumn("r", F.from_json("line", schema(fields)))
-    broken = F.try_parse_json("line").isNull()
-    sure = F.assert_true(~broken | (F.col("i") == F.col("n") - 1), F.lit("a line is broken that is not the last"))
-    return lines.filter(sure.isNull() & ~broken).select("r.*")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), place.alias("_at")).filter("trim(value) <> ''")
+    return whole_lines(lines, fields)
+
+
+def whole_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
+    """Lines (value, _file, _at) as records: a broken line is passed over if it is its file's last, else an
+    error when read."""
+    last = lines.groupBy("_file").agg(F.max("_at").alias("_last"))
+    # one expression, so that no filter for whole lines runs before the check
+    whole = F.when(F.try_parse_json("value").isNotNull(), True).when(F.col("_at") == F.col("_last"), False)
+    whole = whole.otherwise(F.raise_error(F.lit("a line is broken that is not the last")).cast("boolean"))
+    kept = lines.join(last, "_file").filter(whole)
+    return kept.select(F.from_json("value", schema(fields)).alias("r")).select("r.*")
 
 
 def append_metrics(rows: DataFrame, path: str, every: int = 1) -> None:

@@ -21,11 +21,11 @@ def read_tokenizer_json(spark: SparkSession, path: str, tokenizer_id: str) -> tu
     """(vocab, merges) of a tokenizer.json; merges as `left right` strings or as pairs."""
     body = _whole(spark, path, tokenizer_id)
     vocab = body.select("tokenizer_id", F.explode(F.from_json(F.get_json_object("body", "$.model.vocab"), "map<string,bigint>")).alias("token", "id"))
-    raw = F.get_json_object("body", "$.model.merges")
-    strings, pairs = F.from_json(raw, "array<string>"), F.from_json(raw, "array<array<string>>")
-    text = body.select("tokenizer_id", F.posexplode(strings).alias("pos", "m"), pairs.alias("p"))
-    pair = F.when(F.col("m").startswith("["), F.element_at("p", F.col("pos") + 1)).otherwise(F.split("m", " ", 2))
-    return vocab, split_merges(text.select("tokenizer_id", "pos", pair.alias("pair")))
+    listed = F.try_variant_get(F.parse_json("body"), "$.model.merges", "array<variant>")
+    each = body.select("tokenizer_id", F.posexplode(listed).alias("pos", "m"))
+    kind = F.schema_of_variant("m")
+    pair = F.when(kind == "STRING", F.split(F.variant_get("m", "$", "string"), " ", 2)).when(kind == "ARRAY<STRING>", F.try_variant_get("m", "$", "array<string>"))
+    return vocab, split_merges(each.select("tokenizer_id", "pos", pair.alias("pair")))
 
 
 def read_vocab_json(spark: SparkSession, path: str, tokenizer_id: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,15 +11,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.metrics import schema
+from ..sources.metrics import read_metrics, whole_lines
 
 
 def tail_metrics(spark: SparkSession, folder: str, fields: list[str], checkpoint: str, show: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Calls show(rows, batch) for the records of each new file in a folder. Writers roll files (one
-    per flush): bytes appended to a file that has been read are not read again. The checkpoint keeps
-    the position over restarts."""
-    rows = spark.readStream.schema(schema(fields)).option("mode", "DROPMALFORMED").json(folder)
-    return rows.writeStream.foreachBatch(show).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    per flush): bytes appended to a file that has been read are not read again (`watch_metrics` reads a
+    growing file). A broken last line of a file is passed over, another broken line is an error. The
+    checkpoint keeps the position over restarts."""
+    lines = spark.readStream.text(folder).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+    def each(rows: DataFrame, batch: int) -> None:
+        place = F.struct("_block", F.monotonically_increasing_id().alias("line"))
+        held = rows.withColumn("_at", place).filter("trim(value) <> ''").persist()  # numbered once: the same lines in both uses
+        try:
+            show(whole_lines(held, fields), batch)
+        finally:
+            held.unpersist()
+
+    return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def watch_metrics(spark: SparkSession, path: str, fields: list[str], show: Callable[[DataFrame], None], polls: int | None = None, wait: float = 1.0) -> int:
+    """Looks at a growing log again and again (`polls` times; None: for ever) and calls show(rows) with all
+    its records when its size or its number of records has changed. A missing file has no records yet; a
+    broken last line is not yet written in full. Returns how often it showed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known, shown, turn = None, 0, 0
+    while polls is None or turn < polls:
+        if turn:
+            time.sleep(wait)
+        turn += 1
+        if not files.exists(place):
+            continue
+        size = files.getContentSummary(place).getLength()
+        if known is not None and known[0] == size:
+            continue
+        rows = read_metrics(spark, path, fields, tolerant=True)
+        state = (size, rows.count())
+        if known is None or state[1] != known[1]:
+            show(rows)
+            shown += 1
+        known = state
+    return shown
 
 
 def anneal_stream(rows: DataFrame, steps: int, threshold: float, offset: int) -> DataFrame:

@@ -192,4 +192,4 @@ def test_own_order_and_names(spark):
     assert [r.idx for r in G.ordered(rules, G.edges(rules), lambda r: 0).orderBy("place").collect()] == [0, 1, 2]
     assert set(G.ORDERS) >= {"good", "original"} and all(G.sort_key(name) for name in G.ORDERS)
     links = spark.createDataFrame([("s", 0, "a", "b", "ab"), ("s", 1, "b", "b", "bb"), ("s", 2, "b", "c", "bc"), ("s", 3, "c", "z", "cz")], rules.schema)
-    assert {(r.idx, r.next_idx) for r in C.chains(links).collect()} == {(0, 1), (1, 2), (2, 3)}
+    assert {(r.idx, r.next_idx) for r in G.chains(links).collect()} == {(0, 1), (1, 2), (2, 3)}
