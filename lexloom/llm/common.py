@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +16,18 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker, where the session sets none.
+BATCH_BYTES = "2m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, not rows alone: a batch of 10,000 long texts would fill a worker's
+    memory, and the executor's beside it. A session that has a limit keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,10 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, else the
-    checkpoint folder of the context, else (local tests) a folder below the warehouse."""
+    checkpoint folder of the context, else (local sessions only) a folder below the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -34,9 +52,46 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: The tables written since the innermost operator under way began.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The rows, written to the shared folder and read again: a cut of the lineage that
-    outlives lost executors."""
+    outlives lost executors. Within a `cleaned` operator the table goes once its result is written."""
     path = scratch_path(df.sparkSession, what)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished steps hold: Spark deletes a shuffle's files once nothing on the driver names
+    it any more, which without this is when the driver's memory happens to be collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def cleaned(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written to the shared folder, after which the tables that it wrote on
+    the way are deleted: a run leaves one table, not all its steps."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        made: list[str] = []
+        token = _made.set(made)
+        try:
+            out = operator(*args, **kwargs)
+        finally:
+            _made.reset(token)
+        spark = out.sparkSession
+        done, context = written(out, operator.__name__), spark.sparkContext
+        del out
+        for path in made:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        release(spark)
+        return done
+
+    return run

@@ -10,9 +10,11 @@ from .wavelet import WaveletMatrix
 class FMIndex:
     """Backward search for many patterns at once. The order of suffixes is worked out to `depth`
     symbols, which is enough for patterns of that length at most. A 0 is put at the text's end;
-    patterns hold no 0, so a text may use it to part its pieces."""
+    patterns hold no 0, so a text may use it to part its pieces. weights: how often each symbol's place
+    counts (1), for a text that holds one copy of pieces that stand in several places."""
 
-    def __init__(self, text: np.ndarray, depth: int = 64):
+    def __init__(self, text: np.ndarray, depth: int = 64, weights: np.ndarray | None = None):
+        weights = np.ones(len(text), np.int64) if weights is None else weights
         text = np.append(text, 0)
         self.n = len(text)
         top = int(text.max()) + 1 if self.n else 1
@@ -31,6 +33,7 @@ class FMIndex:
             reach *= 2
             if reach >= depth or new.all():
                 break
+        self.before = np.concatenate([[0], np.cumsum(np.append(weights, 0)[order])])
         self.bits = max(1, (top - 1).bit_length())
         self.wave = WaveletMatrix.build(text[order - 1], self.bits)
         below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top))])
@@ -43,6 +46,10 @@ class FMIndex:
         low, high = self.wave.ranges(symbol, low, high)
         return low + self.shift[symbol], high + self.shift[symbol]
 
+    def count(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How often the patterns of these intervals occur, by weight."""
+        return self.before[high] - self.before[low]
+
     def repeated(self, text: np.ndarray, start: np.ndarray, length: int, head: int = 8) -> np.ndarray:
         """Which substrings text[start : start + length] occur twice or more in the index. Matching
         statistics cut at `length`: each search goes on from the right while two places match. The
@@ -53,8 +60,9 @@ class FMIndex:
             low, high = np.zeros(len(rows), np.int64), np.full(len(rows), self.n, np.int64)
             for k in range(size - 1, -1, -1):
                 low, high = self.extend(text[start[rows] + k], low, high)
-                live = high - low >= 2
-                rows, low, high = rows[live], low[live], high[live]
+                live = self.count(low, high) >= 2
+                if not live.all():
+                    rows, low, high = rows[live], low[live], high[live]
                 if not len(rows):
                     break
             good = rows

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .token_counts import slices
 
 #: Most entries of the matrix of log probabilities, and its buckets; with more languages the buckets
@@ -129,6 +130,7 @@ def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", alph
     only sums by language and bucket are shuffled, and the matrix (at most MOST_ENTRIES numbers)
     comes to the driver. Ties between languages go to the first by name. Rows that repeat count each;
     without rows the model has no names; more than MOST_ENTRIES / FEWEST_BUCKETS languages raise."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text")).dropna()
     most = MOST_ENTRIES // FEWEST_BUCKETS
     documents = {r[0]: r[1] for r in rows.groupBy("_lang").count().limit(most + 1).collect()}
@@ -176,6 +178,7 @@ def predict_language(
     text alone; with likely_out, also the mean log likelihood of the text's n-grams under the
     language that gives the highest. Null texts and such without a letter: `und`, 0, null. The new
     columns replace any of the same names. One narrow pass."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     langs = len(model.names)
     new = [lang_out, score_out, *([likely_out] if likely_out else [])]

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, cleaned, written
 
 #: Parts into which the documents of one length are dealt before they are ranked.
 PARTS = 1024
@@ -93,11 +93,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return sizes.coalesce(1).mapInPandas(share, "source string, source_size long, target double")
 
 
+@cleaned
 def mix_sources(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    words: str | None = None,
     weights: tuple[float, ...] = (5, 2, 1),
     most: float = 3.0,
     seed: int = 7,
@@ -105,13 +107,15 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: key, size (words), source, source_size, target, repeats, taken.
 
-    Null texts have size 0 and take nothing; null sources are one source, the last. Rows that
+    words: a column with the sizes, where they are known; then no text is read. Null texts (or sizes) have
+    size 0 and take nothing; null sources are one source, the last. Rows that
     repeat a key are documents of their own. No document repeats more than `most` times (rounded
     up where the rest of a budget picks it). A source's taken words miss its target by what
     `fill_budget` says of fit_words. Only sums by source, and counts by source, length and
     hash part, are shuffled, then the small rows (key, size); never the texts."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("_hash"))
+    size = F.coalesce(F.col(words) if words else F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    salt = [] if words else [F.col(text)]  # tells rows with a null key apart
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), *salt).alias("_hash"))
     rows = rows.withColumn("_part", F.pmod("_hash", F.lit(PARTS)).cast("int"))
     #: Never null: equal joins on it keep the rows of the null source.
     rows = written(rows.withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bound_batches, cleaned, release, written
 from .graph import components
 from .token_counts import slices
-from .url_rules import build_filter
+from .url_rules import build_filter, possible_hits
 from .word_hashes import factors, mixed, shingles, word_hashes
 
 #: 32 bands of 4 bins: two texts of similarity 0.8 share no bucket with a chance of 5e-8.
@@ -94,8 +94,8 @@ def set_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(doc, h1, n, shingles) of the rows that are among `wanted` (doc, h1): a filter of bounded size
-    spares most others, the join that follows is exact."""
+    """(doc, h1, n, shingles) of the rows that may be among `wanted` (doc): a filter of bounded size spares
+    most others. Those that it lets through too are harmless: bounds get weaker, pairs name their rows."""
 
     bloom = build_filter(wanted, "doc")
 
@@ -110,9 +110,10 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(set_hash(s, of, len(texts), SEEDS[0])), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(s.view(np.int64)))], names=["doc", "h1", "n", "shingles"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("_text")).filter("doc is not null")
-    return rows.withColumn("_hash", F.xxhash64("doc")).mapInArrow(take, "doc long, h1 long, n long, shingles array<bigint>").join(wanted, ["doc", "h1"], "left_semi")
+    return rows.withColumn("_hash", F.xxhash64("doc")).mapInArrow(take, "doc long, h1 long, n long, shingles array<bigint>")
 
 
+@cleaned
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: key, n_shingles, component_id, kept.
 
@@ -122,19 +123,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     and blank texts have no shingle and no link. Rows with a null key take no part (component_id
     null, kept true). Rows that repeat a key are one document: what either text is linked with is
     linked with both."""
+    bound_batches(docs.sparkSession)
     signed = written(set_table(docs, key, text, words), "sets")
     nodes = signed.filter("n > 0 and doc is not null").groupBy("h1", "h2").agg(
         F.min("doc").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
     )
     nodes = written(nodes, "nodes")
-    buckets = nodes.select("rep", "h1", "n", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rows = written(buckets.join(shared.select("bucket"), "bucket"), "buckets")
-    sets = written(full_sets(docs, key, text, words, rows.select(F.col("rep").alias("doc"), "h1").distinct()), "shingles")
-    rows = rows.join(solid_sizes(sets).filter(F.col("solid") * 100 >= F.col("n") * percent).drop("n"), ["rep", "h1"])
+    buckets = nodes.select("rep", "h1", F.explode("bands").alias("bucket"))
+    shared = written(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket"), "shared")
+    rows = written(possible_hits(buckets, "bucket", build_filter(shared, "bucket")).join(shared, "bucket"), "buckets")
+    sets = written(full_sets(docs, key, text, words, rows.select(F.col("rep").alias("doc")).distinct()), "shingles")
+    rows = rows.join(solid_sizes(sets).filter(F.col("solid") * 100 >= F.col("n") * percent), ["rep", "h1"])
     rows = written(centred(rows), "starred")
     links = repeated_keys(signed, nodes).unionByName(verified(sets, star_pairs(rows, percent), percent))
     roots = components(links)
+    release(docs.sparkSession)
     # members outside the first star: a star of their own
     split = written(split_rows(rows, roots), "split")
     away = centred(split.filter("root <> main").drop("centre", "centre_n", "centre_solid"))
@@ -162,11 +165,13 @@ def repeated_keys(signed: DataFrame, nodes: DataFrame) -> DataFrame:
 def solid_sizes(sets: DataFrame) -> DataFrame:
     """(rep, h1, n, solid): how many of a node's shingles some other node has too. Two sets cannot share
     more than the lesser of these, which rules out most pairs of texts that were edited too much."""
-    each = sets.select("doc", "h1", F.explode("shingles").alias("s"))
-    lone = each.groupBy("s").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "h1")).alias("one")).filter("times = 1")
-    lone = lone.groupBy("one.doc", "one.h1").agg(F.count(F.lit(1)).alias("lone"))
-    found = sets.select("doc", "h1", "n").join(lone, ["doc", "h1"], "left")
-    return written(found.select(F.col("doc").alias("rep"), "h1", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("solid")), "solid")
+    each = sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("doc").alias("doc"), F.max("doc").alias("_hi"))
+    lone = each.filter("doc = _hi").groupBy("doc").agg(F.count(F.lit(1)).alias("lone"))
+    # a document that stands with several sets: its shingles may be in another of them
+    several = sets.groupBy("doc").agg(F.count(F.lit(1)).alias("sets"))
+    found = sets.select("doc", "h1", "n").join(lone, "doc", "left").join(several, "doc")
+    lone = F.when(F.col("sets") == 1, F.coalesce("lone", F.lit(0))).otherwise(0)
+    return written(found.select(F.col("doc").alias("rep"), "h1", "n", (F.col("n") - lone).alias("solid")), "solid")
 
 
 def centred(rows: DataFrame) -> DataFrame:
@@ -203,7 +208,8 @@ def unlike_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sets stands where enough of both still follows."""
     arms = split.filter("rep <> centre").select("centre", "rep", "root", (F.col("root") != F.col("main")).alias("probe")).distinct()
     open_ = arms.groupBy("centre").agg(F.count(F.lit(1)).alias("arms"), F.max("probe").alias("any")).filter("arms > 1 and any").select("centre")
-    arms = arms.join(open_, "centre", "left_semi")
+    arms = written(arms.join(open_, "centre", "left_semi"), "open-arms")
+    sets = sets_of(sets, arms, "centre", "rep")
     one = sets.select(F.col("doc").alias("centre"), F.col("shingles").alias("s"))
     two = sets.select(F.col("doc").alias("rep"), F.col("shingles").alias("t"))
     arms = arms.join(one, "centre").join(two, "rep").withColumn("gone", F.array_except("s", "t"))
@@ -228,9 +234,19 @@ def unlike_pairs(split: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
+def sets_of(sets: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+    """The sets of the documents that a written table of pairs names, so that no others are shuffled."""
+    asked = None
+    for c in columns:
+        own = pairs.select(F.col(c).alias("doc"))
+        asked = own if asked is None else asked.unionByName(own)
+    return sets.join(written(asked.distinct(), "asked"), "doc", "left_semi")
+
+
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are as similar as asked, written to the shared folder."""
     pairs = written(pairs, "candidates")
+    sets = sets_of(sets, pairs, "a", "b")
     one = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("t"))
     both = F.size(F.array_intersect("s", "t"))

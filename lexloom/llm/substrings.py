@@ -4,13 +4,14 @@ Every window has an anchor, the least hash among its shorter runs of words; equa
 equal anchors. Neighbouring windows with the same anchor make a span. So only spans whose anchor
 occurs twice can hold a repeated window:
 
-* Spans that are equal as a whole are counted; if there are two, all their windows are repeated.
-* A span that is the only one of its kind, while others have its anchor, goes with one copy of each
-  of those to a shard. The shard builds an FM-index over these spans (Burrows-Wheeler transform in
-  a wavelet matrix), streams the single ones through it and reports the intervals whose matching
-  statistics reach the window's length.
-* An anchor with very many different spans is dealt over several shards; windows that their shard
-  does not find twice are then counted over all of them by a hash.
+* Spans that are equal as a whole are one kind, with the number of its places.
+* The kinds of an anchor go to a shard. The shard builds an FM-index (Burrows-Wheeler transform in a
+  wavelet matrix) over one copy of each, weighted by its places, streams all its kinds through it from
+  the right, and reports the intervals of windows whose matching statistics reach the window's length
+  in two places or more. So every repeated window is found by the index, once for all its places.
+* An anchor with very many kinds is dealt over several shards; windows that their shard does not find
+  twice are then counted over all of them by a hash.
+* What is found of a kind holds in all its places: a join.
 
 Windows are judged on the input. Work and shuffles grow with the words, whatever repeats."""
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bound_batches, cleaned, written
 from .fm_index import FMIndex
 from .token_counts import slices
 from .url_rules import build_filter, possible_hits
@@ -77,8 +78,10 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return kept.withColumn("row", F.xxhash64("doc", "_text"))
 
 
+@cleaned
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35) -> DataFrame:
     """(doc, row, start, windows): runs of repeated windows, written to the shared folder."""
+    bound_batches(docs.sparkSession)
     rows = _rows(docs, key, text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,25 +96,20 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     # rows that repeat key and text are places of their own, so they are kept apart from the start
     found = written(rows.select("row", "_text").mapInArrow(cut, "row long, at int, n int, anchor long, content long"), "spans")
-    seen = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("times > 1")
-    seen = written(seen.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    seen = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("anchor"), "anchors")
     held = written(possible_hits(found, "anchor", build_filter(seen, "anchor")).join(seen, "anchor"), "held-spans")
-    alike = held.filter("not mixed").select("row", F.col("at").alias("start"), F.col("n").alias("windows"))
-
-    kinds = held.filter("mixed").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at", "n")).alias("one"))
+    kinds = held.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "at", "n")).alias("one"))
     kinds = written(kinds, "kinds")
-    many = kinds.filter("times > 1").select("anchor", "content")
-    alike = alike.unionByName(held.filter("mixed").join(many, ["anchor", "content"], "left_semi").select("row", F.col("at").alias("start"), F.col("n").alias("windows")))
-
-    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).filter("least = 1").select("anchor", "kinds")
+    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     todo = kinds.join(groups, "anchor").select("anchor", "content", "times", "kinds", "one.row", "one.at", "one.n")
     shards = max(64, -(-todo.count() // SHARD_SPANS))
     salted = F.col("kinds") > SHARD_SPANS
     shard = F.when(salted, F.xxhash64("anchor", F.pmod("content", F.ceil(F.col("kinds") / SHARD_SPANS)))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    todo = written(todo.select("row", "at", "n", (F.col("times") == 1).alias("single"), salted.alias("salted"), shard.alias("shard")), "open-spans")
+    todo = written(todo.select("row", "at", "n", "anchor", "content", "times", salted.alias("salted"), shard.alias("shard")), "open-spans")
 
+    carried = ("anchor", "content", "times", "salted", "shard")
     # the words of these spans, as hashes, from the texts that have them
-    wanted = todo.groupBy("row").agg(F.collect_list(F.struct("at", "n", "single", "salted", "shard")).alias("spans"))
+    wanted = todo.groupBy("row").agg(F.collect_list(F.struct("at", "n", *carried)).alias("spans"))
     there = possible_hits(rows.select("row", "_text"), "row", build_filter(todo.select("row").distinct(), "row")).join(wanted, "row")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +125,10 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
                 take = np.repeat(words.starts[of] + at - (ends - size), size) + np.arange(int(size.sum()))
                 got = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(words.hashes[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row").take(pa.array(of)), flat.field("at"), flat.field("single"), flat.field("salted"), flat.field("shard"), got], names=["row", "at", "single", "salted", "shard", "words"]
+                    [*[flat.field(c) for c in carried], got], names=[*carried, "words"]
                 )
 
-    full = there.mapInArrow(fetch, "row long, at int, single boolean, salted boolean, shard long, words array<bigint>")
+    full = there.mapInArrow(fetch, "anchor long, content long, times long, salted boolean, shard long, words array<bigint>")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -146,23 +144,28 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             inside = np.ones(len(symbols), bool)
             inside[begin + size] = False
             symbols[inside] = code + 1
-            single, salted, row, at = (group.column(c).to_numpy() for c in ("single", "salted", "row", "at"))
+            salted, times, anchor, content = (group.column(c).to_numpy() for c in ("salted", "times", "anchor", "content"))
             windows = size - window + 1
-            ask = np.flatnonzero(single | salted)
-            of = np.repeat(ask, windows[ask])
-            within = np.arange(len(of)) - np.repeat(np.cumsum(windows[ask]) - windows[ask], windows[ask])
-            twice = FMIndex(symbols, depth=window).repeated(symbols, begin[of] + within, window)
+            of = np.repeat(np.arange(len(size)), windows)
+            within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+            twice = FMIndex(symbols, window, np.repeat(times, size + 1)).repeated(symbols, begin[of] + within, window)
+            # intervals of windows found twice
+            first = twice & ~(np.append(False, twice[:-1]) & np.append(False, of[1:] == of[:-1]))
+            last = twice & ~(np.append(twice[1:], False) & np.append(of[1:] == of[:-1], False))
+            a, b = np.flatnonzero(first), np.flatnonzero(last)
             # windows of anchors in several shards: a hash, to be counted over all of them
-            over = salted[of]
-            value = np.zeros(len(of), np.uint64)
+            over = np.flatnonzero(salted[of])
+            value = np.zeros(len(over), np.uint64)
             words = np.zeros(len(symbols), np.uint64)
             words[inside] = flat.view(np.uint64)
             for i, k in enumerate(factors(window, 17)):
-                value[over] += words[(begin[of] + within)[over] + i] * k
-            give = (twice & single[of]) | over
+                value += words[(begin[of] + within)[over] + i] * k
+            kind = np.concatenate([of[a], of[over]])
+            hashes = pa.array(np.concatenate([np.zeros(len(a), np.int64), mixed(value).view(np.int64)]), mask=np.arange(len(kind)) < len(a))
             return pa.RecordBatch.from_arrays(
-                [pa.array(row[of][give]), pa.array((at[of] + within)[give].astype(np.int32)), pa.array((twice & single[of])[give]), pa.array(np.where(over, mixed(value).view(np.int64), 0)[give], mask=~over[give]), pa.array(single[of][give])],
-                names=["row", "start", "twice", "window", "single"],
+                [pa.array(anchor[kind]), pa.array(content[kind]), pa.array(np.concatenate([within[a], within[over]]).astype(np.int32)), pa.array(np.concatenate([b - a + 1, np.ones(len(over), np.int64)]).astype(np.int32)),
+                 hashes, pa.array(times[kind]), pa.array(np.concatenate([np.ones(len(a), bool), twice[over]]))],
+                names=["anchor", "content", "start", "windows", "window", "times", "twice"],
             )
 
         now = None
@@ -179,12 +182,13 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         if held:
             yield shard()
 
-    hits = written(full.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, "row long, start int, twice boolean, window long, single boolean"), "hits")
-    # single windows of dealt anchors that their own shard has not found twice
-    again = hits.filter("window is not null").groupBy("window").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    across = hits.filter("window is not null and single and not twice").join(again, "window", "left_semi")
-    singles = hits.filter("twice").select("row", "start").unionByName(across.select("row", "start")).withColumn("windows", F.lit(1))
-    return alike.unionByName(singles)
+    kinds_found = "anchor long, content long, start int, windows int, window long, times long, twice boolean"
+    hits = written(full.repartition("shard").sortWithinPartitions("shard").mapInArrow(search, kinds_found), "hits")
+    # windows of dealt anchors that their own shard has not found twice
+    again = hits.filter("window is not null").groupBy("window").agg(F.sum("times").alias("places")).filter("places > 1")
+    across = hits.filter("window is not null and not twice").join(again, "window", "left_semi")
+    good = hits.filter("window is null").select("anchor", "content", "start", "windows").unionByName(across.select("anchor", "content", "start", "windows"))
+    return held.select("row", "at", "anchor", "content").join(good, ["anchor", "content"]).select("row", (F.col("at") + F.col("start")).alias("start"), "windows")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:

@@ -39,6 +39,23 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20, rows: int =
     pa.default_memory_pool().release_unused()  # several workers share an executor's memory
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined or cut so that each has texts of about `most` bytes: work that looks each different
+    word of a batch up once wants large ones."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for batch in slices(whole, column, most):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield from joined
+
+
 def token_prefixes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep_steps: bool = True
 ) -> DataFrame:
@@ -54,14 +71,13 @@ def token_prefixes(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = prefix_counts(path)
-        for whole in batches:
-            for batch in slices(whole, "_text"):
-                texts = batch.column("_text").to_pylist()
-                steps = table.batch(texts)
-                out = [batch.column(key), pa.array([len(x.encode()) for x in texts], pa.int64())]
-                out.append(pa.array([int(np.frombuffer(x, "<i2").sum(dtype=np.int64)) for x in steps], pa.int64()))
-                out += [pa.array(steps, pa.binary())] * keep_steps
-                yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
+        for batch in gathered(batches, "_text", 16 << 20):
+            texts = batch.column("_text").to_pylist()
+            steps = table.batch(texts)
+            out = [batch.column(key), pa.array([len(x.encode()) for x in texts], pa.int64())]
+            out.append(pa.array([int(np.frombuffer(x, "<i2").sum(dtype=np.int64)) for x in steps], pa.int64()))
+            out += [pa.array(steps, pa.binary())] * keep_steps
+            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
     return kept.mapInArrow(count, T.StructType(fields))
 

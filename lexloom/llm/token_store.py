@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import library_ids
-from .token_counts import slices, tokenizer_path
+from .token_counts import gathered, tokenizer_path
 from .wavelet import WaveletMatrix
 
 #: Ids of a shard: it is closed once it has so many (a longer document is a shard by itself).
@@ -70,15 +70,14 @@ def write_token_shards(
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "seq", "before", "n_ids", "doc_keys", "lengths", "blob"])
 
-        for whole in batches:
-            for batch in slices(whole.select(["_key", "_text"]), "_text", 8 << 20):
-                for k, ids in zip(batch.column("_key").to_pylist(), store.batch(batch.column("_text").to_pylist()), strict=True):
-                    keys.append(k)
-                    held.append(ids + end)
-                    size += len(held[-1]) // 4
-                    if size >= shard_ids:
-                        yield shard()
-                        seq, before, size, keys, held = seq + 1, before + size, 0, [], []
+        for batch in gathered((whole.select(["_key", "_text"]) for whole in batches), "_text", 8 << 20):
+            for k, ids in zip(batch.column("_key").to_pylist(), store.batch(batch.column("_text").to_pylist()), strict=True):
+                keys.append(k)
+                held.append(ids + end)
+                size += len(held[-1]) // 4
+                if size >= shard_ids:
+                    yield shard()
+                    seq, before, size, keys, held = seq + 1, before + size, 0, [], []
         if held:
             yield shard()
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bound_batches, cleaned, written
 
 #: Most rows of a shard, rows of a leaf, queries that are searched at once.
 SHARD_ROWS, LEAF_ROWS, BATCH = 4096, 32, 1024
@@ -158,6 +158,7 @@ def by_length(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield own, flat[(ends - sizes)[own][:, None] + np.arange(size)]
 
 
+@cleaned
 def exact_top_k(
     vectors: DataFrame,
     query: Column,
@@ -179,6 +180,7 @@ def exact_top_k(
     long is given as the nearest long but one. Other columns are not read. Coarse centres are fitted
     on SAMPLE_ROWS rows; every row is indexed, and results do not depend on the centres."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     clean = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
     rows = vectors.filter(F.col(key).isNotNull() & (F.size(vector) > 0) & clean)
     whole = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)

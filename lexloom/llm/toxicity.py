@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bound_batches, cleaned, written
 from .near_dup import near_duplicates
 from .token_counts import slices
 
@@ -95,6 +95,7 @@ def out_of_fold(row: np.ndarray, at: np.ndarray, earlier: np.ndarray, y: np.ndar
     return out
 
 
+@cleaned
 def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(words, each category): the sample that a chain is learned from.
 
@@ -162,6 +163,7 @@ def train_chain(
 def predict_chain(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key and p_<category> for each category. Null and empty texts are
     texts without words. One narrow pass; the model is bounded by its vocabulary."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     rows = docs.select(F.col(key), F.col(text).alias("_text"))
     names = [key, *[f"p_{c}" for c in chain.categories]]
