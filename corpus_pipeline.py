@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import scratch_path, table, written
+from lexloom.llm.common import WORD, cleaned, scratch_path, table, written
 from lexloom.llm.decontam import contaminated
 from lexloom.llm.language import predict_language, train_language
 from lexloom.llm.mixing import mix_sources
@@ -60,30 +60,37 @@ def numbered(rows: DataFrame) -> DataFrame:
     return own.withColumn("_rank", rank).join(chunks, ["_hash", "_chunk"]).select("_row", (F.col("_ahead") + F.col("_rank")).alias("_no"))
 
 
+@cleaned
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five-word shingles, similarity 0.8): the one with
     the smallest id, null ids last. Each row counts by its own text, whatever its id."""
     rows = keyed(docs)
     groups = near_duplicates(rows, key="_row", words=5, percent=80).select("_row", "component_id")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")
-    kept = rows.select("_row", order.alias("_order")).join(groups, "_row").groupBy("component_id").agg(F.min("_order").alias("_one"))
-    return rows.join(kept.select("_one._row"), "_row", "left_semi").select(*docs.columns)
+    named = rows.select("_row", order.alias("_order")).join(groups, "_row")
+    kept = named.groupBy("component_id").agg(F.min("_order").alias("_one")).select("_one._row")
+    # the rows that go are few against those that stay; written, their size is known before the join
+    gone = written(groups.select("_row").join(kept, "_row", "left_anti"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
+@cleaned
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows whose text holds a benchmark item, whatever their id."""
     rows = keyed(docs)
-    held = contaminated(rows, table(spark, sf_dir, "benchmark"), key="_row").select("_row").distinct()
+    held = written(contaminated(rows, table(spark, sf_dir, "benchmark"), key="_row").select("_row").distinct(), "held")
     return rows.join(held, "_row", "left_anti").select(*docs.columns)
 
 
+@cleaned
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each row as often as the mix of sources by weight has it: 0 to 3 times. Rows are picked
     by what is in them and their number among identical rows, so reruns agree."""
     rows = keyed(docs)
-    rows = written(rows.join(numbered(rows), "_row").withColumn("_key", F.struct("_hash", "_no")).drop("_row", "_hash", "_no"), "numbered")
-    times = mix_sources(rows, key="_key").filter("repeats > 0").select("_key", F.col("repeats").cast("int").alias("_times"))
-    taken = rows.join(times, "_key")
+    light = rows.select("_row", "_hash", "source", F.regexp_count("text", F.lit(WORD)).alias("_words"))
+    light = written(light.join(numbered(rows), "_row").select("_row", F.struct("_hash", "_no").alias("_key"), "source", "_words"), "light")
+    times = mix_sources(light, key="_key", words="_words").filter("repeats > 0").select("_key", F.col("repeats").cast("int").alias("_times"))
+    taken = rows.join(written(light.join(times, "_key").select("_row", "_times"), "times"), "_row")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
