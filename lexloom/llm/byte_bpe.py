@@ -31,6 +31,8 @@ _RUN = regex.compile(rf"[{_WS}]{{2}}")
 SPACE = "\u0120"
 #: Units of one generation; a worker keeps two generations of them.
 KEPT_UNITS = 700_000
+#: Bytes from which a piece is worked out by itself.
+LONG_PIECE = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -248,6 +250,7 @@ class PrefixCounts(UnitStore):
         self.child = np.full(len(made) * 256, -1, np.int32)
         self.child[[node << 8 | byte for node, byte in edge]] = list(edge.values())
         self.single = self.keeps_whole()
+        self.fitting: dict[int, bool] = {}
 
     def keeps_whole(self) -> np.ndarray:
         """Which tokens encode to themselves: those whose halves stay apart until they merge."""
@@ -311,6 +314,43 @@ class PrefixCounts(UnitStore):
             last[rows, to], count[rows, to] = token, count[rows, j] + 1
         return count
 
+    def fit(self, left: int, right: int) -> bool:
+        """`fits` of one pair, held once worked out."""
+        key = left << 20 | right
+        held = self.fitting.get(key)
+        if held is None:
+            if len(self.fitting) > KEPT_UNITS:
+                self.fitting.clear()
+            held = self.fitting[key] = bool(self.fits(np.array([left]), np.array([right]))[0])
+        return held
+
+    def long_counts(self, piece: bytes) -> np.ndarray:
+        """`by_bytes` of one long piece: the tokens that begin at each byte are looked up for BLOCK bytes at
+        once, and the pass over them does a few steps a byte, whatever the piece's length."""
+        n, block = len(piece), 1 << 15
+        text = np.frombuffer(piece, np.uint8).astype(np.int64)
+        last, count = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+        ends, made = last.tolist(), count.tolist()
+        for begin in range(0, n, block):
+            start = np.arange(begin, min(n, begin + block))
+            node, found = np.zeros(len(start), np.int64), []
+            for size in range(1, self.longest + 1):
+                inside = start + size <= n
+                start, node = start[inside], node[inside]
+                node = self.child[node << 8 | text[start + size - 1]].astype(np.int64)
+                start, node = start[node >= 0], node[node >= 0]
+                if not len(start):
+                    break
+                token = self.made[node]
+                take = token >= 0
+                found.append((start[take], np.full(int(take.sum()), size), token[take]))
+            at, size, token = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((size, at))
+            for j, t, i in zip(at[order].tolist(), token[order].tolist(), (at + size)[order].tolist(), strict=True):
+                if ends[i] < 0 and (ends[j] >= 0 or not j) and (self.fit(ends[j], t) if j else self.single[t]):
+                    ends[i], made[i] = t, made[j] + 1
+        return np.array(made, np.int32)
+
     def pieces(self, todo: list[str]) -> dict[str, bytes]:
         """For each piece, what its characters add to the number of tokens."""
         out, by_size = {}, {}
@@ -318,10 +358,12 @@ class PrefixCounts(UnitStore):
             b = p.encode("utf-8", "surrogatepass")
             by_size.setdefault(max(3, len(b).bit_length()) if len(b) < 64 else len(b), []).append((p, b))
         for size, rows in by_size.items():
-            for at in range(0, len(rows), 20_000):
-                part = rows[at : at + 20_000]
+            step = max(1, 20_000 * LONG_PIECE // max(size, LONG_PIECE))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
                 n = np.array([len(b) for _, b in part])
-                count = self.by_bytes([b for _, b in part])[:, 1:]
+                held = [b for _, b in part]
+                count = (np.stack([self.long_counts(b) for b in held]) if size >= LONG_PIECE else self.by_bytes(held))[:, 1:]
                 within = np.arange(count.shape[1]) < n[:, None]
                 text, full = np.frombuffer(b"".join(b for _, b in part), np.uint8), count[within]
                 last = np.append((text[1:] & 0xC0) != 0x80, True)  # a character's last byte

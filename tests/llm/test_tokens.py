@@ -84,3 +84,19 @@ def test_token_store_round_trip(spark, library, tmp_path):
     assert {r["at"]: r["id"] for r in S.ids_at(spark, folder, [0, 7, 99999999]).collect()} == {0: stream[0], 7: stream[7]}
     S.write_token_shards(docs.limit(0), str(tmp_path / "e"))
     assert S.read_token_shards(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_long_unbroken_words(library):
+    import time
+
+    rng = random.Random(5)
+    table = prefix_counts(PATH)
+    for text in ("".join(rng.choices("abcdefghij", k=700)), "no" * 400, "a" * 900, "é" * 300 + "日本" * 150, "".join(rng.choices("ABCDEFabcdef0123456789+/", k=600))):
+        piece = text.encode()
+        assert (table.long_counts(piece) == table.by_bytes([piece])[0]).all()
+        got = np.cumsum(np.frombuffer(table.batch([text])[0], "<i2"), dtype=int)
+        assert [got[j - 1] for j in range(1, len(text), 97)] == [len(ids_of(library, text[:j])) for j in range(1, len(text), 97)]
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    began = time.process_time()
+    steps = np.frombuffer(table.batch([text])[0], "<i2")
+    assert time.process_time() - began < 30 and int(steps.sum(dtype=np.int64)) == len(ids_of(library, text))
