@@ -78,7 +78,8 @@ def planned_steps(examples: DataFrame, shares: dict[str, float], steps: int, per
 def stream_share(docs: DataFrame, stream: Column) -> DataFrame:
     """(stream, share): each stream's part of all rows."""
     n = docs.groupBy(stream.alias("stream")).agg(F.count(F.lit(1)).alias("_n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("_n").alias("_all")))).select("stream", (F.col("_n") / F.col("_all")).alias("share"))
+    whole = F.sum("_n").over(Window.partitionBy(F.lit(1)))  # one row a stream
+    return n.select("stream", (F.col("_n") / whole).alias("share"))
 
 
 def path_orders(paths: list[str], epochs: int, seed: int) -> list[list[int]]:

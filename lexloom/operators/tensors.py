@@ -95,14 +95,14 @@ def check_permutation(mapping: DataFrame, size: int) -> DataFrame:
     """mapping (old_id, new_id), of which a repeated number, one outside the rows, or a gap among the new
     numbers 0 to n - 1 is an error when read. The check is one row joined to all."""
     one = mapping.agg(
-        F.count(F.lit(1)).alias("_n"), F.count_distinct("old_id").alias("_old"), F.count_distinct("new_id").alias("_new"),
+        F.lit(1).alias("_one"), F.count(F.lit(1)).alias("_n"), F.count_distinct("old_id").alias("_old"), F.count_distinct("new_id").alias("_new"),
         F.min("old_id").alias("_low"), F.max("old_id").alias("_high"), F.min("new_id").alias("_first"), F.max("new_id").alias("_last"),
     )
     good = (F.col("_n") == 0) | (
         (F.col("_n") == F.col("_old")) & (F.col("_n") == F.col("_new")) & (F.col("_low") >= 0) & (F.col("_high") < size) & (F.col("_first") == 0) & (F.col("_last") == F.col("_n") - 1)
     )
     sure = F.assert_true(good, F.lit("the mapping is no permutation of the first rows"))
-    return mapping.crossJoin(F.broadcast(one)).filter(sure.isNull()).select("old_id", "new_id")
+    return mapping.withColumn("_one", F.lit(1)).join(one, "_one").filter(sure.isNull()).select("old_id", "new_id")
 
 
 def permute_rows(rows: DataFrame, mapping: DataFrame, keep_rest: bool = True) -> DataFrame:

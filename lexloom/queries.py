@@ -17,6 +17,7 @@ from .operators import parameters as W
 from .operators import rewrite as R
 from .operators import tensors as T
 from .operators.ordinal import batch_number, with_ordinal
+from .plans import runs as U
 from .plans.sanitize import Edits, Sanitized, sanitize, summary
 
 QUERIES: dict = {}
@@ -850,3 +851,16 @@ def dense_experts(spark, sf_dir):
     dense = part("gate", 0, 6, 64).unionByName(part("up", 100, 6, 64)).unionByName(part("down", 200, 64, 6))
     out = T.dense_to_experts(dense, "l0", width=70, hidden=8, experts=2)
     return out.select("name", F.col("e").cast("int").alias("e"), "r", six(N.total(F.col("values"))).alias("total"), F.size("values").alias("width"))
+
+
+@query(_NAMES + f""", x AS (SELECT {_STREAM} AS stream, count(*) AS examples FROM documents WHERE text IS NOT NULL GROUP BY 1),
+g AS (SELECT rate, weight_decay, count(*) AS tensors, CAST(sum(list_product(shape)) AS BIGINT) AS parameters FROM r WHERE rate > 0 GROUP BY 1, 2)
+SELECT (SELECT string_agg(stream || '=' || examples, ' ' ORDER BY stream) FROM x) AS examples, CAST(500 AS BIGINT) AS steps,
+  (SELECT CAST(sum(list_product(shape)) AS BIGINT) FROM r WHERE rate > 0) AS trained, (SELECT CAST(sum(list_product(shape)) AS BIGINT) FROM r WHERE rate <= 0) AS frozen,
+  (SELECT string_agg(tensors || ':' || parameters, ' ' ORDER BY rate, weight_decay) FROM g) AS groups""")
+def dry_run(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    out = U.dry_run(docs, stream(), {"ind": 0.75, "ood": 0.25}, 500, 32, parameter_rows(spark, sf_dir))
+    shown = F.array_join(F.transform(F.map_entries("examples"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    groups = F.array_join(F.transform("groups", lambda g: F.concat(g["tensors"].cast("string"), F.lit(":"), g["parameters"].cast("string"))), " ")
+    return out.select(shown.alias("examples"), "steps", "trained", "frozen", groups.alias("groups"))

@@ -193,3 +193,13 @@ def test_own_order_and_names(spark):
     assert set(G.ORDERS) >= {"good", "original"} and all(G.sort_key(name) for name in G.ORDERS)
     links = spark.createDataFrame([("s", 0, "a", "b", "ab"), ("s", 1, "b", "b", "bb"), ("s", 2, "b", "c", "bc"), ("s", 3, "c", "z", "cz")], rules.schema)
     assert {(r.idx, r.next_idx) for r in G.chains(links).collect()} == {(0, 1), (1, 2), (2, 3)}
+
+
+def test_run_plans():
+    from lexloom.plans.runs import check_options, recipe
+
+    check_options({"rate": 0.5, "steps": None, "all": True}, {"rate": (0, 1), "steps": (1, None), "absent": (0, 1)}, [("all", "some")])
+    for options, ranges, groups in (({"rate": 2}, {"rate": (0, 1)}, []), ({"n": 0}, {"n": (1, None)}, []), ({"a": 1, "b": 1}, {}, [("a", "b")])):
+        with pytest.raises(ValueError):
+            check_options(options, ranges, groups)
+    assert json.loads(recipe({"b": 1, "a": None}, {"ind": ["y", "x"]})) == {"options": {"a": None, "b": 1}, "sources": {"ind": ["x", "y"]}}
