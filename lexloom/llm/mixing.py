@@ -2,8 +2,8 @@
 
 A source's documents are counted by exact length. Of its budget, full passes over all documents
 come first; the rest is filled in proportion from every length, and what then remains by
-bounded-knapsack dynamic programming over the counts that are left. Seeded hashes pick which
-documents of a length make up its count, so reruns agree."""
+bounded-knapsack dynamic programming over the counts that are left. Seeded hashes order the documents of
+a length; those below a cut make up its count, so reruns agree."""
 
 from __future__ import annotations
 
@@ -11,13 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cleaned, written
 
 #: Parts into which the documents of one length are dealt before they are ranked.
 PARTS = 1024
+#: Most rows of a table of cuts that goes to all tasks.
+MOST_CUTS = 200_000
 #: Most words that dynamic programming fills (the default of fit_words).
 FIT_WORDS = 1 << 16
 
@@ -93,13 +95,66 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), mos
     return sizes.coalesce(1).mapInPandas(share, "source string, source_size long, target double")
 
 
+def marks(size: Column, source: Column, number: Column) -> dict[str, Column]:
+    """Columns that mixing goes by: the source as text (_src is never null, so equal joins keep the null
+    source), the size in words, a hash that orders documents of one length, and its part."""
+    named = source.cast("string")
+    return {
+        "_source": named, "_src": F.coalesce(F.concat(F.lit("="), named), F.lit("")), "_size": F.coalesce(size, F.lit(0)).cast("long"),
+        "_number": number, "_part": F.pmod(number, F.lit(PARTS)).cast("int"),
+    }
+
+
+def words_in(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD))
+
+
+def mix_plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, fit_words: int = FIT_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(cuts, targets) of written rows with the columns of `marks` and `_row`, different in each.
+
+    cuts has a row a source and length: of its documents, all are taken `passes` times, and once more those whose
+    (part, number, row) is not above that of the cut. So a document's share follows from its own columns and a
+    table that does not grow with the documents of a length; no document is moved. targets: _src, source_size,
+    target."""
+    lengths = written(rows.groupBy("_src", "_source", "_size", "_part").agg(F.count(F.lit(1)).alias("_n")), "mix-counts")
+    by_source = lengths.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("_size") * F.col("_n")).alias("source_size"))
+    targets = source_targets(by_source, weights, most).withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    targets = written(targets.drop("source"), "mix-targets")
+    by_length = lengths.filter("_size > 0").groupBy("_src", "_size").agg(F.sum("_n").alias("_n")).join(targets, "_src")
+
+    def plan(group: pd.DataFrame) -> pd.DataFrame:
+        budget, whole = int(round(float(group.target.iloc[0]))), int(group.source_size.iloc[0])
+        passes = min(budget // whole, int(most))
+        rest = budget - passes * whole if passes < most else 0
+        take = fill_budget(group["_size"].tolist(), group["_n"].tolist(), rest, fit_words)
+        return pd.DataFrame({"_src": group["_src"], "_size": group["_size"], "passes": passes, "extra": [take[n] for n in group["_size"]]})
+
+    plans = written(by_length.groupBy("_src").applyInPandas(plan, "_src string, _size long, passes int, extra long"), "mix-plans")
+    # the part in which the last document taken once more lies, and how many of that part go with it
+    ahead = F.expr("coalesce(sum(_n) over (partition by _src, _size order by _part rows between unbounded preceding and 1 preceding), 0)")
+    edge = lengths.withColumn("_ahead", ahead).join(plans, ["_src", "_size"]).filter("extra > _ahead and extra <= _ahead + _n")
+    edge = written(edge.select("_src", "_size", "_part", (F.col("extra") - F.col("_ahead")).alias("_take")), "mix-edges")
+    own = rows.select("_src", "_size", "_part", "_number", "_row").join(edge, ["_src", "_size", "_part"])
+    rank = F.expr("row_number() over (partition by _src, _size, _part order by _number, _row)")
+    last = own.withColumn("_rank", rank).filter("_rank = _take").select("_src", "_size", F.struct("_part", "_number", "_row").alias("_last"))
+    return written(plans.select("_src", "_size", "passes").join(last, ["_src", "_size"], "left"), "mix-cuts"), targets
+
+
+def repeated(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds `repeats` to rows with the columns of `marks` and `_row`. The cuts go to all tasks if they are at most
+    MOST_CUTS, which is counted; else Spark joins as it sees fit."""
+    cuts = F.broadcast(cuts) if cuts.count() <= MOST_CUTS else cuts
+    once = F.coalesce(F.struct("_part", "_number", "_row") <= F.col("_last"), F.lit(False)).cast("int")
+    out = rows.join(cuts, ["_src", "_size"], "left")
+    return out.withColumn("repeats", F.coalesce(F.col("passes") + once, F.lit(0)).cast("long")).drop("passes", "_last")
+
+
 @cleaned
 def mix_sources(
     docs: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    words: str | None = None,
     weights: tuple[float, ...] = (5, 2, 1),
     most: float = 3.0,
     seed: int = 7,
@@ -107,37 +162,14 @@ def mix_sources(
 ) -> DataFrame:
     """One row per document: key, size (words), source, source_size, target, repeats, taken.
 
-    words: a column with the sizes, where they are known; then no text is read. Null texts (or sizes) have
-    size 0 and take nothing; null sources are one source, the last. Rows that
+    Null texts have size 0 and take nothing; null sources are one source, the last. Rows that
     repeat a key are documents of their own. No document repeats more than `most` times (rounded
     up where the rest of a budget picks it). A source's taken words miss its target by what
     `fill_budget` says of fit_words. Only sums by source, and counts by source, length and
-    hash part, are shuffled, then the small rows (key, size); never the texts."""
-    size = F.coalesce(F.col(words) if words else F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    salt = [] if words else [F.col(text)]  # tells rows with a null key apart
-    rows = docs.select(F.col(key).alias("_key"), F.col(source).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), *salt).alias("_hash"))
-    rows = rows.withColumn("_part", F.pmod("_hash", F.lit(PARTS)).cast("int"))
-    #: Never null: equal joins on it keep the rows of the null source.
-    rows = written(rows.withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), "mix-sizes")
-    lengths = written(rows.groupBy("_src", "source", "size", "_part").agg(F.count(F.lit(1)).alias("_n")), "mix-counts")
-    by_source = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("_n")).alias("source_size"))
-    targets = source_targets(by_source, weights, most).withColumn("_src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    targets = written(targets.drop("source"), "mix-targets")
-    by_length = lengths.filter("size > 0").groupBy("_src", "size").agg(F.sum("_n").alias("_n")).join(targets, "_src")
-
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        budget, whole = int(round(float(group.target.iloc[0]))), int(group.source_size.iloc[0])
-        passes = min(budget // whole, int(most))
-        rest = budget - passes * whole if passes < most else 0
-        take = fill_budget(group["size"].tolist(), group["_n"].tolist(), rest, fit_words)
-        return pd.DataFrame({"_src": group["_src"], "size": group["size"], "passes": passes, "extra": [take[n] for n in group["size"]]})
-
-    plans = by_length.groupBy("_src").applyInPandas(plan, "_src string, size long, passes int, extra long")
-    ahead = F.expr("coalesce(sum(_n) over (partition by _src, size order by _part rows between unbounded preceding and 1 preceding), 0)")
-    deal = lengths.filter("size > 0").withColumn("_ahead", ahead).join(plans, ["_src", "size"])
-    deal = deal.select("_src", "size", "_part", "passes", F.greatest(F.col("extra") - F.col("_ahead"), F.lit(0)).alias("_take"))
-    ranked = rows.withColumn("_rank", F.expr("row_number() over (partition by _src, size, _part order by _hash, _key)"))
-    out = ranked.join(deal, ["_src", "size", "_part"], "left")
-    repeats = F.coalesce(F.col("passes") + F.when(F.col("_rank") <= F.col("_take"), 1).otherwise(0), F.lit(0)).cast("long")
-    out = out.withColumn("repeats", repeats).join(targets, "_src")
-    return out.select(F.col("_key").alias(key), "size", "source", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    hash part, are shuffled; of the documents only small rows, and of these those at a cut."""
+    number = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
+    rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), *[c.alias(n) for n, c in marks(words_in(F.col(text)), F.col(source), number).items()])
+    rows = written(rows, "mix-sizes")
+    cuts, targets = mix_plan(rows, weights, most, fit_words)
+    out = repeated(rows, cuts).join(targets, "_src")
+    return out.select(F.col("_key").alias(key), F.col("_size").alias("size"), F.col("_source").alias("source"), "source_size", "target", "repeats", (F.col("repeats") * F.col("_size")).alias("taken"))

@@ -2,7 +2,7 @@
 
 `token_prefixes` gives each text's number of tokens and, as little-endian int16 steps, by how much
 each character changes it; the sum of the first n steps is the count that the tokenizers library
-gives for the first n characters. So `tokens_within` and `longest_prefix` answer questions of
+gives for the first n characters. So `token_budget` answers questions of
 truncation and budgets without encoding again. The work is one narrow pass: no shuffle."""
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,25 +79,3 @@ def token_prefixes(
             yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
     return kept.mapInArrow(count, T.StructType(fields))
-
-
-def tokens_within(steps: Column, chars: Column) -> Column:
-    """Tokens of a text's first `chars` characters (all of it, if it is shorter)."""
-
-    def within(steps: pd.Series, chars: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None or pd.isna(n) else int(np.frombuffer(s, "<i2")[: max(0, int(n))].sum(dtype=np.int64)) for s, n in zip(steps, chars, strict=True)], dtype="Int64")
-
-    return F.pandas_udf(within, T.LongType())(steps, chars)
-
-
-def longest_prefix(steps: Column, budget: Column) -> Column:
-    """Characters of the longest prefix of at most `budget` tokens."""
-
-    def one(s: bytes, n: int) -> int:
-        fit = np.flatnonzero(np.cumsum(np.frombuffer(s, "<i2"), dtype=np.int64) <= n)
-        return int(fit[-1]) + 1 if len(fit) and n >= 0 else 0
-
-    def longest(steps: pd.Series, budget: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None or pd.isna(n) else one(s, int(n)) for s, n in zip(steps, budget, strict=True)], dtype="Int64")
-
-    return F.pandas_udf(longest, T.LongType())(steps, budget)

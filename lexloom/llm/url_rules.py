@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,11 +62,11 @@ def build_filter(listed: DataFrame, key: str) -> BlockedBloom:
         if at:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([own.words[i : i + span].tobytes() for i in at], pa.binary())], names=["at", "bits"])
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint64) for x in group.bits])
-        return pd.DataFrame({"at": [group["at"].iloc[0]], "bits": [bits.tobytes()]})
+    def joined(group: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint64) for x in group.column("bits").to_pylist()])
+        return pa.table({"at": group.column("at")[:1], "bits": [bits.tobytes()]})
 
-    for row in hashes.mapInArrow(part, "at long, bits binary").groupBy("at").applyInPandas(joined, "at long, bits binary").collect():
+    for row in hashes.mapInArrow(part, "at long, bits binary").groupBy("at").applyInArrow(joined, "at long, bits binary").collect():
         held = np.frombuffer(row.bits, np.uint64).reshape(-1, BLOCK_WORDS)
         whole.words[row["at"] : row["at"] + len(held)] = held
     return whole

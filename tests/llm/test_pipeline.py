@@ -140,10 +140,3 @@ def test_mix_decides_by_row(spark, sf):
         assert abs(words[s] - sum(size.values()) * weight / 7) <= 2 and words[s] <= 3 * size[s]
     assert max(sum(r.n_chars == k for r in got) for k in range(300)) <= 3
     assert sorted(map(str, got)) == take(docs.repartition(5, "text", "n_chars")) == take(docs.orderBy("n_chars"))
-
-
-def test_numbers_of_identical_rows(spark):
-    docs = spark.range(0, 20_000, numPartitions=3).selectExpr("id % 2 as doc_id", "'x' as text")
-    rows = corpus_pipeline.keyed(docs)
-    found = rows.join(corpus_pipeline.numbered(rows), "_row").groupBy("doc_id").agg(F.min("_no"), F.max("_no"), F.count_distinct("_no"))
-    assert sorted(map(tuple, found.collect())) == [(0, 1, 10_000, 10_000), (1, 1, 10_000, 10_000)]

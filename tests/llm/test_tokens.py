@@ -11,7 +11,8 @@ tokenizers = pytest.importorskip("tokenizers")
 
 from lexloom.llm import token_store as S
 from lexloom.llm.byte_bpe import library_ids, prefix_counts
-from lexloom.llm.token_counts import longest_prefix, token_prefixes, tokenizer_path, tokens_within
+from lexloom.llm.token_budget import longest_prefix, tokens_within
+from lexloom.llm.token_counts import token_prefixes, tokenizer_path
 from lexloom.llm.wavelet import WaveletMatrix
 
 PATH = tokenizer_path()
