@@ -13,10 +13,10 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import WORD, cleaned, scratch_path, table, written
+from lexloom.llm.common import cleaned, scratch_path, table, written
 from lexloom.llm.decontam import contaminated
 from lexloom.llm.language import predict_language, train_language
-from lexloom.llm.mixing import mix_sources
+from lexloom.llm.mixing import marks, mix_plan, repeated, words_in
 from lexloom.llm.near_dup import near_duplicates
 from lexloom.llm.token_store import read_token_shards, write_token_shards
 
@@ -50,16 +50,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn("_hash", F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """(_row, _no): a number from 1 among the keyed rows with the same hash. Rows are ranked within
-    chunks of 4096 keys, and the chunks by their counts, so no large group of copies is one task's."""
-    own = rows.select("_row", "_hash", F.shiftright("_row", 12).alias("_chunk"))
-    ahead = F.expr("coalesce(sum(_n) over (partition by _hash order by _chunk rows between unbounded preceding and 1 preceding), 0)")
-    chunks = own.groupBy("_hash", "_chunk").agg(F.count(F.lit(1)).alias("_n")).select("_hash", "_chunk", ahead.alias("_ahead"))
-    rank = F.expr("row_number() over (partition by _hash, _chunk order by _row)")
-    return own.withColumn("_rank", rank).join(chunks, ["_hash", "_chunk"]).select("_row", (F.col("_ahead") + F.col("_rank")).alias("_no"))
-
-
 @cleaned
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five-word shingles, similarity 0.8): the one with
@@ -85,13 +75,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @cleaned
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each row as often as the mix of sources by weight has it: 0 to 3 times. Rows are picked
-    by what is in them and their number among identical rows, so reruns agree."""
+    by what is in them, and identical rows are alike, so reruns agree. Texts are in no shuffle."""
     rows = keyed(docs)
-    light = rows.select("_row", "_hash", "source", F.regexp_count("text", F.lit(WORD)).alias("_words"))
-    light = written(light.join(numbered(rows), "_row").select("_row", F.struct("_hash", "_no").alias("_key"), "source", "_words"), "light")
-    times = mix_sources(light, key="_key", words="_words").filter("repeats > 0").select("_key", F.col("repeats").cast("int").alias("_times"))
-    taken = rows.join(written(light.join(times, "_key").select("_row", "_times"), "times"), "_row")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = rows.withColumns(marks(words_in(F.col("text")), F.col("source"), F.xxhash64(F.lit(7), "_hash")))
+    cuts, _ = mix_plan(written(rows.select("_source", "_src", "_size", "_number", "_part", "_row"), "sizes"))
+    taken = repeated(rows, cuts).filter("repeats > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
