@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import math
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import cleaned, scratch_path, table, written
+from lexloom.llm.common import scratch_path, table, written
 from lexloom.llm.decontam import contaminated
 from lexloom.llm.language import predict_language, train_language
 from lexloom.llm.mixing import marks, mix_plan, repeated, words_in
@@ -44,13 +45,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*docs.columns)
 
 
+#: Most files whose names go to all tasks.
+MOST_FILES = 100_000
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own (`_row`) and a hash of all columns (`_hash`), written, so the
-    key stays what it is however often the rows are read."""
-    return written(docs.withColumn("_hash", F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    """The rows with a key of their own (`_row`) and a hash of all columns (`_hash`). Rows of Parquet files have
+    the number of their file and their place in it, which are the same however often they are read; other
+    rows (and those of more than MOST_FILES files) are numbered once and written."""
+    whole = F.xxhash64(*docs.columns).alias("_hash")
+    try:
+        placed = docs.select("*", whole, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_index"))
+        files = [r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().limit(MOST_FILES + 1).collect()]
+    except AnalysisException:  # no file's rows
+        files = None
+    if files is None or len(files) > MOST_FILES:
+        return written(docs.select("*", whole, F.monotonically_increasing_id().alias("_row")), "keyed")
+    names = docs.sparkSession.createDataFrame(list(enumerate(sorted(files))), "_file long, _path string")
+    row = F.col("_file") * (1 << 40) + F.col("_index")
+    return placed.join(F.broadcast(names), "_path").withColumn("_row", row).select(*docs.columns, "_hash", "_row")
 
 
-@cleaned
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five-word shingles, similarity 0.8): the one with
     the smallest id, null ids last. Each row counts by its own text, whatever its id."""
@@ -64,7 +79,6 @@ def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
-@cleaned
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows whose text holds a benchmark item, whatever their id."""
     rows = keyed(docs)
@@ -72,7 +86,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(held, "_row", "left_anti").select(*docs.columns)
 
 
-@cleaned
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each row as often as the mix of sources by weight has it: 0 to 3 times. Rows are picked
     by what is in them, and identical rows are alike, so reruns agree. Texts are in no shuffle."""
