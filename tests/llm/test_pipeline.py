@@ -140,3 +140,16 @@ def test_mix_decides_by_row(spark, sf):
         assert abs(words[s] - sum(size.values()) * weight / 7) <= 2 and words[s] <= 3 * size[s]
     assert max(sum(r.n_chars == k for r in got) for k in range(300)) <= 3
     assert sorted(map(str, got)) == take(docs.repartition(5, "text", "n_chars")) == take(docs.orderBy("n_chars"))
+
+
+def test_keys_of_rows(spark, tmp_path):
+    docs = spark.range(0, 1000, numPartitions=7).selectExpr("id % 3 as doc_id", "concat('t', id % 5) as text")
+    docs.write.parquet(str(tmp_path / "d"))
+    for rows in (docs, spark.read.parquet(str(tmp_path / "d"))):
+        for frame in (rows, rows.limit(0)):
+            keys = corpus_pipeline.keyed(frame)
+            assert keys.columns == ["doc_id", "text", "_hash", "_row"]
+            first, again = (sorted(map(tuple, keys.collect())) for _ in range(2))
+            assert first == again and len({r[3] for r in first}) == len(first) == frame.count()
+    held = corpus_pipeline.keyed(spark.read.parquet(str(tmp_path / "d")))
+    assert sorted(map(tuple, held.repartition(3).collect())) == sorted(map(tuple, held.collect()))
