@@ -50,6 +50,21 @@ class FMIndex:
         """How often the patterns of these intervals occur, by weight."""
         return self.before[high] - self.before[low]
 
+    def twice(self, text: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Which substrings text[start : start + length] occur twice or more: one walk each from its right
+        end, which goes on while the interval holds two places."""
+        out, rows = np.zeros(len(start), bool), np.arange(len(start))
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        at = start + length - 1
+        while len(rows):
+            low, high = self.extend(text[at], low, high)
+            live = self.count(low, high) >= 2
+            done = live & (at == start[rows])
+            out[rows[done]] = True
+            go = live & ~done
+            rows, low, high, at = rows[go], low[go], high[go], at[go] - 1
+        return out
+
     def repeated(self, text: np.ndarray, start: np.ndarray, length: int, head: int = 8) -> np.ndarray:
         """Which substrings text[start : start + length] occur twice or more in the index. Matching
         statistics cut at `length`: each search goes on from the right while two places match. The

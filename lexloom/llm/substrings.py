@@ -148,7 +148,11 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             windows = size - window + 1
             of = np.repeat(np.arange(len(size)), windows)
             within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-            twice = FMIndex(symbols, window, np.repeat(times, size + 1)).repeated(symbols, begin[of] + within, window)
+            index = FMIndex(symbols, int(size.max()), np.repeat(times, size + 1))
+            # a span that is found twice as a whole needs one walk; of others, each window by itself
+            twice = index.twice(symbols, begin, size)[of]
+            rest = np.flatnonzero(~twice)
+            twice[rest] = index.repeated(symbols, begin[of[rest]] + within[rest], window)
             # intervals of windows found twice
             first = twice & ~(np.append(False, twice[:-1]) & np.append(False, of[1:] == of[:-1]))
             last = twice & ~(np.append(twice[1:], False) & np.append(of[1:] == of[:-1], False))

@@ -203,6 +203,25 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_fm_index_of_weights_and_lengths():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    pieces = [rng.integers(1, 4, rng.integers(3, 20)) for _ in range(80)]
+    times = rng.integers(1, 3, 80)
+    text = np.concatenate([np.append(p, 0) for p in pieces])
+    index = FMIndex(text, 32, np.concatenate([np.full(len(p) + 1, k) for p, k in zip(pieces, times)]))
+    seen = collections.Counter()
+    for p, k in zip(pieces, times):
+        for i in range(len(p)):
+            for j in range(i + 1, len(p) + 1):
+                seen[tuple(p[i:j])] += int(k)
+    begin = np.cumsum([0, *[len(p) + 1 for p in pieces]])[:-1]
+    start = np.concatenate([b + np.arange(len(p)) for b, p in zip(begin, pieces)])
+    length = np.array([rng.integers(1, e + 1) for p in pieces for e in range(len(p), 0, -1)])
+    assert index.twice(text, start, length).tolist() == [seen[tuple(text[a : a + n])] > 1 for a, n in zip(start, length)]
+
+
 def test_recall_of_the_radius(spark):
     """How many windows at the similarity asked for (or as little above it as a size allows) lie within
     the radius: items of every size from 9 to 60 shingles, 300 windows each."""
