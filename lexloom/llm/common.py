@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
@@ -28,6 +29,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def forget_units() -> None:
+    """Empties the stores of encoded units that an earlier tokenizer step has left in this worker: Spark gives
+    a worker to the next step as it is, and their hundreds of megabytes would stay beside that step's own."""
+    held = sys.modules.get(f"{__package__}.byte_bpe")
+    if held is not None:
+        held.library_ids.cache_clear()
+        held.prefix_counts.cache_clear()
+        gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

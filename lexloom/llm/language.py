@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, forget_units
 from .token_counts import slices
 
 #: Most entries of the matrix of log probabilities, and its buckets; with more languages the buckets
@@ -142,6 +142,7 @@ def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", alph
         buckets //= 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         held: dict[str, np.ndarray] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -188,6 +189,7 @@ def predict_language(
     schema = (schema.withColumn(likely_out, F.lit(None).cast("double")) if likely_out else schema).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         for whole in batches:
             for batch in slices(whole, text, SLICE, max(1, MOST_ENTRIES // max(1, langs))):
                 names, score, likely = shared.value.score([x or "" for x in batch.column(text).to_pylist()])

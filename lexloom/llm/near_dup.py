@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cleaned, release, written
+from .common import bound_batches, cleaned, forget_units, release, written
 from .graph import components
 from .token_counts import slices
 from .url_rules import build_filter, possible_hits
@@ -77,6 +77,7 @@ def set_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(doc, n, h1, h2, bands): each row's set size, a 128-bit hash of its set, and its buckets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         for whole in batches:
             for batch in slices(whole, "_text", 1 << 18):
                 texts = batch.column("_text").to_pylist()
@@ -100,6 +101,7 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
     bloom = build_filter(wanted, "doc")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         for whole in batches:
             near = whole.filter(pa.array(bloom.has(whole.column("_hash").to_numpy())))
             for batch in slices(near, "_text", 1 << 18):

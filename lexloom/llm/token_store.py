@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import library_ids
+from .common import forget_units
 from .token_counts import gathered, tokenizer_path
 from .wavelet import WaveletMatrix
 
@@ -102,6 +103,7 @@ def read_token_shards(spark: SparkSession, folder: str, key: str = "doc_id", wit
     schema = f"`{key}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         for batch in batches:
             for i in range(batch.num_rows):
                 alphabet, matrix = open_ids(batch.column("blob")[i].as_py())

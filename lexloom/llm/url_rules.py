@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, forget_units
 
 #: Words of 64 bits in a block, bits set for a key, bits a key, most bytes of a filter.
 BLOCK_WORDS, KEY_BITS, BITS_A_KEY, MOST_BYTES = 8, 8, 16, 8 << 20
@@ -55,6 +55,7 @@ def build_filter(listed: DataFrame, key: str) -> BlockedBloom:
     span = 4096
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_units()
         own = BlockedBloom(np.zeros_like(whole.words))
         for batch in batches:
             own.add(batch.column("h").to_numpy())
