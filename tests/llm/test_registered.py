@@ -96,3 +96,26 @@ def test_decontaminate(spark, sf, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     plain = {(i, k) for i, t, _, _ in docs for k, u in items if u and t and u.lower() in t.lower()}
     assert plain <= got and plain
+
+
+def test_very_long_texts(spark):
+    from lexloom.llm.decontam import contaminated
+    from lexloom.llm.mixing import mix_sources
+    from lexloom.llm.substrings import remove_repeats
+
+    item = "one item of ten words that stands in a text"
+    words = [f"w{i}" for i in range(120_000)]
+    texts = {1: " ".join(words), 2: " ".join(words[50_000:50_100]), 3: item + " " + "x" * 500_000, 4: None}
+    docs = spark.createDataFrame([(k, t, "s", 0) for k, t in texts.items()], "doc_id long, text string, source string, n_removed int")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(docs, window=35).collect())
+    assert got == brute_removal(list(texts.items()), 35)
+    assert {(r.doc_id, r.item_id, r.start) for r in contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()} == {(3, 7, 0)}
+    assert {r.doc_id: r["size"] for r in mix_sources(docs).collect()} == {1: 120_000, 2: 100, 3: 11, 4: 0}
+
+
+def test_repeated_rules(spark):
+    from lexloom.llm.url_rules import judge_urls
+
+    pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("com", "/", "block"), ("COM", "/", "allow"), ("com", "/", "block"), ("com", None, "block")], "host string, path string, verdict string")
+    assert [(r.rule, r.verdict) for r in judge_urls(pages, rules).collect()] == [("com/", "allow")]
