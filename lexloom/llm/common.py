@@ -73,7 +73,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch_path(df.sparkSession, what)
     if (made := _made.get()) is not None:
         made.append(path)
-    df.write.parquet(path)
+    # what is written on the way is mostly hashes, which no codec makes smaller; its buffers lie beside the heap
+    df.write.option("compression", "none").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
