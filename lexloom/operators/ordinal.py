@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a key is cut into.
+#: Most ranges that a key is cut into; a session with fewer shuffle partitions gets twice as many as these.
 RANGES = 512
 
 
-def key_range(df: DataFrame, key: str, ranges: int = RANGES) -> Column:
+def key_range(df: DataFrame, key: str, ranges: int | None = None) -> Column:
     """The number of a row's range: ranges of a numeric key that hold about as many rows each, between
     approximate quantiles of the table at hand; -1 for null keys. However sparse or dense keys are, a
     range has its share of the rows, unless one key alone has more."""
+    if ranges is None:
+        ranges = max(8, min(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     found = df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     bounds = sorted(set(found or []))
 
@@ -25,7 +27,7 @@ def key_range(df: DataFrame, key: str, ranges: int = RANGES) -> Column:
     return F.when(F.col(key).isNull(), -1).otherwise(place(0, len(bounds)))
 
 
-def running_total(df: DataFrame, key: str, by: list[str], amount: Column, name: str, ranges: int = RANGES) -> DataFrame:
+def running_total(df: DataFrame, key: str, by: list[str], amount: Column, name: str, ranges: int | None = None) -> DataFrame:
     """Adds `name`: the sum of a whole-number amount over the rows before this one in the order of a
     numeric key, within each value of `by`. Ranges of keys are summed, their running sums (one row per
     range and value of `by`) are added to the sums within a range. Keys that repeat stand in no stated
@@ -43,7 +45,7 @@ def running_total(df: DataFrame, key: str, by: list[str], amount: Column, name:
     return out.withColumn(name, (F.col("_own") + F.col("_ahead")).cast("long")).select(*df.columns, name)
 
 
-def with_ordinal(df: DataFrame, key: str, by: list[str] | None = None, name: str = "ordinal", ranges: int = RANGES) -> DataFrame:
+def with_ordinal(df: DataFrame, key: str, by: list[str] | None = None, name: str = "ordinal", ranges: int | None = None) -> DataFrame:
     """Adds `name`: the row's number from 0 in the order of a numeric key, within each value of `by`."""
     return running_total(df, key, by or [], F.lit(1), name, ranges)
 
