@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import cleaned, scratch_path, table
 from .decontam import contaminated
+from .fertility import fertility_rules
+from .fill_middle import fill_middle, restored
 from .language import predict_language, train_language
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .prefix_trie import numbered_turns, prefix_trie
 from .substrings import remove_repeats
 from .token_counts import token_prefixes
 from .token_store import read_token_shards, write_token_shards
@@ -95,6 +98,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.lit(True))
 
 
+@cleaned
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun with the first turns of its hundred's first one."""
+    turns = numbered_turns(table(spark, sf_dir, "conversations"))
+    lent = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    convs = turns.select("conv_id").distinct()
+    hundred = F.col("conv_id") - F.col("conv_id") % 100
+    heads = turns.filter((F.col("conv_id") == hundred) & (F.col("pos") <= 5)).withColumnRenamed("conv_id", "_hundred")
+    given = convs.withColumn("_hundred", hundred).join(heads, "_hundred").filter(F.col("pos") <= lent)
+    own = turns.filter(F.col("pos") > lent)
+    return prefix_trie(own.unionByName(given.select(*own.columns)), convs)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for filling in its middle, and whether its text comes back."""
+    made = fill_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    back = digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), back)
+
+
+def op13_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality rules say of every document."""
+    return fertility_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_near_dup": op2_near_dup,
@@ -106,6 +135,9 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_fertility": op13_fertility,
 }
 
 _OP1_SQL = """
@@ -138,8 +170,58 @@ WITH parts AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
+_OP11_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS hundred, xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda a, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(a, b)),
+    CAST(4294967295 AS BIGINT))) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), mixed AS (
+  SELECT c.conv_id, 0 AS k, pos, role, text FROM c JOIN t ON t.conv_id = c.hundred AND pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h
+), placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k, pos) AS d, sha256(length(role) || ':' || role || text) AS said, length(text) AS chars FROM mixed
+), rows_ AS (
+  SELECT conv_id, d, chars, string_agg(said, ',') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM placed UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), nodes AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM rows_ GROUP BY d, path
+), kids AS (
+  SELECT r.path, count(*) AS n FROM nodes x JOIN rows_ r ON r.conv_id = x.conv_id AND r.d = x.d - 1 GROUP BY r.path
+), known AS (
+  SELECT x.*, coalesce(k.n, 0) AS n_children FROM nodes x LEFT JOIN kids k ON k.path = x.path
+), below AS (
+  SELECT r.path, sum((x.n_convs - 1) * x.chars) AS saved, count(*) FILTER (WHERE x.n_children = 0) AS leaves FROM known x JOIN rows_ r ON r.conv_id = x.conv_id AND r.d <= x.d GROUP BY r.path
+), stops AS (
+  SELECT conv_id, max(d) AS d FROM rows_ GROUP BY conv_id
+), ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest FROM rows_ JOIN stops USING (conv_id, d) GROUP BY path
+)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n_convs, x.n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, coalesce(e.digest, sha256('')) AS ends_sha256
+FROM known x JOIN below b ON b.path = x.path LEFT JOIN ends e ON e.path = x.path
+  LEFT JOIN rows_ r ON r.conv_id = x.conv_id AND r.d = x.d - 1 LEFT JOIN nodes u ON u.path = r.path
+"""
+_OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), n AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS g FROM t
+), c AS (
+  SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR g[3] % 100 >= 100 THEN 'plain' WHEN g[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_top_k": _OP1_SQL,
     "op8_url_rules": _OP8_SQL,
+    "op11_prefix_trie": _OP11_SQL,
+    "op12_fill_middle": _OP12_SQL,
 }
