@@ -51,7 +51,7 @@ def automaton(sentinels: tuple[str, ...], unit_end: str = "\n") -> Automaton:
     raw = tuple(s.encode() for s in sentinels)
     if len(unit_end) != 1 or ord(unit_end) > 127:
         raise ValueError("a unit ends with one ASCII character")
-    if any(not s for s in raw) or any(a != b and a in b for a in raw for b in raw):
+    if any(not s for s in raw) or any(i != j and a in b for i, a in enumerate(raw) for j, b in enumerate(raw)):
         raise ValueError("a sentinel may neither be empty nor stand in another one")
     moves, ends = sentinel_moves(raw)
     known, todo = {(0, True, 0): 0}, [(0, True, 0)]  # continuation bytes to come, unit to begin, node

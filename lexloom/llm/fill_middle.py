@@ -80,6 +80,7 @@ def fill_middle(
     bound_batches(docs.sparkSession)
     if any(x[:i] == x[-i:] for x in sentinels for i in range(1, len(x))):
         raise ValueError("a sentinel may not begin as it ends, else an output can be read in two ways")
+    automaton(sentinels)  # refuses sentinels that cannot be told apart
     kept = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), drawn(F.col(key), seed).alias("_draws"))
     fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("n_units", T.LongType()), T.StructField("form", T.StringType())]
     fields += [T.StructField("prefix_chars", T.LongType()), T.StructField("middle_chars", T.LongType()), T.StructField("output", T.StringType())]

@@ -28,7 +28,7 @@ def library():
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("embeddings", "pages", "conversations", "documents"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     want = con.execute(Q.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
