@@ -32,6 +32,18 @@ def whole_lines(lines: DataFrame, fields: list[str]) -> DataFrame:
     return kept.select(F.from_json("value", schema(fields)).alias("r")).select("r.*")
 
 
-def append_metrics(rows: DataFrame, path: str, every: int = 1) -> None:
-    """Appends the records of each `every`th step."""
-    rows.filter(F.col("step") % every == 0).write.mode("append").json(path)
+def append_metrics(rows: DataFrame, path: str, batch: int | str, every: int = 1) -> None:
+    """Adds the records of each `every`th step to a log, once a batch: a batch (its number or name) has a folder of its
+    own, so one that failed and comes again replaces what it left. Use it as `foreachBatch` has it, or under
+    the name of a piece of work."""
+    rows.filter(F.col("step") % every == 0).write.mode("overwrite").json(f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_batches(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """The records of a log of `append_metrics`: of batches that were written in full (Spark marks them), others
+    are not seen."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = [f.getPath().toString() for f in files.listStatus(place)] if files.exists(place) else []
+    whole = [f for f in whole if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS"))]
+    return spark.read.schema(schema(fields)).option("mode", "FAILFAST").json(whole) if whole else spark.createDataFrame([], schema(fields))

@@ -1,22 +1,23 @@
-"""Live forms: a tail of a rolled metric log, and the annealer as a stateful operator."""
+"""Live forms: tails of rolled and of growing metric logs, and the annealer as a stateful operator."""
 
 from __future__ import annotations
 
-import time
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from ..sources.metrics import read_metrics, whole_lines
+from ..sources.metrics import schema, whole_lines
+from .line_sources import log_lines
 
 
 def tail_metrics(spark: SparkSession, folder: str, fields: list[str], checkpoint: str, show: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Calls show(rows, batch) for the records of each new file in a folder. Writers roll files (one
-    per flush): bytes appended to a file that has been read are not read again (`watch_metrics` reads a
+    per flush): bytes appended to a file that has been read are not read again (`follow_metrics` reads a
     growing file). A broken last line of a file is passed over, another broken line is an error. The
     checkpoint keeps the position over restarts."""
     lines = spark.readStream.text(folder).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
@@ -32,47 +33,78 @@ def tail_metrics(spark: SparkSession, folder: str, fields: list[str], checkpoint
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def watch_metrics(spark: SparkSession, path: str, fields: list[str], show: Callable[[DataFrame], None], polls: int | None = None, wait: float = 1.0) -> int:
-    """Looks at a growing log again and again (`polls` times; None: for ever) and calls show(rows) with all
-    its records when its size or its number of records has changed. A missing file has no records yet; a
-    broken last line is not yet written in full. Returns how often it showed."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    known, shown, turn = None, 0, 0
-    while polls is None or turn < polls:
-        if turn:
-            time.sleep(wait)
-        turn += 1
-        if not files.exists(place):
-            continue
-        size = files.getContentSummary(place).getLength()
-        if known is not None and known[0] == size:
-            continue
-        rows = read_metrics(spark, path, fields, tolerant=True)
-        state = (size, rows.count())
-        if known is None or state[1] != known[1]:
-            show(rows)
-            shown += 1
-        known = state
-    return shown
-
-
-def anneal_stream(rows: DataFrame, steps: int, threshold: float, offset: int) -> DataFrame:
-    """Stream of (run_id, step, loss) to (run_id, step, progress): per run, how many steps have
-    qualified so far. State: rows seen and progress."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, done = state.get if state.exists else (0, 0)
-        group = pd.concat([*batches], ignore_index=True).sort_values("step")
+def metric_stream(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """The records that are appended to a log (a file or a folder), as a stream: (file, at, step, mix, fields). Each byte is
+    read once; a line is a record once its end is written, a whole line that is no JSON is an error."""
+    lines = log_lines(spark, path).filter("trim(value) <> ''")
+    record = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", schema(fields)))
+    sure = record.otherwise(F.raise_error(F.concat(F.lit("a broken line in "), "file", F.lit(" at "), F.col("at").cast("string"))))
+    return lines.select("file", "at", sure.alias("r")).select("file", "at", "r.*")
+
+
+def follow_metrics(spark: SparkSession, path: str, fields: list[str], checkpoint: str, show: Callable[[DataFrame, int], None], wait: str | None = None) -> StreamingQuery:
+    """Calls show(rows, batch) with the new records of a growing log, in batches without a gap or a repeat, also over
+    restarts; not for nothing new. wait: how often to look (`5 seconds`); None: what is there now, then stop. A batch
+    that failed comes again under its number."""
+
+    def each(rows: DataFrame, batch: int) -> None:
+        if not rows.isEmpty():
+            show(rows, batch)
+
+    out = metric_stream(spark, path, fields).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return out.trigger(processingTime=wait).start() if wait else out.trigger(availableNow=True).start()
+
+
+class Annealer(StatefulProcessor):
+    """Per run: rows seen, progress, and the steps that are not due yet, as the watermark has not reached them."""
+
+    def __init__(self, steps: int, threshold: float, offset: int):
+        self.steps, self.threshold, self.offset = steps, threshold, offset
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "seen long, progress long")
+        self.waiting = handle.getListState("waiting", "at long, step long, loss double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            part = part.assign(ms=part["at"].astype("datetime64[ms]").astype("int64"))
+            self.waiting.appendList([(int(r.ms), int(r.step), float(r.loss)) for r in part.itertuples()])
+            first = min(part.ms.min(), first if first is not None else part.ms.min())
+        if first is not None:
+            self.handle.registerTimer(int(first))
+        yield pd.DataFrame({"run_id": [], "step": [], "progress": []}).astype({"run_id": str, "step": "int64", "progress": "int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get())
+        due, later = [r for r in held if r[0] <= reached], [r for r in held if r[0] > reached]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(int(later[0][0]))
+        else:
+            self.waiting.clear()
+        seen, progress = self.done.get() if self.done.exists() else (0, 0)
         out = []
-        for loss in group.loss:
+        for _, step, loss in due:
             seen += 1
-            if seen > offset and pd.notna(loss) and abs(loss) != float("inf") and loss <= threshold:
-                done = min(steps, done + 1)
-            out.append(done)
-        state.update((seen, done))
-        yield pd.DataFrame({"run_id": key[0], "step": group.step.to_numpy(), "progress": out})
-
-    return rows.select(F.col("run_id").cast("string").alias("run_id"), F.col("step").cast("long").alias("step"), F.col("loss").cast("double").alias("loss")).groupBy("run_id").applyInPandasWithState(
-        run, "run_id string, step long, progress long", "seen long, done long", "append", GroupStateTimeout.NoTimeout
+            if seen > self.offset and math.isfinite(loss) and loss <= self.threshold:
+                progress = min(self.steps, progress + 1)
+            out.append((key[0], step, progress))
+        self.done.update((seen, progress))
+        yield pd.DataFrame(out, columns=["run_id", "step", "progress"]).astype({"run_id": str, "step": "int64", "progress": "int64"})
+
+
+def anneal_stream(rows: DataFrame, steps: int, threshold: float, offset: int, delay: str = "10 minutes") -> DataFrame:
+    """Stream of (run_id, step, at, loss) to (run_id, step, progress): per run, in the order of time and step, how many
+    steps have qualified so far, as `anneal` counts them in a batch.
+
+    at: when the step was. Steps may come in any order, `delay` behind the latest at most (later ones are
+    dropped): a step waits in the state until the watermark has passed it. Progress and waiting steps are in
+    the checkpoint. Needs the RocksDB state store, which this sets for the session."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    typed = rows.select(F.col("run_id").cast("string").alias("run_id"), F.col("step").cast("long").alias("step"), F.col("at").cast("timestamp").alias("at"), F.coalesce(F.col("loss").cast("double"), F.lit(float("nan"))).alias("loss"))
+    return typed.withWatermark("at", delay).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=Annealer(steps, threshold, offset), outputStructType="run_id string, step long, progress long", outputMode="Append", timeMode="EventTime"
     )

@@ -150,7 +150,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    from lexloom.streaming.live import anneal_stream, tail_metrics
+    from lexloom.streaming.live import tail_metrics
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "0.json").write_text("".join(f'{{"step": {i}, "loss": {0.01 * i}}}\n' for i in range(1, 9)))
@@ -160,7 +160,3 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in" / "1.json").write_text('{"step": 9, "loss": 1.0}\n')
     tail_metrics(spark, str(tmp_path / "in"), ["loss"], str(tmp_path / "cp"), lambda df, n: seen.append(df.count())).awaitTermination()
     assert seen == [8, 1]
-    rows = spark.readStream.schema("step long, loss double").json(str(tmp_path / "in")).withColumn("run_id", F.lit("r"))
-    q = anneal_stream(rows, 4, 0.05, 2).writeStream.format("memory").queryName("annealed").option("checkpointLocation", str(tmp_path / "cp2")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert [r.progress for r in spark.sql("select * from annealed order by step").collect()] == [0, 0, 1, 2, 3, 3, 3, 3, 3]

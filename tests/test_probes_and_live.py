@@ -11,7 +11,7 @@ from lexloom.sources import corpus as SC
 from lexloom.sources import maps as SM
 from lexloom.sources import metrics as SME
 from lexloom.sources import tokenizer as ST
-from lexloom.streaming.live import tail_metrics, watch_metrics
+from lexloom.streaming.live import tail_metrics
 
 
 def rules_of(spark, pairs):
@@ -31,20 +31,8 @@ def test_adversarial_strings(spark):
     assert texts == O.fuzz_strings(pieces, count=50) and len(texts) == 50 and all(0 < len(t) <= O.LONGEST for t in texts) and O.fuzz_strings([]) == []
 
 
-def test_growing_log(spark, tmp_path):
-    path, seen = tmp_path / "log.jsonl", []
-    show = lambda df: seen.append(df.count())
-    assert watch_metrics(spark, str(path), ["loss"], show, polls=2, wait=0.0) == 0
-    path.write_text('{"step": 1, "loss": 2.5}\n{"step": 2, "lo')
-    assert watch_metrics(spark, str(path), ["loss"], show, polls=3, wait=0.0) == 1
-
-    def grow(df):
-        show(df)
-        if len(seen) == 2:
-            path.write_text('{"step": 1, "loss": 2.5}\n{"step": 2, "loss": 1.0}\n{"step": 3}\n')
-
-    assert watch_metrics(spark, str(path), ["loss"], grow, polls=3, wait=0.0) == 2
-    assert seen == [1, 1, 3]
+def test_broken_lines(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
     path.write_text('{"step": 1}\n{"st\n{"step": 3}\n')
     with pytest.raises(Exception, match="broken"):
         SME.read_metrics(spark, str(path), ["loss"], tolerant=True).collect()
@@ -66,9 +54,16 @@ def test_rolled_log(spark, tmp_path):
 
 def test_append_and_corpora(spark, tmp_path):
     rows = spark.createDataFrame([(i, "m", float(i)) for i in range(10)], "step long, mix string, loss double")
-    SME.append_metrics(rows.filter("step < 5"), str(tmp_path / "log"), every=3)
-    SME.append_metrics(rows.filter("step >= 5"), str(tmp_path / "log"), every=3)
-    assert sorted(r.step for r in SME.read_metrics(spark, str(tmp_path / "log"), ["loss"]).collect()) == [0, 3, 6, 9]
+    log = str(tmp_path / "log")
+    assert SME.read_batches(spark, log, ["loss"]).count() == 0
+    for batch, part in ((0, "step < 5"), (1, "step >= 5"), (1, "step >= 5")):  # the second one comes twice
+        SME.append_metrics(rows.filter(part), log, batch, every=3)
+    broken = rows.withColumn("loss", F.when(F.col("step") == 9, F.raise_error(F.lit("lost")).cast("double")).otherwise(0.0))
+    with pytest.raises(Exception, match="lost"):
+        SME.append_metrics(broken, log, 2, every=3)
+    assert sorted(r.step for r in SME.read_batches(spark, log, ["loss"]).collect()) == [0, 3, 6, 9]
+    SME.append_metrics(rows.filter("step = 9"), log, 2, every=3)
+    assert sorted(r.step for r in SME.read_batches(spark, log, ["loss"]).collect()) == [0, 3, 6, 9, 9]
     with gzip.open(tmp_path / "c.JSONL.gz", "wt") as f:
         f.write('{"text": "x"}\n\n{"text": ""}\n')
     with gzip.open(tmp_path / "d.txt.gz", "wt") as f:
