@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,24 +12,32 @@ from pyspark.sql import types as T
 from ..functions.text import SPACE
 
 
-def merge_once(text: str, rank: dict[tuple[str, str], int]) -> list[str]:
-    """Characters merged by the lowest rank among neighbours, leftmost first, until none is left."""
-    parts = list(text)
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1 << 60))
-        pair = (parts[best], parts[best + 1])
-        if pair not in rank:
-            break
-        out, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                out.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
+def merge_word(text: str, rank: dict[tuple[str, str], int]) -> list[str]:
+    """Characters merged by the lowest rank among neighbours, all places of a pair from the left, until no pair has a
+    rank. Parts are a linked list, pairs wait in a heap: a word of n characters takes n log n steps."""
+    n = len(text)
+    part: list[str | None] = list(text)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i) for i in range(n - 1) if (r := rank.get((text[i], text[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        least, fresh = heap[0][0], []
+        while heap and heap[0][0] == least:  # a pair's places at this moment; what arises meanwhile waits
+            _, i = heapq.heappop(heap)
+            j = after[i]
+            if part[i] is None or j >= n or rank.get((part[i], part[j])) != least:
+                continue
+            part[i], part[j] = part[i] + part[j], None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                fresh.append(i)
+            if before[i] >= 0:
+                fresh.append(before[i])
+        for i in fresh:
+            if part[i] is not None and after[i] < n and (r := rank.get((part[i], part[after[i]]))) is not None:
+                heapq.heappush(heap, (r, i))
+    return [p for p in part if p is not None]
 
 
 def encode_words(words: DataFrame, word: str, ranks: dict[str, dict[tuple[str, str], int]]) -> DataFrame:
@@ -35,7 +45,7 @@ def encode_words(words: DataFrame, word: str, ranks: dict[str, dict[tuple[str, s
 
     def one(rank: dict[tuple[str, str], int]) -> Column:
         def batch(values: pd.Series) -> pd.Series:
-            return values.map(lambda w: merge_once(w, rank))
+            return values.map(lambda w: merge_word(w, rank))
 
         return F.pandas_udf(batch, T.ArrayType(T.StringType()))(F.col(word))
 

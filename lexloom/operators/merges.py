@@ -35,12 +35,24 @@ def edges(rules: DataFrame) -> DataFrame:
     return parts.withColumn("src", F.lag("idx").over(before)).filter("src is not null").select("tokenizer_id", "src", F.col("idx").alias("dst")).distinct()
 
 
-def reduce_edges(links: DataFrame) -> DataFrame:
-    """The edges without those that a longer path replaces: of a node's two predecessors lo < hi,
-    lo goes if it reaches hi. One sweep per tokenizer in index order; each node keeps the set of
-    its ancestors as the bits of one integer."""
+#: Rules whose reach one task follows.
+REACH_BLOCK = 4096
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
+
+def reduce_edges(links: DataFrame, block: int = REACH_BLOCK) -> DataFrame:
+    """The edges without those that a longer path replaces: of a node's predecessors lo < hi, lo goes if it
+    reaches hi.
+
+    Which nodes reach a node is swept in index order, as the bits of one integer a node. The nodes that may
+    be reached from are cut into blocks, each a group of its own: so a vocabulary is the work of as many tasks
+    as it has blocks, and a task holds `block` bits a node however large the vocabulary is."""
+    last = links.groupBy("tokenizer_id").agg(F.max("src").alias("_top"))
+    blocks = last.select("tokenizer_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("_top") / block).cast("int"))).alias("_block"))
+    # below a block nothing can be reached from it
+    rows = links.join(blocks, "tokenizer_id").filter(F.col("dst") >= F.col("_block") * block)
+
+    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * block
         before: dict[int, list[int]] = {}
         for s, d in sorted(zip(group.src, group.dst, strict=True), key=lambda x: (x[1], x[0])):
             before.setdefault(int(d), []).append(int(s))
@@ -49,13 +61,15 @@ def reduce_edges(links: DataFrame) -> DataFrame:
         for d in sorted(before):
             above = 0
             for s in sorted(before[d], reverse=True):
-                if not above >> s & 1:
+                own = 1 << (s - first) if first <= s < first + block else 0
+                if own and not above & own:
                     kept.append((s, d))
-                above |= reach.get(s, 0) | 1 << s
-            reach[d] = above
-        return pd.DataFrame({"tokenizer_id": group.tokenizer_id.iloc[0], "src": [s for s, _ in kept], "dst": [d for _, d in kept]})
+                above |= reach.get(s, 0) | own
+            if above:
+                reach[d] = above
+        return pd.DataFrame({"tokenizer_id": key[0], "src": [s for s, _ in kept], "dst": [d for _, d in kept]})
 
-    return links.groupBy("tokenizer_id").applyInPandas(one, "tokenizer_id string, src int, dst int")
+    return rows.groupBy("tokenizer_id", "_block").applyInPandas(one, "tokenizer_id string, src int, dst int")
 
 
 def order_keys(rules: DataFrame) -> DataFrame:
@@ -91,11 +105,26 @@ def sort_key(order: str) -> Callable[[tuple], tuple]:
     return keys[order]
 
 
+def circle(waiting: set[int], after: dict[int, list[int]]) -> list[int]:
+    """One circle among rules that all wait for each other: each waits for the one before it, the first one for the last."""
+    before: dict[int, int] = {}
+    for s in sorted(waiting, reverse=True):
+        for d in after.get(s, []):
+            if d in waiting:
+                before[d] = s  # the smallest that it waits for
+    seen: dict[int, int] = {}
+    at = min(before)
+    while at not in seen:  # back along what is waited for, until a rule comes again
+        seen[at] = len(seen)
+        at = before[at]
+    return [x for x, i in seen.items() if i >= seen[at]][::-1]
+
+
 def ordered(rules: DataFrame, links: DataFrame, order: str | Callable[[tuple], tuple] = "good", seed: int | None = None) -> DataFrame:
     """(tokenizer_id, place, idx): rules so that every edge points forward, the smallest key among
     the available rules first; with order `original` and a seed, a seeded random choice among
     them instead. order: a name, or a function from (idx, left, right, merged) to a key, ties to the
-    smaller idx. A cycle is an error."""
+    smaller idx. A circle is an error that names its rules."""
     if seed is not None and order != "original":
         raise ValueError("a seed goes with the order `original` only")
     key = sort_key(order) if isinstance(order, str) else lambda r: (order(r), r[0])
@@ -121,7 +150,8 @@ def ordered(rules: DataFrame, links: DataFrame, order: str | Callable[[tuple], t
                 if not waits[d]:
                     free.append(d) if pick else heapq.heappush(heap, (key(rows[d]), d))
         if len(out) < len(rows):
-            raise ValueError("the merge rules depend on each other in a circle")
+            names = [f"{rows[i][1]} {rows[i][2]} ({i})" for i in circle(set(rows) - set(out), after)]
+            raise ValueError(f"merge rules of {k[0]} depend on each other in a circle: {' -> '.join(names)}")
         return pd.DataFrame({"tokenizer_id": k[0], "place": range(len(out)), "idx": out})
 
     return rules.groupBy("tokenizer_id").cogroup(arrows.groupBy("_tokenizer")).applyInPandas(one, "tokenizer_id string, place int, idx int")

@@ -68,9 +68,10 @@ def check_special_plan(vocab: DataFrame, specials: list[str], keep: list[str], r
 
 def rewrite_vocab(vocab: DataFrame, gone: DataFrame, renames: DataFrame, added: DataFrame) -> DataFrame:
     """vocab (tokenizer_id, token, id) without the tokens of `gone` (tokenizer_id, token), with those
-    of `renames` (token, new_token) renamed and those of `added` (tokenizer_id, seq, token) appended
+    of `renames` (token, new_token, and tokenizer_id if they differ) renamed and those of `added` (tokenizer_id, seq, token) appended
     from the largest id on."""
-    kept = vocab.join(gone, ["tokenizer_id", "token"], "left_anti").join(renames, "token", "left")
+    on = [c for c in ("tokenizer_id", "token") if c in renames.columns]
+    kept = vocab.join(gone, ["tokenizer_id", "token"], "left_anti").join(renames, on, "left")
     kept = kept.select("tokenizer_id", F.coalesce("new_token", "token").alias("token"), "id")
     top = vocab.groupBy("tokenizer_id").agg(F.max("id").alias("_top"))
     number = F.row_number().over(Window.partitionBy("tokenizer_id").orderBy("seq"))

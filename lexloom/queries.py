@@ -17,8 +17,10 @@ from .operators import parameters as W
 from .operators import rewrite as R
 from .operators import tensors as T
 from .operators.ordinal import batch_number, with_ordinal
+from .plans import many as Y
 from .plans import runs as U
 from .plans.sanitize import Edits, Sanitized, sanitize, summary
+from .session import settled
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -864,3 +866,166 @@ def dry_run(spark, sf_dir):
     shown = F.array_join(F.transform(F.map_entries("examples"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
     groups = F.array_join(F.transform("groups", lambda g: F.concat(g["tensors"].cast("string"), F.lit(":"), g["parameters"].cast("string"))), " ")
     return out.select(shown.alias("examples"), "steps", "trained", "frozen", groups.alias("groups"))
+
+
+# --- many tokenizers ------------------------------------------------------------------------
+
+_MANY = """
+WITH RECURSIVE words AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents WHERE lang IS NOT NULL) GROUP BY 1, 2),
+two AS (SELECT lang, m, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, m) AS k FROM (SELECT lang, substr(w, i, 2) AS m, sum(n) AS n FROM (SELECT lang, w, n, unnest(range(1, length(w))) AS i FROM words WHERE length(w) > 1) GROUP BY 1, 2)),
+bi AS (SELECT * FROM two WHERE k <= 120),
+three AS (SELECT g.lang, g.m, g.n, row_number() OVER (PARTITION BY g.lang ORDER BY g.n DESC, g.m) AS k FROM (
+  SELECT lang, m, sum(n) AS n FROM (SELECT lang, substr(w, i, 3) AS m, n FROM (SELECT lang, w, n, unnest(range(1, length(w) - 1)) AS i FROM words WHERE length(w) > 2)) GROUP BY 1, 2) g
+  JOIN bi ON bi.lang = g.lang AND bi.m = substr(g.m, 1, 2)),
+joined AS (SELECT lang AS t, 1 AS level, n, substr(m, 1, 1) AS l, substr(m, 2) AS r FROM bi UNION ALL SELECT lang, 2, n, substr(m, 1, 2), substr(m, 3) FROM three WHERE k <= 120),
+rules AS (SELECT t, CAST(row_number() OVER (PARTITION BY t ORDER BY level, n DESC, l, r) - 1 AS INTEGER) AS idx, l, r, l || r AS m FROM joined),
+letters AS (SELECT DISTINCT t, c FROM (SELECT t, l AS c FROM rules UNION ALL SELECT t, r FROM rules) WHERE length(c) = 1),
+vocab AS (SELECT t, token, row_number() OVER (PARTITION BY t ORDER BY k, idx, token) - 1 AS id FROM (
+  SELECT DISTINCT t, unnest(['<pad>', '<s>', '</s>']) AS token, -1 AS k, unnest([0, 1, 2]) AS idx FROM (SELECT DISTINCT t FROM rules) UNION ALL SELECT t, c, 0, 0 FROM letters UNION ALL SELECT t, m, 1, idx FROM rules)),
+off AS (SELECT t, arg_max(m, idx) AS token FROM rules WHERE length(m) = 2 GROUP BY 1),
+gone AS (SELECT t, token FROM off UNION SELECT r.t, r.m FROM rules r JOIN gone g ON g.t = r.t AND (r.l = g.token OR r.r = g.token)),
+best AS (SELECT t, m, row_number() OVER (PARTITION BY t ORDER BY idx) AS k FROM rules r WHERE length(m) = 3 AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.t = r.t AND g.token = r.m)),
+b AS (SELECT t, max(m) FILTER (WHERE k = 1) AS b1, max(m) FILTER (WHERE k = 2) AS b2, max(m) FILTER (WHERE k = 3) AS b3, max(m) FILTER (WHERE k = 4) AS b4 FROM best GROUP BY 1),
+e AS (SELECT t, c AS e FROM (SELECT t, c, row_number() OVER (PARTITION BY t ORDER BY c) AS k FROM letters) WHERE k = 1),
+extra AS (SELECT t, unnest([0, 1, 2, 3]) AS i, unnest([b1, b1 || b2, b4, b3]) AS l, unnest([b2, e, b1, b4 || b1]) AS r, unnest([[b1, b2], [b1, b2, e], [b4, b1], [b3, b4, b1]]) AS parts FROM b JOIN e USING (t)),
+anew AS (SELECT t, m AS token, upper(m) AS new FROM rules WHERE idx = 0 UNION ALL SELECT DISTINCT t, '</s>', '<end>' FROM rules),
+live AS (SELECT r.t, r.idx, coalesce(x.new, r.l) AS l, coalesce(y.new, r.r) AS r, coalesce(z.new, r.m) AS m FROM rules r
+  LEFT JOIN anew x ON x.t = r.t AND x.token = r.l LEFT JOIN anew y ON y.t = r.t AND y.token = r.r LEFT JOIN anew z ON z.t = r.t AND z.token = r.m
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.t = r.t AND g.token IN (r.l, r.r, r.m))),
+made AS (SELECT t, i - 4 AS place, l, r, l || r AS m FROM extra UNION ALL SELECT t, idx, l, r, m FROM live),
+kept AS (SELECT v.t, coalesce(a.new, v.token) AS token, v.id FROM vocab v LEFT JOIN anew a ON a.t = v.t AND a.token = v.token
+  WHERE v.token <> '<pad>' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.t = v.t AND g.token = v.token)
+  UNION ALL SELECT x.t, l || r, (SELECT max(id) FROM vocab v WHERE v.t = x.t) + 1 + i FROM extra x),
+remap AS (SELECT k.t AS tokenizer_id, k.token, k.id AS old_id, CASE WHEN k.token IN ('<s>', '<end>') THEN 0 WHEN p.place IS NULL THEN 1 ELSE 2 END AS class, p.place
+  FROM kept k LEFT JOIN (SELECT t, m, min(place) AS place FROM made GROUP BY 1, 2) p ON p.t = k.t AND p.m = k.token),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY tokenizer_id ORDER BY class, CASE WHEN class = 0 THEN old_id END, CASE WHEN class = 1 THEN token END, place, old_id) - 1 AS new_id FROM remap),
+starts AS (SELECT n.tokenizer_id, n.new_id, n.token, list(o.old_id ORDER BY p.i) AS old_ids FROM (SELECT t, l || r AS token, unnest(parts) AS part, unnest(range(0, len(parts))) AS i FROM extra) p
+  JOIN fresh n ON n.tokenizer_id = p.t AND n.token = p.token JOIN fresh o ON o.tokenizer_id = p.t AND o.token = p.part GROUP BY 1, 2, 3)
+"""
+
+
+def language_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tokenizer for each language of the documents: its 120 most frequent letter pairs, then as many of such pairs with
+    a letter after them. Words are counted first."""
+    docs = read(spark, sf_dir, "documents").filter("lang is not null")
+    words = docs.select("lang", F.explode(F.split("text", "[^a-z]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+
+    def grams(k: int) -> DataFrame:
+        cut = words.filter(F.length("w") >= k).select("lang", "w", "n", F.explode(F.sequence(F.lit(1), F.length("w") - k + 1)).alias("i"))
+        return cut.groupBy("lang", F.substring("w", F.col("i"), F.lit(k)).alias("m")).agg(F.sum("n").alias("n"))
+
+    most = lambda rows: rows.withColumn("_k", F.expr("row_number() over (partition by lang order by n desc, m)")).filter("_k <= 120").drop("_k")
+    two = most(grams(2))
+    three = most(grams(3).withColumn("_two", F.substring("m", 1, 2)).join(two.select("lang", F.col("m").alias("_two")), ["lang", "_two"], "left_semi").drop("_two"))
+    rows = two.withColumn("level", F.lit(1)).unionByName(three.withColumn("level", F.lit(2)))
+    rows = rows.select(F.col("lang").alias("tokenizer_id"), "level", "n", F.expr("left(m, level)").alias("left"), F.expr("substr(m, level + 1)").alias("right"), F.col("m").alias("merged"))
+    number = F.expr("row_number() over (partition by tokenizer_id order by level, n desc, `left`, `right`) - 1").cast("int")
+    return rows.select("tokenizer_id", number.alias("idx"), "left", "right", "merged")
+
+
+def language_tokenizers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(vocab, rules, specials, plan): each language's tokenizer with three special tokens, and what is to change in it: its
+    rarest pair goes with all made of it, its first rule's result is renamed, three tokens are added that take
+    four rules, one special token is kept, one renamed, one dropped."""
+    rules = settled(language_rules(spark, sf_dir))
+    own = rules.select("tokenizer_id").distinct()
+    specials = own.select("tokenizer_id", F.posexplode(F.array(*map(F.lit, ("<pad>", "<s>", "</s>")))).alias("idx", "token"))
+    letters = rules.select("tokenizer_id", F.explode(F.array("left", "right")).alias("token")).filter("length(token) = 1").distinct()
+    kinds = [specials.withColumn("k", F.lit(-1)), letters.withColumn("k", F.lit(0)).withColumn("idx", F.lit(0)), rules.select("tokenizer_id", F.col("merged").alias("token"), F.lit(1).alias("k"), "idx")]
+    vocab = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    vocab = vocab.select("tokenizer_id", "token", (F.expr("row_number() over (partition by tokenizer_id order by k, idx, token)") - 1).cast("long").alias("id"))
+
+    off = rules.filter("length(merged) = 2").groupBy("tokenizer_id").agg(F.max_by("merged", "idx").alias("token"))
+    rest = G.surviving(rules, G.delete_cascade(rules, off)).filter("length(merged) = 3")
+    rest = rest.withColumn("_k", F.expr("row_number() over (partition by tokenizer_id order by idx)")).filter("_k <= 4")
+    b = rest.groupBy("tokenizer_id").agg(*[F.max(F.when(F.col("_k") == k, F.col("merged"))).alias(f"b{k}") for k in (1, 2, 3, 4)])
+    b = b.join(letters.groupBy("tokenizer_id").agg(F.min("token").alias("e")), "tokenizer_id")
+    wanted = F.array(F.concat("b1", "b2"), F.concat("b1", "b2", "e"), F.concat("b3", "b4", "b1"))
+    line = lambda rows, action, token, new=F.lit(None).cast("string"), seq=F.lit(0): rows.select("tokenizer_id", F.lit(action).alias("action"), seq.alias("seq"), token.alias("token"), new.alias("new_token"))
+    plan = line(off, "delete", F.col("token")).unionByName(line(rules.filter("idx = 0"), "rename", F.col("merged"), F.upper("merged")))
+    plan = plan.unionByName(line(b.select("tokenizer_id", F.posexplode(wanted).alias("i", "token")), "add", F.col("token"), seq=F.col("i")))
+    plan = plan.unionByName(line(own, "keep_special", F.lit("<s>"))).unionByName(line(own, "rename_special", F.lit("</s>"), F.lit("<end>")))
+    return settled(vocab), rules, specials.select("tokenizer_id", "token"), settled(plan)
+
+
+def language_rewrite(spark: SparkSession, sf_dir: str) -> Y.Rewritten:
+    vocab, rules, specials, plan = language_tokenizers(spark, sf_dir)
+    return Y.sanitize_many(vocab, rules, specials, plan, order="original")
+
+
+@query(_MANY + "SELECT t AS tokenizer_id, idx, l AS \"left\", r AS \"right\", m AS merged FROM rules")
+def many_rules(spark, sf_dir):
+    return language_rules(spark, sf_dir)
+
+
+@query(_MANY + "SELECT tokenizer_id, token, old_id, new_id, CAST(class AS INTEGER) AS class FROM fresh")
+def many_vocab(spark, sf_dir):
+    return language_rewrite(spark, sf_dir).remap
+
+
+@query(_MANY + 'SELECT t AS tokenizer_id, CAST(place AS INTEGER) AS place, l AS "left", r AS "right", m AS merged FROM made')
+def many_merges(spark, sf_dir):
+    return language_rewrite(spark, sf_dir).rules
+
+
+@query(_MANY + "SELECT tokenizer_id, new_id, token, array_to_string(old_ids, ' ') AS old_ids FROM starts")
+def many_initializers(spark, sf_dir):
+    return Y.initializer_table(language_rewrite(spark, sf_dir)).withColumn("old_ids", F.array_join(F.col("old_ids").cast("array<string>"), " "))
+
+
+@query(_MANY + """, x AS (SELECT f.*, a.token IS NOT NULL AS added, a.i = 2 AS middle FROM fresh f LEFT JOIN (SELECT t, i, l || r AS token FROM extra) a ON a.t = f.tokenizer_id AND a.token = f.token)
+SELECT tokenizer_id, md5(string_agg(new_id, ' ' ORDER BY new_id) FILTER (WHERE NOT added)) AS original_ids, string_agg(new_id, ' ' ORDER BY new_id) FILTER (WHERE added) AS added_ids,
+  string_agg(new_id, ' ' ORDER BY new_id) FILTER (WHERE added AND NOT middle) AS requested_ids, string_agg(new_id, ' ' ORDER BY new_id) FILTER (WHERE middle) AS intermediate_ids,
+  string_agg(new_id, ' ' ORDER BY old_id) FILTER (WHERE class = 0) AS special_ids FROM x GROUP BY 1""")
+def many_token_groups(spark, sf_dir):
+    out = Y.group_table(language_rewrite(spark, sf_dir))
+    out = out.select("tokenizer_id", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in out.columns if c != "tokenizer_id"])
+    return out.withColumn("original_ids", F.md5(F.col("original_ids").cast("binary")))
+
+
+@query(_MANY + """, g AS (SELECT f.tokenizer_id, f.new_id, f.old_id, f.class, a.token IS NOT NULL AS added, coalesce(a.i = 2, false) AS middle FROM fresh f LEFT JOIN (SELECT t, i, l || r AS token FROM extra) a ON a.t = f.tokenizer_id AND a.token = f.token),
+f AS (SELECT t AS tokenizer_id, 'merges.txt' AS name, '#version: 0.2' || chr(10) || string_agg(l || ' ' || r, chr(10) ORDER BY place) || chr(10) AS body FROM made GROUP BY 1
+  UNION ALL SELECT tokenizer_id, 'vocab.json', '{' || string_agg('"' || token || '":' || new_id, ',' ORDER BY new_id) || '}' FROM fresh GROUP BY 1
+  UNION ALL SELECT tokenizer_id, 'id_mapping.json', '{' || string_agg('"' || old_id || '":' || new_id, ',' ORDER BY old_id) || '}' FROM g WHERE NOT added GROUP BY 1
+  UNION ALL SELECT tokenizer_id, 'initializers.json', '{' || string_agg('"' || new_id || '":[' || array_to_string(old_ids, ',') || ']', ',' ORDER BY new_id) || '}' FROM starts GROUP BY 1
+  UNION ALL SELECT tokenizer_id, 'token_groups.json', '{"original_ids":[' || string_agg(new_id, ',' ORDER BY new_id) FILTER (WHERE NOT added) || '],"added_ids":[' || string_agg(new_id, ',' ORDER BY new_id) FILTER (WHERE added) ||
+    '],"requested_ids":[' || string_agg(new_id, ',' ORDER BY new_id) FILTER (WHERE added AND NOT middle) || '],"intermediate_ids":[' || string_agg(new_id, ',' ORDER BY new_id) FILTER (WHERE middle) ||
+    '],"special_ids":[' || string_agg(new_id, ',' ORDER BY old_id) FILTER (WHERE class = 0) || ']}' FROM g GROUP BY 1)
+SELECT tokenizer_id, name, length(body) AS n_chars, md5(body) AS digest FROM f""")
+def many_files(spark, sf_dir):
+    out = Y.file_bodies(language_rewrite(spark, sf_dir))
+    return out.select("tokenizer_id", "name", F.length("body").cast("long").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("digest"))
+
+
+@query(_MANY + """SELECT t AS tokenizer_id, count(*) AS tokens_before, (SELECT count(*) FROM fresh f WHERE f.tokenizer_id = v.t) AS tokens_after, (SELECT count(*) FROM rules r WHERE r.t = v.t) AS rules_before,
+  (SELECT count(*) FROM made m WHERE m.t = v.t) AS rules_after, (SELECT count(*) FROM gone g WHERE g.t = v.t) AS tokens_deleted, CAST(4 AS BIGINT) AS tokens_added, CAST(3 AS BIGINT) AS tokens_requested,
+  CAST(0 AS BIGINT) AS requests_ignored, CAST(4 AS BIGINT) AS rules_made, (SELECT count(*) FROM rules r WHERE r.t = v.t) - (SELECT count(*) FROM live l WHERE l.t = v.t) AS rules_deleted FROM vocab v GROUP BY t""")
+def many_counts(spark, sf_dir):
+    vocab, rules, specials, plan = language_tokenizers(spark, sf_dir)
+    return Y.counts(Y.sanitize_many(vocab, rules, specials, plan, order="original"), vocab, rules)
+
+
+@query(_MANY + """, vocab2 AS (SELECT * FROM vocab), p AS (SELECT t, token AS bad, 'delete' AS action, '' AS new FROM vocab2 WHERE token = '<pad>' UNION ALL SELECT DISTINCT t, 'zzq', 'rename', 'q' FROM vocab2
+  UNION ALL SELECT DISTINCT t, '<s>', 'keep_special', NULL FROM vocab2 UNION ALL SELECT DISTINCT t, '<pad>', 'keep_special', NULL FROM vocab2 UNION ALL SELECT DISTINCT t, 'a', 'keep_special', NULL FROM vocab2)
+SELECT DISTINCT t AS tokenizer_id, x.problem, x.token FROM vocab2, (SELECT unnest(['in both delete and special', 'rename: not in the vocabulary', 'not special']) AS problem, unnest(['<pad>', 'zzq', 'a']) AS token) x
+UNION ALL SELECT t, 'rename target exists', 'q' FROM vocab2 WHERE token = 'q'""")
+def many_plan_conflicts(spark, sf_dir):
+    """What a plan of contradictions gives for every language's tokenizer."""
+    vocab, _, specials, _ = language_tokenizers(spark, sf_dir)
+    asked = [("delete", "<pad>", None), ("rename", "zzq", "q"), ("keep_special", "<s>", None), ("keep_special", "<pad>", None), ("keep_special", "a", None)]
+    lines = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), F.lit(0).alias("seq"), F.lit(t).alias("token"), F.lit(n).cast("string").alias("new_token")) for a, t, n in asked])).alias("p")
+    plan = vocab.select("tokenizer_id").distinct().select("tokenizer_id", lines).select("tokenizer_id", "p.*")
+    return Y.plan_conflicts(vocab, specials, plan)
+
+
+@query()
+def many_topo_order(spark, sf_dir):
+    """Every language's rules in the order `good` by their constraints: a task a tokenizer."""
+    rules = language_rules(spark, sf_dir)
+    return G.ordered(rules, G.edges(rules), "good")
+
+
+@query()
+def all_merge_edges_reduced(spark, sf_dir):
+    """The edges of all rules of the corpus that no longer path replaces."""
+    return G.reduce_edges(G.edges(rules_of(spark, sf_dir, None))).drop("tokenizer_id")

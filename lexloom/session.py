@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,3 +18,16 @@ def session(name: str = "lexloom", **settings: str) -> SparkSession:
     for k, v in (SETTINGS | settings).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows, worked out now and kept in the folder that the driver and all executors share (spark.checkpoint.dir; a
+    local session without one uses a folder below its warehouse): what follows reads them, and outlives
+    lost executors."""
+    context = rows.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        path = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path or f"{rows.sparkSession.conf.get('spark.sql.warehouse.dir')}/_shared")
+    return rows.checkpoint()

@@ -1,11 +1,13 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import merges as G
 from lexloom.operators import rewrite as R
-from lexloom.operators.encode import merge_once
+from lexloom.operators.encode import merge_word
 from lexloom.plans.sanitize import Edits, sanitize, summary, summary_lines
 
 # Golden values of a small vocabulary: tokens by id, pairs in order. Fixed values.
@@ -95,10 +97,30 @@ def test_reduction(spark):
     assert kept == {("a", 0, 1), ("a", 1, 2), ("b", 0, 1), ("b", 1, 2), ("b", 2, 4)}
 
 
+@pytest.mark.parametrize("block", [1, 3, 16, 4096])
+def test_reduction_in_blocks_equals_all_paths(spark, block):
+    rng = random.Random(9)
+    links = {(t, *sorted(rng.sample(range(40), 2))) for t in "ab" for _ in range(70)}
+    reach = {}
+    for t, s, d in sorted(links, key=lambda x: -x[1]):
+        reach.setdefault((t, s), set()).update({d} | reach.get((t, d), set()))
+    for t, s, d in sorted(links, key=lambda x: -x[1]):
+        for e in [x for u, a, x in links if (u, a) == (t, s)]:
+            reach[t, s] |= {e} | reach.get((t, e), set())
+    want = {(t, s, d) for t, s, d in links if not any((t, o, d) in links and o in reach[t, s] for o in range(40) if o != s)}
+    got = G.reduce_edges(spark.createDataFrame(sorted(links), "tokenizer_id string, src int, dst int"), block=block).collect()
+    assert {(r.tokenizer_id, r.src, r.dst) for r in got} == want and len(got) == len(want)
+
+
 def test_cycle_seed_and_unknown_order(spark, rules):
     circle = spark.createDataFrame([("s", 0, 1), ("s", 1, 0)], "tokenizer_id string, src int, dst int")
-    with pytest.raises(Exception, match="circle"):
+    with pytest.raises(Exception, match=r"circle: (x y \(0\) -> a b \(1\)|a b \(1\) -> x y \(0\))"):
         G.ordered(rules, circle, "good").collect()
+    two = spark.createDataFrame([("s", 0, 1), ("s", 1, 0), ("s", 1, 2), ("s", 2, 3), ("s", 3, 2)], "tokenizer_id string, src int, dst int")
+    with pytest.raises(Exception, match=r"circle: (x y \(0\) -> a b \(1\)|a b \(1\) -> x y \(0\))\n?"):
+        G.ordered(rules, two, "good").collect()
+    assert sorted(G.circle({2, 3, 7}, {2: [3], 3: [2, 7]})) == [2, 3]
+    assert G.circle({1, 4, 6}, {1: [4], 4: [6], 6: [1]}) in ([1, 4, 6], [4, 6, 1], [6, 1, 4])
     with pytest.raises(ValueError):
         G.ordered(rules, circle, "good", seed=1)
     with pytest.raises(ValueError):
@@ -114,7 +136,52 @@ def test_synthesis():
 
 def test_encode():
     rank = {p: i for i, p in enumerate(PAIRS)}
-    assert merge_once("xyzabc", rank) == ["xyz", "abc"]
+    assert merge_word("xyzabc", rank) == ["xyz", "abc"]
+
+
+def merge_all(text, rank):
+    """One pair at a time, all its places from the left."""
+    parts = list(text)
+    while pairs := [p for p in zip(parts, parts[1:]) if p in rank]:
+        best, out = min(pairs, key=rank.get), []
+        while parts:
+            size = 2 if tuple(parts[:2]) == best else 1
+            out.append("".join(parts[:size]))
+            parts = parts[size:]
+        parts = out
+    return parts
+
+
+def test_words_with_any_ranks():
+    rng = random.Random(4)
+    for _ in range(300):
+        tokens, pairs = list("abc"), []
+        for _ in range(rng.randint(0, 12)):
+            pair = (rng.choice(tokens), rng.choice(tokens))
+            pairs.append(pair)
+            tokens.append("".join(pair))
+        pairs = list(dict.fromkeys(pairs))
+        if rng.random() < 0.5:  # also ranks that come before those of their parts
+            rng.shuffle(pairs)
+        rank = {p: i for i, p in enumerate(pairs)}
+        word = "".join(rng.choices("abcd", k=rng.randint(0, 40)))
+        assert merge_word(word, rank) == merge_all(word, rank)
+
+
+def test_a_real_vocabulary_and_a_long_word():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(merges)}
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=k)) for k in (1, 2, 30, 400)] + ["a" * 97, "internationalization"]
+    for word in words:
+        assert merge_word(word, rank) == library.encode(word).tokens
+    long = "".join(rng.choices("etaoinshrdlu", k=100_000))
+    began = time.perf_counter()
+    assert "".join(merge_word(long, rank)) == long and time.perf_counter() - began < 20
 
 
 def test_specials_and_configs(spark):
