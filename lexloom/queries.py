@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from .functions import numeric as N
 from .functions import text as X
+from .operators import attention as A
 from .operators import compare as C
 from .operators import corpus as P
 from .operators import encode as B
+from .operators import json_paths as J
 from .operators import losses as L
 from .operators import merges as G
 from .operators import metrics as M
 from .operators import parameters as W
+from .operators import probes as O
 from .operators import rewrite as R
 from .operators import tensors as T
 from .operators.ordinal import batch_number, with_ordinal
@@ -647,15 +650,44 @@ def sanitize_summary(spark, sf_dir):
     return summary(done, vocab, rules).select(*names, F.array_join("deleted_tokens", " ").alias("deleted_tokens"))
 
 
+_BODY = """{"vocab_size": 5, "name": "<x>", "text_config": {"bos_token_id": %d, "eos_token_id": [%d, 4, 7], "pad_token": "<x>", "layers": [{"w": 1.5, "pad_token_id": 3}, [], true]},
+ "tokens": ["<x>", "<gone>", "q\\"%d"], "added_tokens_decoder": {"%d": {"content": "<x>", "lstrip": false}, "4": {"content": "<gone>", "lstrip": true}}}"""
+
+
+def config_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id") % 4
+    return read(spark, sf_dir, "documents").select("doc_id", F.format_string(_BODY, i, i + 5, i, i).alias("body"))
+
+
+def remapped_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.range(9).select(F.col("id").alias("old_id"), F.when(F.col("id") != 7, 108 - F.col("id")).alias("new_id"))
+    literals = spark.createDataFrame([("<x>", "<y>"), ("<gone>", None)], "token string, new_token string")
+    return J.remapped(J.leaves(config_bodies(spark, sf_dir), ["doc_id"]), ["doc_id"], ids, literals, F.lit(9))
+
+
 @query("""
-WITH d AS (SELECT doc_id, doc_id % 9 AS i FROM documents)
-SELECT doc_id, json_extract(m, '$.bos_token_id')::BIGINT AS bos, json_extract(m, '$.vocab_size')::BIGINT AS size FROM (
-  SELECT doc_id, CAST('{"bos_token_id": ' || (8 - i) || ', "vocab_size": 9}' AS JSON) AS m FROM d)""")
+WITH d AS (SELECT doc_id, doc_id % 4 AS i FROM documents)
+SELECT doc_id, '{"added_tokens_decoder":{"' || (108 - i) || '":{"content":"<y>","lstrip":false}},"name":"<x>","text_config":{"bos_token_id":' || (108 - i) || ',"eos_token_id":[' ||
+  CASE WHEN i = 2 THEN '104' ELSE (103 - i) || ',104' END || '],"layers":[{"pad_token_id":105,"w":1.5},[],true],"pad_token":"<y>"},"tokens":["<y>","q\\"' || i || '"],"vocab_size":9}' AS body FROM d""")
 def remapped_configs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.format_string('{"bos_token_id": %d, "vocab_size": 5, "name": "<x>"}', F.col("doc_id") % 9).alias("body"))
-    plan = R.ConfigPlan({i: 8 - i for i in range(9)}, {}, size=9)
-    out = R.remap_configs(docs, plan)
-    return out.select("doc_id", F.get_json_object("body", "$.bos_token_id").cast("long").alias("bos"), F.get_json_object("body", "$.vocab_size").cast("long").alias("size"))
+    """A nested config for every document, under a vocabulary in which an id and a literal are gone."""
+    return J.assembled(remapped_leaves(spark, sf_dir), ["doc_id"])
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 4 AS i FROM documents), w AS (SELECT doc_id, i, CASE WHEN i = 2 THEN '104' ELSE CAST(103 - i AS VARCHAR) END AS first FROM d)
+SELECT doc_id, 'kvocab_size' AS path, '5' AS text_a, '9' AS text_b FROM w
+UNION ALL SELECT doc_id, 'kadded_tokens_decoder/k' || i || '/kcontent', '"<x>"', NULL FROM w UNION ALL SELECT doc_id, 'kadded_tokens_decoder/k' || i || '/klstrip', 'false', NULL FROM w
+UNION ALL SELECT doc_id, 'kadded_tokens_decoder/k4/kcontent', '"<gone>"', NULL FROM w UNION ALL SELECT doc_id, 'kadded_tokens_decoder/k4/klstrip', 'true', NULL FROM w
+UNION ALL SELECT doc_id, 'kadded_tokens_decoder/k' || (108 - i) || '/kcontent', NULL, '"<y>"' FROM w UNION ALL SELECT doc_id, 'kadded_tokens_decoder/k' || (108 - i) || '/klstrip', NULL, 'false' FROM w
+UNION ALL SELECT doc_id, 'ktext_config/kbos_token_id', CAST(i AS VARCHAR), CAST(108 - i AS VARCHAR) FROM w UNION ALL SELECT doc_id, 'ktext_config/kpad_token', '"<x>"', '"<y>"' FROM w
+UNION ALL SELECT doc_id, 'ktext_config/klayers/i0000000000/kpad_token_id', '3', '105' FROM w
+UNION ALL SELECT doc_id, 'ktext_config/keos_token_id/i0000000000', CAST(i + 5 AS VARCHAR), CASE WHEN i <> 2 THEN first END FROM w UNION ALL SELECT doc_id, 'ktext_config/keos_token_id/i0000000001', '4', '104' FROM w
+UNION ALL SELECT doc_id, 'ktext_config/keos_token_id/i0000000002', '7', NULL FROM w
+UNION ALL SELECT doc_id, 'ktokens/i0000000000', '"<x>"', '"<y>"' FROM w UNION ALL SELECT doc_id, 'ktokens/i0000000001', '"<gone>"', NULL FROM w""")
+def nested_config_differences(spark, sf_dir):
+    """Which leaves of every document's config differ before and after."""
+    return J.differences(J.leaves(config_bodies(spark, sf_dir), ["doc_id"]), remapped_leaves(spark, sf_dir), ["doc_id"])
 
 
 # --- vectors, logits, tensors ---------------------------------------------------------------
@@ -948,9 +980,9 @@ def language_tokenizers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
     return settled(vocab), rules, specials.select("tokenizer_id", "token"), settled(plan)
 
 
-def language_rewrite(spark: SparkSession, sf_dir: str) -> Y.Rewritten:
+def language_rewrite(spark: SparkSession, sf_dir: str, check: bool = False) -> Y.Rewritten:
     vocab, rules, specials, plan = language_tokenizers(spark, sf_dir)
-    return Y.sanitize_many(vocab, rules, specials, plan, order="original")
+    return Y.sanitize_many(vocab, rules, specials, plan, order="original", check=check)
 
 
 @query(_MANY + "SELECT t AS tokenizer_id, idx, l AS \"left\", r AS \"right\", m AS merged FROM rules")
@@ -960,7 +992,7 @@ def many_rules(spark, sf_dir):
 
 @query(_MANY + "SELECT tokenizer_id, token, old_id, new_id, CAST(class AS INTEGER) AS class FROM fresh")
 def many_vocab(spark, sf_dir):
-    return language_rewrite(spark, sf_dir).remap
+    return language_rewrite(spark, sf_dir, check=True).remap
 
 
 @query(_MANY + 'SELECT t AS tokenizer_id, CAST(place AS INTEGER) AS place, l AS "left", r AS "right", m AS merged FROM made')
@@ -1029,3 +1061,98 @@ def many_topo_order(spark, sf_dir):
 def all_merge_edges_reduced(spark, sf_dir):
     """The edges of all rules of the corpus that no longer path replaces."""
     return G.reduce_edges(G.edges(rules_of(spark, sf_dir, None))).drop("tokenizer_id")
+
+
+# --- masks, experts, positions --------------------------------------------------------------
+
+
+@query("""
+SELECT q.user_id, q.event_id, min(k.event_id) AS first_key, max(k.event_id) AS last_key, count(*) AS n_keys FROM events q
+JOIN events k ON k.user_id = q.user_id AND ((q.event_id - k.event_id >= 0 AND q.event_id - k.event_id < 700) OR (k.event_id > q.event_id AND k.event_id - q.event_id < 300)) GROUP BY 1, 2""")
+def sliding_window_runs(spark, sf_dir):
+    return A.window_runs(read(spark, sf_dir, "events"), ["user_id"], "event_id", 700, 300)
+
+
+@query("""
+WITH p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+f AS (SELECT user_id, pos, event_type IN ('click', 'view') AS on_ FROM p),
+s AS (SELECT *, on_ AND NOT coalesce(lag(on_) OVER (PARTITION BY user_id ORDER BY pos), false) AS start FROM f),
+g AS (SELECT user_id, pos, CASE WHEN on_ THEN sum(CASE WHEN start THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 ELSE -1 END AS grp FROM s)
+SELECT q.user_id, q.pos, min(k.pos) AS first_key, max(k.pos) AS last_key FROM g q JOIN g k ON k.user_id = q.user_id AND k.grp = q.grp AND q.grp >= 0 GROUP BY 1, 2""")
+def group_mask_runs(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").isin("click", "view").alias("on_"))
+    rows = M.groups_of_runs(with_ordinal(rows, "event_id", ["user_id"], "pos"), "on_", "pos", ["user_id"])
+    return A.group_runs(rows, ["user_id"], "pos", "group")
+
+
+@query(_VEC + """, e AS (SELECT vec_id, list_transform(v[1:4], lambda x: exp(x)) AS e, unnest([0, 1, 2, 3]) AS i FROM v),
+r AS (SELECT vec_id, i, e[i + 1] AS w, row_number() OVER (PARTITION BY vec_id ORDER BY e[i + 1] DESC, i) AS k FROM e),
+routes AS (SELECT vec_id AS t, i AS e, w / sum(w) OVER (PARTITION BY vec_id) AS weight FROM r WHERE k <= 2),
+inner_ AS (SELECT x.t, x.e, x.weight, u.u AS i, 8 * list_inner_product(tok.v, g.v) AS gate, 8 * list_inner_product(tok.v, p.v) AS up FROM routes x, (SELECT unnest(range(0, 6)) AS u) u
+  JOIN v tok ON tok.vec_id = x.t JOIN v g ON g.vec_id = x.e * 100 + u.u JOIN v p ON p.vec_id = x.e * 100 + 6 + u.u),
+act AS (SELECT t, e, weight, i, 0.5 * gate * (1 + tanh(sqrt(2 / pi()) * (gate + 0.044715 * gate * gate * gate))) * up AS h FROM inner_),
+out_ AS (SELECT a.t, d.vec_id % 100 - 20 AS j, sum(a.weight * a.h * d.v[a.i + 1]) AS y FROM act a JOIN v d ON d.vec_id >= a.e * 100 + 20 AND d.vec_id < a.e * 100 + 84 GROUP BY 1, 2)
+SELECT t, round(sum(y), 5) + 0.0 AS total, round(max(y) FILTER (WHERE j = 0), 5) + 0.0 AS first, round(max(y) FILTER (WHERE j = 63), 5) + 0.0 AS last, round(sum(y * y), 5) + 0.0 AS square FROM out_ GROUP BY 1""")
+def expert_layer(spark, sf_dir):
+    """Every vector through the two best of four experts, whose weights are vectors too."""
+    rows = vectors(spark, sf_dir)
+    routes = rows.select(F.col("vec_id").alias("t"), F.explode(N.top_k_weights(F.slice("v", 1, 4), 2)).alias("r")).select("t", F.col("r.index").cast("int").alias("e"), F.col("r.weight").alias("weight"))
+    own = rows.filter("vec_id < 400").select(F.floor(F.col("vec_id") / 100).cast("int").alias("e"), (F.col("vec_id") % 100).cast("int").alias("r"), F.col("v").alias("values"))
+    down = own.filter("r >= 20 and r < 84").select("e", (F.col("r") - 20).alias("r"), F.slice("values", 1, 6).alias("values"))
+    blocks = A.expert_blocks(own.filter("r < 12"), down, width=6, block=4)
+    out = A.experts(rows.select(F.col("vec_id").alias("t"), F.transform("v", lambda x: x * 8).alias("values")), routes, blocks, rows=200)
+    v, five = F.col("values"), lambda x: F.round(x, 5) + 0.0  # noqa: E731  no negative zero
+    return out.select("t", five(N.total(v)).alias("total"), five(v[0]).alias("first"), five(v[63]).alias("last"), five(N.dot(v, v)).alias("square"))
+
+
+@query(_VEC + """, places AS (SELECT vec_id, v, vec_id % 50 AS pos, unnest(range(0, 32)) AS i FROM v), a AS (SELECT *, pos / pow(10000.0, 2 * i / 64.0) AS w FROM places),
+x AS (SELECT vec_id, i, v[i + 1] * cos(w) - v[i + 33] * sin(w) AS x, v[i + 33] * cos(w) + v[i + 1] * sin(w) AS y FROM a)
+SELECT vec_id, round(sum(x), 6) AS first_half, round(sum(y), 6) AS second_half, round(max(x) FILTER (WHERE i = 3), 6) AS third FROM x GROUP BY 1""")
+def rotary_positions(spark, sf_dir):
+    out = vectors(spark, sf_dir).select("vec_id", A.rotary(F.col("v"), F.col("vec_id") % 50, 64).alias("v"))
+    return out.select("vec_id", six(N.total(F.slice("v", 1, 32))).alias("first_half"), six(N.total(F.slice("v", 33, 32))).alias("second_half"), six(F.col("v")[3]).alias("third"))
+
+
+@query(_VEC + "SELECT vec_id, round(list_sum(v) / sqrt(list_inner_product(v, v) / 64 + 1e-6), 6) AS total FROM v")
+def rms_rows(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", six(N.total(N.rms_norm(F.col("v")))).alias("total"))
+
+
+# --- probes, keys, equality -----------------------------------------------------------------
+
+
+@query(_RULES + """SELECT a.idx, b.idx AS other_idx, a."left" || a."right" || b."right" AS text FROM rules a JOIN rules b ON b."left" = a."right\"""")
+def critical_pairs(spark, sf_dir):
+    return O.critical_pairs(rules_of(spark, sf_dir)).drop("tokenizer_id")
+
+
+@query(_MANY + """, p AS (SELECT a.t, a.idx, a.l || a.r || b.r AS text FROM rules a JOIN rules b ON b.t = a.t AND b.l = a.r),
+w AS (SELECT t, m FROM rules GROUP BY 1, 2 HAVING count(*) > 1), d AS (SELECT r.t, r.idx, unnest([r.m, r.l || r.m, r.m || r.r, r.m || r.m]) AS text FROM rules r JOIN w ON w.t = r.t AND w.m = r.m),
+x AS (SELECT t, 0 AS k, idx, m AS text FROM rules UNION ALL SELECT t, 1, idx, unnest([l || l || l, l || l || l || l]) FROM rules WHERE l = r UNION ALL SELECT t, 2, idx, unnest([text, ' ' || text]) FROM p UNION ALL SELECT t, 3, idx, text FROM d)
+SELECT t AS tokenizer_id, ['result', 'run', 'pair', 'double'][(min(k * 100000 + idx) // 100000) + 1] AS kind, CAST(min(k * 100000 + idx) % 100000 AS INTEGER) AS idx, text FROM x GROUP BY t, text""")
+def many_probes(spark, sf_dir):
+    """The probes of every language's rules."""
+    return O.probes(language_rules(spark, sf_dir))
+
+
+@query("""
+SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE 2 END AS priority FROM conversations WHERE text <> ''""")
+def whitespace_priority(spark, sf_dir):
+    kind = F.col("conv_id") % 4
+    token = F.concat(F.when(kind == 0, F.lit("\n")).when(kind == 1, F.lit("▁")).when(kind == 2, F.lit(" ▁")).otherwise(F.lit("")), F.col("text"))
+    return read(spark, sf_dir, "conversations").filter("text <> ''").select("conv_id", "turn", X.space_priority(token).alias("priority"))
+
+
+@query(_RULES + """, other AS (SELECT token, CASE WHEN id % 10 = 3 THEN id + 1 ELSE id END AS id FROM vocab WHERE id % 10 <> 7 UNION ALL SELECT 'zzz', -1)
+SELECT count(*) AS n_different, count(*) = 0 AS equal FROM vocab a FULL JOIN other b ON a.token = b.token WHERE a.id IS DISTINCT FROM b.id""")
+def vocabulary_differences(spark, sf_dir):
+    vocab = vocab_of(rules_of(spark, sf_dir)).select("token", "id")
+    other = vocab.filter("id % 10 <> 7").select("token", F.when(F.col("id") % 10 == 3, F.col("id") + 1).otherwise(F.col("id")).alias("id"))
+    return C.vocabulary_differences(vocab, other.unionByName(spark.createDataFrame([("zzz", -1)], "token string, id long")))
+
+
+@query("SELECT a.doc_id, a.text = b.text AS same, length(b.text) AS n FROM documents a JOIN documents b ON b.doc_id = a.doc_id")
+def zipped_answers(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    both = C.zip_answers(docs.select("doc_id", F.col("text").alias("answer_a")), docs.select("doc_id", F.col("text").alias("answer_b")), "doc_id")
+    return both.select("doc_id", (F.col("answer_a") == F.col("answer_b")).alias("same"), F.length("answer_b").cast("long").alias("n"))

@@ -18,17 +18,19 @@ def rules_of(spark, pairs):
     return spark.createDataFrame([("s", i, a, b, a + b) for i, (a, b) in enumerate(pairs)], "tokenizer_id string, idx int, left string, right string, merged string")
 
 
-def test_adversarial_strings(spark):
-    rules = rules_of(spark, [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc"), ("x" * 50, "y" * 50)])
-    got = {r.text: (r.kind, r.idx) for r in O.adversarial_strings(rules).collect()}
-    assert {t for t, (k, _) in got.items() if k == 0} == set(O.BLANKS)
-    assert got["abc"] == (1, 2) and got["abcc"] == (1, 2) and got["aabc"] == (1, 3) and got["abcbc"] == (1, 3)
-    assert got["ab"] == (2, 0) and got["abab"] == (2, 0) and got["abb"] == (2, 0)
-    assert max(map(len, got)) <= O.LONGEST and "x" * 50 + "y" * 50 not in got
-    pieces = O.fuzz_pieces(spark.createDataFrame([("s", "b", 1), ("s", "a", 0), ("s", "ab", 2)], "tokenizer_id string, token string, id long"), rules)
-    assert pieces[:4] == ["a", "b", "ab", "c"] and all(len(p) <= 12 for p in pieces)
-    texts = O.fuzz_strings(pieces, count=50)
-    assert texts == O.fuzz_strings(pieces, count=50) and len(texts) == 50 and all(0 < len(t) <= O.LONGEST for t in texts) and O.fuzz_strings([]) == []
+def test_probes(spark):
+    rules = rules_of(spark, [("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc"), ("c", "c"), ("x" * 50, "y" * 50)])
+    pairs = {(r.idx, r.other_idx, r.text) for r in O.critical_pairs(rules).collect()}
+    assert pairs == {(0, 1, "abc"), (1, 4, "bcc"), (2, 4, "abcc"), (4, 4, "ccc")}
+    assert {(r.idx, r.other_idx) for r in O.critical_pairs(rules, partners=1).collect()} == {(0, 1), (1, 4)}
+    got = {r.text: (r.kind, r.idx) for r in O.probes(rules, longest=20).collect()}
+    assert got["abc"] == ("result", 2) and got["ccc"] == ("run", 4) and got["cccc"] == ("run", 4) and got[" abc"] == ("pair", 0) and got["abcc"] == ("pair", 2)
+    assert got["aabc"] == ("double", 3) and got["ababc"] == ("double", 2) and got["abcabc"] == ("double", 2) and max(map(len, got)) <= 20
+    vocab = spark.createDataFrame([("s", "b"), ("s", "a"), ("t", "q")], "tokenizer_id string, token string")
+    texts = {(r.tokenizer_id, r.no): r.text for r in O.random_probes(vocab, 50, 4, 7).collect()}
+    assert texts == {(r.tokenizer_id, r.no): r.text for r in O.random_probes(vocab.repartition(3), 50, 4, 7).collect()} and len(texts) == 100
+    assert all(set(t) <= (set("ab") if k == "s" else {"q"}) and 1 <= len(t) <= 4 for (k, _), t in texts.items()) and len(set(texts.values())) > 10
+    assert O.random_probes(vocab, 0, 4, 7).count() == 0
 
 
 def test_broken_lines(spark, tmp_path):
