@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .unit_table import UnitTable, name_hashes, runs
+
 #: White space as the tokenizer's pattern knows it (Unicode White_Space).
 _WS = r"\t-\r \x85\xa0  -     　"
 _ENDING = "'(?:s|t|re|ve|m|ll|d)"
@@ -29,7 +31,7 @@ UNITS = regex.compile(
 _RUN = regex.compile(rf"[{_WS}]{{2}}")
 #: How the vocabulary file writes a space.
 SPACE = "\u0120"
-#: Units of one generation; a worker keeps two generations of them.
+#: Units of one generation; a worker keeps two generations of them, in tables of some 50 bytes a unit.
 KEPT_UNITS = 700_000
 #: Bytes from which a piece is worked out by itself.
 LONG_PIECE = 256
@@ -49,8 +51,7 @@ class UnitStore:
     item = "<u4"
 
     def __init__(self, specials: tuple[str, ...]):
-        self.after_space: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.after_space, self.before = UnitTable(self.item), UnitTable(self.item)
         self.other: dict[str, bytes] = {}
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
 
@@ -62,29 +63,27 @@ class UnitStore:
         """The bytes of units that are a space and a name without white space at its ends."""
         return self.work([" " + x for x in names])
 
-    def learn(self, names: list[str]) -> list[bytes | None]:
-        """The bytes of units that follow a space, worked out where not yet known. None: a unit
-        that begins or ends in white space, so that what is beside it counts."""
+    def learn(self, names: pa.Array) -> np.ndarray:
+        """The entry in `after_space` of each of different units that follow a space; units not yet known are worked out.
+        -1: a unit that begins or ends in white space, so that what is beside it counts."""
         if len(self.after_space) > KEPT_UNITS:
-            self.before, self.after_space = self.after_space, {}
-        held, old = self.after_space, self.before
-        out = list(map(held.get, names))
-        fresh = [i for i, x in enumerate(out) if x is None]
-        if old:
-            for i in fresh:
-                x = old.get(names[i])
-                if x is not None:
-                    out[i] = held[names[i]] = x
-            fresh = [i for i in fresh if out[i] is None]
-        fresh = [i for i in fresh if (x := names[i]) and x == x.strip()]
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
-            todo = [names[i] for i in part]
-            found = self.work_spaced(todo)
-            held.update(zip(todo, found, strict=True))
-            for i, value in zip(part, found, strict=True):
-                out[i] = value
-        return out
+            self.before, self.after_space = self.after_space, UnitTable(self.item)
+        first, second = name_hashes(names)
+        lost = np.flatnonzero(self.after_space.find(first, second) < 0)
+        old = self.before.find(first[lost], second[lost])
+        if (again := old >= 0).any():
+            self.after_space.add(first[lost[again]], second[lost[again]], *self.before.taken(old[again]))
+        lost = lost[~again]
+        texts = names.take(pa.array(lost)).to_pylist()
+        whole = np.fromiter((bool(x) and x == x.strip() for x in texts), bool, len(texts))
+        lost, texts = lost[whole], [x for x, ok in zip(texts, whole.tolist(), strict=True) if ok]
+        for at in range(0, len(lost), 50_000):
+            part = lost[at : at + 50_000]
+            found = self.work_spaced(texts[at : at + 50_000])
+            data = np.frombuffer(b"".join(found), self.item)
+            size = np.fromiter(map(len, found), np.int32, len(found)) // data.itemsize
+            self.after_space.add(first[part], second[part], size, data)
+        return self.after_space.find(first, second)
 
     def slows(self, texts: list[str]) -> list[bytes]:
         """The bytes of texts, unit by unit."""
@@ -103,33 +102,33 @@ class UnitStore:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = lists.offsets.to_numpy()
         flat = lists.values.dictionary_encode()
-        index, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        index, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
         inner = np.ones(len(index), bool)
         inner[offsets[:-1]] = False
         used = np.zeros(len(names), bool)
         used[index[inner]] = True
         wanted = np.flatnonzero(used)
-        found = self.learn([names[i] for i in wanted.tolist()] if len(wanted) < len(names) else names)
+        found = self.learn(names.take(pa.array(wanted)))
         edge = np.zeros(len(names) + len(texts), bool)
-        edge[wanted] = [x is None for x in found]
-        held = np.full(len(names), b"", object)
-        held[wanted] = [x or b"" for x in found]
-        units = held.tolist()
+        edge[wanted] = found < 0
         single = np.diff(offsets) == 1
-        heads = [names[i] for i in index[offsets[:-1]].tolist()]
+        heads = names.take(pa.array(index[offsets[:-1]])).to_pylist()
         # a head with white space at its ends counts what is beside it
         alone = [bool(one or x and x == x.strip()) for one, x in zip(single, heads, strict=True)]
         edge[len(names) :] = ~np.array(alone)
-        units += self.slows([x if ok else "" for x, ok in zip(heads, alone, strict=True)])
+        units = self.slows([x if ok else "" for x, ok in zip(heads, alone, strict=True)])
+        own = np.frombuffer(b"".join(units), self.item)
+        known = self.after_space
+        # the numbers of units: those of the table, then those of the heads
+        begin, sizes = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.int64)
+        begin[wanted], sizes[wanted] = np.append(known.begin, 0)[found], np.append(known.size, 0)[found]
+        sizes[len(names) :] = np.fromiter(map(len, units), np.int64, len(units)) // own.itemsize
+        begin[len(names) :] = len(known.data) + np.cumsum(sizes[len(names) :]) - sizes[len(names) :]
+        blob = np.concatenate([known.data, own])
         index[offsets[:-1]] = len(names) + np.arange(len(texts))
-        blob = np.frombuffer(b"".join(units), self.item)
-        sizes = np.fromiter(map(len, units), np.int64, len(units)) // blob.itemsize
-        begin = np.cumsum(sizes) - sizes
         n = sizes[index]
         ends = np.cumsum(n)
-        kind = np.int32 if max(len(blob), int(ends[-1])) < 1 << 31 else np.int64
-        at = np.repeat((begin[index] - (ends - n)).astype(kind), n)
-        at += np.arange(ends[-1], dtype=kind)
+        at = runs(begin[index], n)
         raw = blob.take(at).tobytes()
         cuts = (np.concatenate([[0], ends])[offsets] * blob.itemsize).tolist()
         out = [raw[i:j] for i, j in zip(cuts, cuts[1:])]

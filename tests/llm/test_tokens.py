@@ -101,3 +101,35 @@ def test_long_unbroken_words(library):
     began = time.process_time()
     steps = np.frombuffer(table.batch([text])[0], "<i2")
     assert time.process_time() - began < 30 and int(steps.sum(dtype=np.int64)) == len(ids_of(library, text))
+
+
+def test_unit_table_and_texts_of_edges_alone(library):
+    import pyarrow as pa
+
+    from lexloom.llm import byte_bpe as B
+    from lexloom.llm.unit_table import UnitTable, name_hashes
+
+    for texts in (["a \n"], ["", " "], ["\n \n", "x"]):  # no unit of these goes into a table
+        assert [np.frombuffer(x, "<u4").tolist() for x in B.LibraryIds(PATH).batch(texts)] == [ids_of(library, t) for t in texts]
+    names = pa.array(["", "a", "b", "ab", "ba", "é" * 70, "a" * 300])
+    first, second = name_hashes(names)
+    assert len(set(zip(first.tolist(), second.tolist()))) == len(names)
+    assert (name_hashes(names.slice(2, 4))[0] == first[2:6]).all() and len(name_hashes(names.slice(0, 0))[0]) == 0
+    table, values, rng = UnitTable("<u4"), [[], [1], [2, 3], [4], [5, 6, 7], [], [8]], random.Random(2)
+    order = rng.sample(range(7), 7)
+    for part in (order[:3], order[3:5], order[5:]):
+        table.add(first[part], second[part], np.array([len(values[i]) for i in part], np.int32), np.array([x for i in part for x in values[i]], "<u4"))
+    at = table.find(first, second)
+    size, data = table.taken(at)
+    assert size.tolist() == list(map(len, values)) and data.tolist() == [x for v in values for x in v]
+    assert (table.find(first, second + np.uint64(1)) == -1).all()
+
+
+def test_units_after_a_change_of_generations(library, monkeypatch):
+    from lexloom.llm import byte_bpe as B
+
+    monkeypatch.setattr(B, "KEPT_UNITS", 20)
+    store, rng = B.LibraryIds(PATH), random.Random(3)
+    for _ in range(12):
+        texts = [" ".join(rng.choice(["alpha", "be", "gamma", "δέλτα"]) + str(rng.randint(0, 30)) for _ in range(20)) for _ in range(3)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in store.batch(texts)] == [ids_of(library, t) for t in texts]
