@@ -87,7 +87,7 @@ def release(spark: SparkSession) -> None:
 
 def cleaned(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator whose result is written to the shared folder, after which the tables that it wrote on
-    the way are deleted: a run leaves one table, not all its steps."""
+    the way are deleted, also if it fails: a run leaves one table, not all its steps."""
 
     @wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
@@ -95,15 +95,18 @@ def cleaned(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         token = _made.set(made)
         try:
             out = operator(*args, **kwargs)
-        finally:
             _made.reset(token)
-        spark = out.sparkSession
-        done, context = written(out, operator.__name__), spark.sparkContext
-        del out
-        for path in made:
-            place = context._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-        release(spark)
+            token = None
+            done = written(out, operator.__name__)
+            del out
+        finally:
+            if token is not None:
+                _made.reset(token)
+            context = SparkSession.active().sparkContext
+            for path in made:
+                place = context._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        release(done.sparkSession)
         return done
 
     return run

@@ -153,3 +153,35 @@ def test_keys_of_rows(spark, tmp_path):
             assert first == again and len({r[3] for r in first}) == len(first) == frame.count()
     held = corpus_pipeline.keyed(spark.read.parquet(str(tmp_path / "d")))
     assert sorted(map(tuple, held.repartition(3).collect())) == sorted(map(tuple, held.collect()))
+
+
+CLASHING = "_row _hash _path _index _file _pred _score _likely _size _src _source _part _number _order _copy _last passes repeats component_id c0 c1 _text words _key _metadata_".split()
+
+
+def test_columns_of_any_name_come_through(spark, sf, tmp_path):
+    docs = table(spark, sf, "documents").filter("doc_id < 60")
+    odd = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING])
+    odd.write.parquet(str(tmp_path / "odd"))
+    for rows in (spark.read.parquet(str(tmp_path / "odd")), odd.repartition(3)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out, alone = stage(spark, rows, sf), stage(spark, docs, sf)
+            assert out.columns == rows.columns
+            got = out.collect()
+            assert got and all(r[c] == f"{c}-{r.doc_id}" for r in got for c in CLASHING)
+            assert sorted((r.doc_id, r.text, r.lang) for r in got) == sorted((r.doc_id, r.text, r.lang) for r in alone.collect())
+
+
+def test_a_failed_operator_leaves_no_table(spark, tmp_path):
+    from pathlib import Path
+
+    from lexloom.llm.common import cleaned, shared_dir
+
+    @cleaned
+    def fails(rows):
+        written(rows, "left-behind")
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        fails(spark.range(3))
+    assert not list(Path(shared_dir(spark).removeprefix("file:")).glob("left-behind*"))
+    assert written(spark.range(3), "kept").count() == 3
