@@ -22,6 +22,18 @@ from lexloom.llm.near_dup import near_duplicates
 from lexloom.llm.token_store import read_token_shards, write_token_shards
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under names c0, c1, ... and the name that each column of `documents` has there: so no column of
+    theirs, however it is called, meets one that a stage makes."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(reversed(docs.columns), reversed(names), strict=True))
+
+
+def named(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of `numbered` documents under their own names."""
+    return rows.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
+
+
 #: Score from which a prediction replaces a `lang` that it contradicts.
 SURE = 0.99
 #: How far (in nats an n-gram) a text may fall below an even draw of n-gram buckets. Clean text lies
@@ -36,13 +48,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     letter, or is less likely under every learned language than an even draw (SLACK). `lang` becomes
     the prediction where it is null, or where the prediction differs with a score of SURE or more.
     Where nothing could be learned, all texts with a letter stay as they are."""
-    model = train_language(docs.filter(F.col("text").rlike(r"\p{L}")))
-    found = predict_language(docs, model, lang_out="_pred", score_out="_score", likely_out="_likely")
+    rows, c = numbered(docs)
+    model = train_language(rows.filter(F.col(c["text"]).rlike(r"\p{L}")), c["text"], c["lang"])
+    found = predict_language(rows, model, c["text"], lang_out="_pred", score_out="_score", likely_out="_likely")
     found = found.filter(F.col("_likely") >= -math.log(model.buckets) - SLACK)
     if model.names:
-        given = F.when(F.col("_score") < SURE, F.col("lang"))
-        found = found.withColumn("lang", F.coalesce(given, F.col("_pred")))
-    return found.select(*docs.columns)
+        given = F.when(F.col("_score") < SURE, F.col(c["lang"]))
+        found = found.withColumn(c["lang"], F.coalesce(given, F.col("_pred")))
+    return named(found, docs)
 
 
 #: Most files whose names go to all tasks.
@@ -69,31 +82,34 @@ def keyed(docs: DataFrame) -> DataFrame:
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five-word shingles, similarity 0.8): the one with
     the smallest id, null ids last. Each row counts by its own text, whatever its id."""
-    rows = keyed(docs)
-    groups = near_duplicates(rows, key="_row", words=5, percent=80).select("_row", "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row")
-    named = rows.select("_row", order.alias("_order")).join(groups, "_row")
-    kept = named.groupBy("component_id").agg(F.min("_order").alias("_one")).select("_one._row")
+    rows, c = numbered(docs)
+    rows = keyed(rows)
+    groups = near_duplicates(rows, key="_row", text=c["text"], words=5, percent=80).select("_row", "component_id")
+    order = F.struct(F.col(c["doc_id"]).isNull(), c["doc_id"], "_hash", "_row")
+    kept = rows.select("_row", order.alias("_order")).join(groups, "_row").groupBy("component_id").agg(F.min("_order").alias("_one")).select("_one._row")
     # the rows that go are few against those that stay; written, their size is known before the join
     gone = written(groups.select("_row").join(kept, "_row", "left_anti"), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return named(rows.join(gone, "_row", "left_anti"), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows whose text holds a benchmark item, whatever their id."""
-    rows = keyed(docs)
-    held = written(contaminated(rows, table(spark, sf_dir, "benchmark"), key="_row").select("_row").distinct(), "held")
-    return rows.join(held, "_row", "left_anti").select(*docs.columns)
+    rows, c = numbered(docs)
+    rows = keyed(rows)
+    held = written(contaminated(rows.select("_row", F.col(c["text"]).alias("text")), table(spark, sf_dir, "benchmark"), key="_row").select("_row").distinct(), "held")
+    return named(rows.join(held, "_row", "left_anti"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes each row as often as the mix of sources by weight has it: 0 to 3 times. Rows are picked
     by what is in them, and identical rows are alike, so reruns agree. Texts are in no shuffle."""
-    rows = keyed(docs)
-    rows = rows.withColumns(marks(words_in(F.col("text")), F.col("source"), F.xxhash64(F.lit(7), "_hash")))
+    rows, c = numbered(docs)
+    rows = keyed(rows)
+    rows = rows.withColumns(marks(words_in(F.col(c["text"])), F.col(c["source"]), F.xxhash64(F.lit(7), "_hash")))
     cuts, _ = mix_plan(written(rows.select("_source", "_src", "_size", "_number", "_part", "_row"), "sizes"))
     taken = repeated(rows, cuts).filter("repeats > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*docs.columns)
+    taken = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+    return named(taken, docs)
 
 
 def token_store(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
