@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, forget_units
 from .token_counts import slices
 
-#: Most entries of the matrix of log probabilities, and its buckets; with more languages the buckets
-#: get fewer, down to FEWEST_BUCKETS, so a model has MOST_ENTRIES / FEWEST_BUCKETS languages at most.
-MOST_ENTRIES, BUCKETS, FEWEST_BUCKETS = 1 << 22, 1 << 15, 1 << 10
-#: Characters that are worked on at once, and bytes of texts.
-PART, SLICE = 1 << 18, 512 << 10
+#: Buckets of n-grams, and most entries of the matrix of log probabilities (64 MB): 512 languages with these buckets.
+BUCKETS, MOST_ENTRIES = 1 << 15, 1 << 24
+#: Characters that are worked on at once, bytes of texts, and scores of texts by language.
+PART, SLICE, SCORES = 1 << 18, 512 << 10, 1 << 22
 
 
 @lru_cache(maxsize=1)
@@ -125,21 +124,19 @@ class LanguageModel:
         return [self.names[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], np.where(letters, p, 0.0).tolist(), likely
 
 
-def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.1) -> LanguageModel:
+def train_language(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float = 0.1, buckets: int = BUCKETS, most_entries: int = MOST_ENTRIES) -> LanguageModel:
     """The model of all rows whose text and language are not null. Each task sums its own counts;
-    only sums by language and bucket are shuffled, and the matrix (at most MOST_ENTRIES numbers)
+    only sums by language and bucket are shuffled, and the matrix (at most most_entries numbers)
     comes to the driver. Ties between languages go to the first by name. Rows that repeat count each;
-    without rows the model has no names; more than MOST_ENTRIES / FEWEST_BUCKETS languages raise."""
+    without rows the model has no names. More than most_entries / buckets languages raise: nothing
+    changes with their number."""
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text")).dropna()
-    most = MOST_ENTRIES // FEWEST_BUCKETS
+    most = most_entries // buckets
     documents = {r[0]: r[1] for r in rows.groupBy("_lang").count().limit(most + 1).collect()}
     if len(documents) > most:
         raise ValueError(f"more than {most} languages")
     names = sorted(documents)
-    buckets = BUCKETS
-    while len(names) * buckets > MOST_ENTRIES:
-        buckets //= 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_units()
@@ -191,7 +188,7 @@ def predict_language(
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_units()
         for whole in batches:
-            for batch in slices(whole, text, SLICE, max(1, MOST_ENTRIES // max(1, langs))):
+            for batch in slices(whole, text, SLICE, max(1, SCORES // max(1, langs))):
                 names, score, likely = shared.value.score([x or "" for x in batch.column(text).to_pylist()])
                 found = [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(likely, pa.float64())][: len(new)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *new])

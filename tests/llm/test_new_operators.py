@@ -287,3 +287,20 @@ def test_registered_rules(spark, sf):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and (not r.kept or not r.base_failed)
     passed = [r for r in got.values() if not r.base_failed]
     assert sum(r.kept for r in passed) >= 0.9 * len(passed)
+
+
+def test_many_languages_have_the_same_buckets(spark):
+    from lexloom.llm.language import BUCKETS, predict_language, train_language
+
+    rng = random.Random(12)
+    words = {f"l{k}": ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(12)] for k in range(300)}
+    rows = [(k, i, " ".join(rng.choices(w, k=30))) for k, w in words.items() for i in range(3)]
+    docs = spark.createDataFrame(rows, "lang string, i int, text string")
+    model = train_language(docs.filter("i < 2"))
+    few = train_language(docs.filter("i < 2 and lang in ('l1', 'l2')"))
+    assert model.buckets == few.buckets == BUCKETS and len(model.names) == 300
+    assert np.array_equal(model.log[model.names.index("l2")], few.log[1])
+    found = predict_language(docs.filter("i = 2"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 290
+    with pytest.raises(ValueError, match="languages"):
+        train_language(docs, most_entries=299 * BUCKETS)
