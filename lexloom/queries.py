@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,10 @@ from .operators.ordinal import batch_number, with_ordinal
 from .plans import many as Y
 from .plans import runs as U
 from .plans.sanitize import Edits, Sanitized, sanitize, summary
-from .session import settled
+from .session import settled, shared_folder
+from .sources import shards as S
+from .sources.byte_lines import listed
+from .streaming.line_sources import endless_lines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1156,3 +1161,29 @@ def zipped_answers(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     both = C.zip_answers(docs.select("doc_id", F.col("text").alias("answer_a")), docs.select("doc_id", F.col("text").alias("answer_b")), "doc_id")
     return both.select("doc_id", (F.col("answer_a") == F.col("answer_b")).alias("same"), F.length("answer_b").cast("long").alias("n"))
+
+
+# --- sources --------------------------------------------------------------------------------
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS record, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def indexed_shards(spark, sf_dir):
+    """All texts written as indexed shards, in order, and read back by record."""
+    path = f"{shared_folder(spark)}/text-shards-{uuid.uuid4().hex}"
+    S.write_shards(read(spark, sf_dir, "documents").filter("text is not null").orderBy("doc_id"), path)
+    return S.read_shards(spark, path).select("record", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT CAST(e AS INTEGER) AS epoch, doc_id, CAST(1 AS BIGINT) AS copies FROM documents, (SELECT unnest([0, 1]) AS e) WHERE lang IS NOT NULL")
+def endless_passes(spark, sf_dir):
+    """The documents' ids as lines of a corpus of several files, streamed for two passes in batches that end in the middle
+    of files; each batch is a query of its own that goes on from the checkpoint."""
+    folder = f"{shared_folder(spark)}/endless-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "documents").filter("lang is not null").repartition(5, "lang", "doc_id").select(F.col("doc_id").cast("string")).write.text(f"{folder}/corpus")
+    files = {f: n for f, n in listed(f"{folder}/corpus").items() if n}
+    stream = endless_lines(spark, sorted(files), seed=3, batch_bytes=sum(files.values()) // 2 + 1, passes=2)
+    for _ in range(5):
+        sink = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("epoch int, path_ord int, path_no int, at long, text string").parquet(f"{folder}/out")
+    return rows.groupBy("epoch", F.col("text").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("copies"))

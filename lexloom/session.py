@@ -20,14 +20,18 @@ def session(name: str = "lexloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir; a local session without one uses a folder
+    below its warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+
+
 def settled(rows: DataFrame) -> DataFrame:
-    """The rows, worked out now and kept in the folder that the driver and all executors share (spark.checkpoint.dir; a
-    local session without one uses a folder below its warehouse): what follows reads them, and outlives
-    lost executors."""
+    """The rows, worked out now and kept in the shared folder: what follows reads them, and outlives lost executors."""
     context = rows.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        path = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(path or f"{rows.sparkSession.conf.get('spark.sql.warehouse.dir')}/_shared")
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
