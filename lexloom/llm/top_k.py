@@ -270,7 +270,9 @@ def exact_top_k(
     def searched(queries: DataFrame, begin: bool) -> DataFrame:
         aimed = queries.select("key", "vector", "least", F.lit(begin).alias("begin")).mapInArrow(aim, "shard int, key long, vector array<double>, least double")
         both = stored.unionByName(aimed.select("shard", F.lit(1).alias("kind"), "key", "vector", "least"))
-        spread = both.repartition(max(1, int(first[-1])), "shard").sortWithinPartitions("shard", "kind")
+        # a task takes one shard after the other, so there are no more tasks than the session asks for
+        tasks = max(1, min(int(first[-1]), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        spread = both.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
         return spread.mapInArrow(run, "query_id long, vec_id long, score long, beyond binary")
 
     nearby = written(searched(asking.withColumn("least", F.lit(float("-inf"))), True), "top-k-home")

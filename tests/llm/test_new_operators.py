@@ -304,3 +304,18 @@ def test_many_languages_have_the_same_buckets(spark):
     assert sum(r.lang == r.lang_pred for r in found) >= 290
     with pytest.raises(ValueError, match="languages"):
         train_language(docs, most_entries=299 * BUCKETS)
+
+
+def test_top_k_takes_several_shards_a_task(spark):
+    from lexloom.llm.top_k import exact_top_k
+
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(700, 6))
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_top_k(frame, F.col("vec_id") % 50 == 0, k=4, shard_rows=20, leaf_rows=5).collect()}
+    whole = np.floor(256 * points).astype(np.int64)
+    want = {}
+    for q in range(0, 700, 50):
+        best = sorted(((-int(whole[q] @ whole[i]), i) for i in range(700) if i != q))[:4]
+        want |= {(q, rank): (i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert got == want
