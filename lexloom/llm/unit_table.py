@@ -5,6 +5,9 @@ A dictionary of a million short strings takes hundreds of megabytes of Python ob
 
 from __future__ import annotations
 
+import hashlib
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,21 +19,35 @@ _BYTES = [mixed(np.arange(1, 257, dtype=np.uint64) * _ODD + np.uint64(k)) for k
 _FACTORS = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
 
 
+#: Bytes of strings that are hashed at once; a longer string is hashed by itself.
+STEP, LONG = 1 << 19, 1 << 12
+
+
 def name_hashes(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each string of an Arrow array (without nulls)."""
     names = names.cast(pa.large_binary())
-    ends = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, 8 * names.offset) if len(names) else np.zeros(1, np.int64)
+    first, second = np.zeros(len(names), np.uint64), np.zeros(len(names), np.uint64)
+    if not len(names):
+        return first, second
+    ends = np.frombuffer(names.buffers()[1], np.int64, len(names) + 1, 8 * names.offset)
+    raw = np.frombuffer(names.buffers()[2] or b"", np.uint8)
     n = np.diff(ends)
-    out = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
-    filled = np.flatnonzero(n)
-    if len(filled):
-        data = np.frombuffer(names.buffers()[2], np.uint8, int(ends[-1] - ends[0]), int(ends[0]))
-        begin = ends[:-1][filled] - ends[0]
-        within = np.arange(len(data)) - np.repeat(begin, n[filled])
-        for k, sums in enumerate(out):
-            powers = np.cumprod(np.full(int(n.max()), _FACTORS[k], np.uint64))
-            sums[filled] = np.add.reduceat(_BYTES[k][data] * powers[within], begin)
-    return mixed(out[0] ^ n.astype(np.uint64)), mixed(out[1] + n.astype(np.uint64) * _ODD)
+    powers = [np.cumprod(np.full(min(int(n.max()), LONG) + 1, f, np.uint64)) for f in _FACTORS]
+    size = np.where(n <= LONG, n, 0)
+    part = np.cumsum(size) // STEP
+    for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(n)]):
+        filled = a + np.flatnonzero(size[a:b])
+        if len(filled):
+            own = size[filled]
+            at = np.cumsum(own) - own
+            within = np.arange(int(own.sum())) - np.repeat(at, own)
+            data = raw[within + np.repeat(ends[filled], own)]
+            first[filled] = np.add.reduceat(_BYTES[0][data] * powers[0][within], at)
+            second[filled] = np.add.reduceat(_BYTES[1][data] * powers[1][within], at)
+    for i in np.flatnonzero(n > LONG):
+        digest = hashlib.blake2b(raw[ends[i] : ends[i + 1]], digest_size=16).digest()
+        first[i], second[i] = np.frombuffer(digest, "<u8")
+    return mixed(first ^ n.astype(np.uint64)), mixed(second + n.astype(np.uint64) * _ODD)
 
 
 class UnitTable:

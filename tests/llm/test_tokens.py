@@ -111,9 +111,12 @@ def test_unit_table_and_texts_of_edges_alone(library):
 
     for texts in (["a \n"], ["", " "], ["\n \n", "x"]):  # no unit of these goes into a table
         assert [np.frombuffer(x, "<u4").tolist() for x in B.LibraryIds(PATH).batch(texts)] == [ids_of(library, t) for t in texts]
-    names = pa.array(["", "a", "b", "ab", "ba", "é" * 70, "a" * 300])
+    names = pa.array(["", "a", "b", "ab", "ba", "é" * 70, "a" * 9000])
     first, second = name_hashes(names)
     assert len(set(zip(first.tolist(), second.tolist()))) == len(names)
+    many = pa.array([f"n{i}" * (i % 90) for i in range(30_000)] + ["x" * 5000])
+    whole, alone = name_hashes(many), [name_hashes(many.slice(i, 1)) for i in (0, 1, 7, 12_345, 29_999, 30_000)]
+    assert all((int(whole[k][i]) == int(x[k][0])) for i, x in zip((0, 1, 7, 12_345, 29_999, 30_000), alone) for k in (0, 1))
     assert (name_hashes(names.slice(2, 4))[0] == first[2:6]).all() and len(name_hashes(names.slice(0, 0))[0]) == 0
     table, values, rng = UnitTable("<u4"), [[], [1], [2, 3], [4], [5, 6, 7], [], [8]], random.Random(2)
     order = rng.sample(range(7), 7)
