@@ -117,7 +117,7 @@ def full_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFram
 
 @cleaned
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of `docs`: key, n_shingles, component_id, kept.
+    """One row per row of `docs`: key (an integer; others are cast to long), n_shingles, component_id, kept.
 
     Two texts are linked if 100 * (shingles in both) >= percent * (shingles in either), counted on
     their full sets; component_id is the smallest key that links reach, kept whether it is the

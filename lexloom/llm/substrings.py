@@ -196,7 +196,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, with_text: bool = False) -> DataFrame:
-    """One row per row of `docs`: key, n_words, n_removed, kept_sha256, and with_text: the kept
+    """One row per row of `docs`: key (an integer; others are cast to long), n_words, n_removed, kept_sha256, and with_text: the kept
     words joined by one space, and the removed spans (first word, words).
 
     A word goes if a window of `window` consecutive words that covers it has a word sequence that

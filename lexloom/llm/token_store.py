@@ -50,7 +50,7 @@ def write_token_shards(
 ) -> None:
     """Encodes every whole text with the tokenizers library and writes the shards to `folder`.
 
-    Null texts count as empty and hold just the end id. Null keys come first; rows with the same
+    Keys are integers (others are cast to long). Null texts count as empty and hold just the end id. Null keys come first; rows with the same
     key stand side by side, ordered by their text. Other columns are not read. One shuffle (of the
     texts, by range of key); encoding follows it."""
     path = path or tokenizer_path()

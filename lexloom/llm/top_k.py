@@ -172,7 +172,7 @@ def exact_top_k(
     """(query_id, rank from 1, vec_id, score) of the k highest inner products of each query row with
     all other rows, ties to the smaller key. Components x become floor(scale * x).
 
-    query: a condition on the columns of `vectors`. Rows whose key or vector is null, or whose
+    key: an integer column (others are cast to long). query: a condition on the columns of `vectors`. Rows whose key or vector is null, or whose
     vector is empty or holds a null or a number that is not finite (before or after scaling), take no
     part. Rows that repeat a key are candidates each, but not of a query of their own key; of queries
     that repeat a key the greatest vector asks. A query is compared with vectors of its own length
