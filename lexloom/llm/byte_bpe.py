@@ -32,7 +32,7 @@ _RUN = regex.compile(rf"[{_WS}]{{2}}")
 #: How the vocabulary file writes a space.
 SPACE = "\u0120"
 #: Units of one generation; a worker keeps two generations of them, in tables of some 50 bytes a unit.
-KEPT_UNITS = 700_000
+KEPT_UNITS = 300_000
 #: Bytes from which a piece is worked out by itself.
 LONG_PIECE = 256
 

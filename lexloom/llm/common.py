@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words: runs of characters other than ASCII space, tab, line feed, vertical tab, form feed and
@@ -29,14 +31,23 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def tidy() -> None:
+    """Gives what a step has freed back to the system: Spark gives a worker to the next step as it is, and what
+    its allocators keep would count beside that step's own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def forget_units() -> None:
-    """Empties the stores of encoded units that an earlier tokenizer step has left in this worker: Spark gives
-    a worker to the next step as it is, and their hundreds of megabytes would stay beside that step's own."""
+    """Empties the stores of encoded units that an earlier tokenizer step has left in this worker."""
     held = sys.modules.get(f"{__package__}.byte_bpe")
     if held is not None:
         held.library_ids.cache_clear()
         held.prefix_counts.cache_clear()
-        gc.collect()
+    tidy()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import library_ids
-from .common import forget_units
+from .common import forget_units, tidy
 from .token_counts import gathered, tokenizer_path
 from .wavelet import WaveletMatrix
 
@@ -60,6 +60,7 @@ def write_token_shards(
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         store, part = library_ids(path), TaskContext.get().partitionId()
         keys: list[int | None] = []
         held: list[bytes] = []
@@ -71,7 +72,7 @@ def write_token_shards(
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "seq", "before", "n_ids", "doc_keys", "lengths", "blob"])
 
-        for batch in gathered((whole.select(["_key", "_text"]) for whole in batches), "_text", 8 << 20):
+        for batch in gathered((whole.select(["_key", "_text"]) for whole in batches), "_text", 2 << 20):
             for k, ids in zip(batch.column("_key").to_pylist(), store.batch(batch.column("_text").to_pylist()), strict=True):
                 keys.append(k)
                 held.append(ids + end)
