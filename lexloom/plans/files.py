@@ -20,6 +20,8 @@ MAPPING, INITIALIZERS, GROUPS = "tokenizer_mapping.json", "tokenizer_added_token
 #: Files with special tokens, later ones over earlier ones; files with ids. Fixed values.
 SPECIAL_FILES = ("special_tokens_map.json", "tokenizer_config.json")
 CONFIG_FILES = ("special_tokens_map.json", "tokenizer_config.json", "config.json", "generation_config.json")
+#: The file of all weights of a model, and the index of its parts. Fixed values.
+WHOLE, INDEX = "model.safetensors", "model.safetensors.index.json"
 
 
 def resolve_source(source: str, models_dir: str = "models") -> Path:
@@ -33,14 +35,13 @@ def resolve_source(source: str, models_dir: str = "models") -> Path:
 
 
 def find_checkpoint(folder: str) -> Path | None:
-    """A model's weights: one file, or the folder where an index or several parts lie in it."""
-    root = Path(folder)
-    if (root / "model.safetensors").exists():
-        return root / "model.safetensors"
-    parts = sorted(root.glob("*.safetensors"))
-    if (root / "model.safetensors.index.json").exists() or len(parts) > 1:
-        return root
-    return parts[0] if parts else None
+    """A model's weights: one file where one has them all, else the folder of their parts."""
+    held = {p.name: p for p in Path(folder).glob("*.safetensors*")}
+    weights = [name for name in held if name.endswith(".safetensors")]
+    alone = WHOLE if WHOLE in held else weights[0] if len(weights) == 1 and INDEX not in held else None
+    if alone:
+        return held[alone]
+    return Path(folder) if weights or INDEX in held else None
 
 
 def read_json(path: Path) -> dict[str, Any]:
