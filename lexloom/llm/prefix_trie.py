@@ -26,8 +26,8 @@ from .running import running_sums
 
 #: Primes below 2^31 and a number for each: a fingerprint is a polynomial's value modulo each.
 PRIMES = ((2147483647, 1103515245), (2147483629, 1664525013))
-#: Ids that go into a digest at once.
-PIECE = 4096
+#: Ids that go into a digest at once; characters of a text that samples for ranges hold.
+PIECE, BEGINNING = 4096, 32
 
 
 def numbered_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -40,10 +40,10 @@ def numbered_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
         F.col(conv).cast("long").alias("conv_id"), F.col(turn).alias("_turn"), by.alias("_role"), said.alias("_text"),
         F.unhex(F.sha2(whole.cast("binary"), 256)).alias("digest"), F.length(said).cast("long").alias("chars"), F.lit(1).cast("long").alias("pos"),
     )
-    # rows that are alike in all of this are told apart, so that any number of them spreads over tasks
-    kept = kept.withColumn("_row", F.monotonically_increasing_id())
-    order = [F.col("_turn").asc_nulls_first(), F.col("_role"), F.col("_text"), F.col("_row")]
-    return running_sums(kept, "conv_id", order, {"pos": None}, ["digest", "chars"], "turns").withColumnRenamed("run_pos", "pos")
+    order = [F.col("_turn").asc_nulls_first(), F.col("_role"), F.col("_text")]
+    # the beginnings of texts are enough to cut a conversation, also one whose turns tie, into tasks
+    ranges = [F.col("_turn").asc_nulls_first(), F.left("_role", F.lit(BEGINNING)), F.left("_text", F.lit(BEGINNING))]
+    return running_sums(kept, "conv_id", order, {"pos": None}, ["digest", "chars"], "turns", ranges).withColumnRenamed("run_pos", "pos")
 
 
 def powers(base: int, exponents: np.ndarray, prime: int) -> np.ndarray:

@@ -32,12 +32,13 @@ def within_runs(keys: np.ndarray, values: np.ndarray, last: int | None, before:
     return sums % modulus if modulus else sums
 
 
-def running_sums(rows: DataFrame, key: str, order: list[Column], sums: dict[str, int | None], keep: list[str], name: str) -> DataFrame:
+def running_sums(rows: DataFrame, key: str, order: list[Column], sums: dict[str, int | None], keep: list[str], name: str, ranges: list[Column] | None = None) -> DataFrame:
     """key, the columns of `keep` and, for each entry of `sums` (a long column: its modulus or None), `run_<column>`:
     the sum over the rows of the key up to this one. Keys are longs and not null; `order` decides among
-    a key's rows. The result has been written once before the sums of earlier tasks are added to it."""
+    a key's rows. ranges: what tasks are cut by, where not by the whole order (a coarser order that agrees with it, as
+    samples of it go to the driver). The result has been written once before the sums of earlier tasks are added to it."""
     bound_batches(rows.sparkSession)
-    placed = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).select(key, *keep, *[c for c in sums if c not in keep])
+    placed = rows.repartitionByRange(key, *(ranges or order)).sortWithinPartitions(key, *order).select(key, *keep, *[c for c in sums if c not in keep])
     kept = [placed.schema[c] for c in [key, *keep]]
     fields = [*kept, *(T.StructField(f"run_{c}", T.LongType()) for c in sums), T.StructField("_task", T.IntegerType()), T.StructField("_first", T.BooleanType())]
 
