@@ -24,7 +24,7 @@ from .token_counts import gathered, tokenizer_path
 from .wavelet import WaveletMatrix
 
 #: Ids of a shard: it is closed once it has so many (a longer document is a shard by itself).
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 _SIZE = struct.Struct("<Q")
 
 
@@ -80,6 +80,7 @@ def write_token_shards(
                 if size >= shard_ids:
                     yield shard()
                     seq, before, size, keys, held = seq + 1, before + size, 0, [], []
+                    tidy()
         if held:
             yield shard()
 
