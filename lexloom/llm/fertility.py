@@ -187,27 +187,30 @@ def size_class() -> Column:
     return F.when(F.col("tokens_0") > 0, F.floor(F.log2("tokens_0")).cast("int")).otherwise(-1)
 
 
-def rejection_bands(measured: DataFrame, by: list[str], names: list[str], fences: float = 3.0, low: float = 0.2, high: float = 1.0) -> DataFrame:
+def rejection_bands(
+    measured: DataFrame, by: list[str], names: list[str], fences: float = 3.0, low: float = 0.2, high: float = 1.0, share: float | None = None
+) -> DataFrame:
     """For each group (`by`): texts and, for each measure of `names`, middle_, low_ and high_, outside of which a text is rejected.
 
     A band ends `fences` interquartile ranges beyond the quartiles, but at least `low` of the median below it and
-    `high` of the median above it (of shares of bytes: of 1), so many equal texts do not narrow it to
-    nothing. Quartiles are approximate by at most a thousandth of the group's rows; sketches are merged
+    `high` of the median above it, so many equal texts do not narrow it to nothing. Of shares of bytes these are parts of 1,
+    and above the median it is `share` (None: `high`), since a share is never more than 1. Quartiles are approximate by at most a thousandth of the group's rows; sketches are merged
     before the shuffle, so a group may hold any part of all rows."""
     found = measured.filter("tokens_0 > 0").groupBy(*by)
     found = found.agg(F.count(F.lit(1)).alias("texts"), *[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in names])
     out = []
     for m in names:
         first, middle, third = (F.col(m)[i] for i in range(3))
-        gap, unit = fences * (third - first), F.lit(1.0) if m.startswith("byte_share") else middle
-        out += [middle.alias(f"middle_{m}"), F.least(first - gap, middle - low * unit).alias(f"low_{m}"), F.greatest(third + gap, middle + high * unit).alias(f"high_{m}")]
+        gap, of_bytes = fences * (third - first), m.startswith("byte_share")
+        unit, above = (F.lit(1.0), high if share is None else share) if of_bytes else (middle, high)
+        out += [middle.alias(f"middle_{m}"), F.least(first - gap, middle - low * unit).alias(f"low_{m}"), F.greatest(third + gap, middle + above * unit).alias(f"high_{m}")]
     return found.select(*by, "texts", *out)
 
 
 @cleaned
 def fertility_rules(
     docs: DataFrame, key: str = "doc_id", text: str = "text", language: str | None = "lang", paths: list[str] | None = None,
-    fences: float = 3.0, low: float = 0.2, high: float = 1.0, room: float = 1.0, fewest_words: int = 10, repeat_percent: int = 20,
+    fences: float = 3.0, low: float = 0.2, high: float = 1.0, room: float = 1.0, fewest_words: int = 10, repeat_percent: int = 20, share: float = 0.2,
 ) -> DataFrame:
     """Every row's measures, base_failed, the measures outside their band (`reasons`, empty for most) and kept.
 
@@ -222,7 +225,7 @@ def fertility_rules(
     n = len(paths) if paths else len(VOCABULARIES)
     measured = written(fertility_measures(docs, key, text, language, paths).withColumn("size_class", size_class()), "measures")
     means, spreads = [f"{m}_{i}" for i in range(n) for m in MEASURES[:2]], [f"{MEASURES[2]}_{i}" for i in range(n)]
-    bands = written(rejection_bands(measured, ["language"], means, fences, low, high), "bands")
+    bands = written(rejection_bands(measured, ["language"], means, fences, low, high, share), "bands")
     sized = written(rejection_bands(measured, ["language", "size_class"], spreads, fences, low, high), "bands")
     held = join_to_one(measured, bands, {"language": "language"}, "texts", "left")
     held = join_to_one(held, sized, {"language": "language", "size_class": "size_class"}, "texts", "left")

@@ -264,6 +264,20 @@ def test_fertility_rules(spark):
     assert {r.language for r in alone.collect()} == {"Latin", "Han", "None"}
 
 
+def test_too_many_single_bytes_are_rejected(spark):
+    rng = random.Random(6)
+    words = "the and of language model sentence clean water river mountain people other which during between small house".split()
+    clean = [" ".join(rng.choices(words, k=rng.randint(60, 200))) + "." for _ in range(300)]
+    long = "international responsibility administration understanding communication representatives organization professional".split()
+    # as many characters a token as clean texts have, but a third of the tokens are bytes of signs that the vocabulary has not
+    strange = [" ".join(w + ("𓀀" if k % 5 < 1 else "") for k, w in enumerate(rng.choices(long, k=150))) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(clean + strange)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r for r in fertility.fertility_rules(docs).collect()}
+    assert all(got[i].kept for i in range(300) if not got[i].base_failed)
+    for i in range(300, 305):
+        assert not got[i].base_failed and not got[i].kept and got[i].reasons[0].startswith("byte_share")
+
+
 def test_bands_are_quartiles_with_slack(spark):
     values = sorted(random.Random(8).gauss(4, 0.2) for _ in range(101))
     rows = [("a", 100, v, 0.1, 0.5) for v in values] + [("b", 100, 4.0, 0.0, 1.0)]
