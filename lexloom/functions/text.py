@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bound_batches
+
 #: All characters that Python's str.isspace() knows; \\s alone covers six of them. Fixed values.
 SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
 #: What ends a line for str.splitlines(). Fixed values.
@@ -17,7 +19,8 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 def normalize(text: Column) -> Column:
     """NFKC, case folding, and each run of white space as one space, none at the ends. Null stays
-    null. Spark has neither NFKC nor case folding, hence an Arrow batch function."""
+    null. Spark has neither NFKC nor case folding, hence an Arrow batch function; its batches are bounded by bytes."""
+    bound_batches(SparkSession.active())
 
     def batch(values: pd.Series) -> pd.Series:
         return values.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))

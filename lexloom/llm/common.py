@@ -13,24 +13,14 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import bound_batches  # noqa: F401
+
 #: Words: runs of characters other than ASCII space, tab, line feed, vertical tab, form feed and
 #: carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Bytes of an Arrow batch between Spark and a Python worker, where the session sets none.
-BATCH_BYTES = "2m"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, not rows alone: a batch of 10,000 long texts would fill a worker's
-    memory, and the executor's beside it. A session that has a limit keeps it."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, BATCH_BYTES)
-
-
 def tidy() -> None:
     """Gives what a step has freed back to the system: Spark gives a worker to the next step as it is, and what
     its allocators keep would count beside that step's own."""

@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,6 +25,22 @@ def test_normalize(spark):
     assert [r[0] for r in df.select(X.blank(F.col("t"))).collect()] == [False, False, True, True]
 
 
+@pytest.mark.parametrize("use", ["normalize"])
+def test_batches_of_long_texts_are_bounded(spark, use):
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        rows = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("a"), 200_000).alias("answer_a"))
+        rows = rows.select("answer_a", F.col("answer_a").alias("answer_b"), F.lit(1.0).alias("semantic_similarity"))
+        X.normalize(F.col("answer_a")) if use == "normalize" else C.flags(rows)
+        size = F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "int")
+        assert rows.select(size("answer_a").alias("n")).agg(F.max("n")).first()[0] <= 11
+    finally:
+        if held is not None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", held)
+
+
+
 def test_literals(spark):
     df = spark.createDataFrame([("<eos><e><pad>",)], "t string")
     assert df.select(X.replace_literals(F.col("t"), {"<e>": "E", "<eos>": "<end>"}, ["<pad>"])).first()[0] == "<end>E"
