@@ -25,7 +25,7 @@ def test_normalize(spark):
     assert [r[0] for r in df.select(X.blank(F.col("t"))).collect()] == [False, False, True, True]
 
 
-@pytest.mark.parametrize("use", ["normalize"])
+@pytest.mark.parametrize("use", ["normalize", "flags"])
 def test_batches_of_long_texts_are_bounded(spark, use):
     held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
