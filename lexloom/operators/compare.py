@@ -86,6 +86,16 @@ def misaligned(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataF
     return left.join(right, keys, "full_outer").filter(~F.col("value_a").eqNullSafe(F.col("value_b")))
 
 
+def misaligned_lists(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys, pos, value_a, value_b: the same for two lists of one row, place by place from 0. Nothing is
+    shuffled, and only places that differ become rows. A null list counts as an empty one."""
+    whole = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
+    both = F.transform(F.arrays_zip(whole(a).alias("a"), whole(b).alias("b")), lambda x, i: F.struct(i.alias("pos"), x["a"].alias("a"), x["b"].alias("b")))
+    off = F.filter(both, lambda x: ~x["a"].eqNullSafe(x["b"]))
+    found = rows.select(*keys, F.explode(off).alias("_x"))
+    return found.select(*keys, F.col("_x.pos").alias("pos"), F.col("_x.a").alias("value_a"), F.col("_x.b").alias("value_b"))
+
+
 def config_differences(a: DataFrame, b: DataFrame, shown: int = 8) -> DataFrame:
     """Two (key, value) tables to one row: how many keys differ, and the first of them by name."""
     off = misaligned(a, b, ["key"], "value")

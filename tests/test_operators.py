@@ -41,6 +41,18 @@ def test_batches_of_long_texts_are_bounded(spark, use):
 
 
 
+def test_lists_are_compared_within_their_row(spark, sf):
+    from lexloom import queries as Q
+
+    rows = [(1, ["a", "b"], ["a", "c", "d"]), (2, None, ["x"]), (3, ["y", None], ["y", None]), (4, [], None), (5, ["z"], [None])]
+    docs = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    sides = [docs.select("k", F.posexplode(c).alias("pos", "v")) for c in "ab"]
+    want = sorted(map(tuple, C.misaligned(*sides, ["k", "pos"], "v").collect()), key=str)
+    assert sorted(map(tuple, C.misaligned_lists(docs, ["k"], "a", "b").collect()), key=str) == want and len(want) == 4
+    plan = Q.token_misalignment(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_literals(spark):
     df = spark.createDataFrame([("<eos><e><pad>",)], "t string")
     assert df.select(X.replace_literals(F.col("t"), {"<e>": "E", "<eos>": "<end>"}, ["<pad>"])).first()[0] == "<end>E"
