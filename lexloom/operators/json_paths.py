@@ -16,6 +16,8 @@ from ..session import settled
 ID_NAME, LITERAL_NAME = r"_token_id$", r"(_token|^content|^tokens)$"
 SIZE_NAMES = ("vocab_size", "vocab_size_per_layer_input")
 DECODER = "added_tokens_decoder"
+#: Parts over which leaves are spread that ask for no id.
+SPREAD = 1024
 
 
 def leaves(docs: DataFrame, key: list[str], body: str = "body") -> DataFrame:
@@ -77,7 +79,8 @@ def remapped(nodes: DataFrame, key: list[str], ids: DataFrame, literals: DataFra
     well, where documents belong to several vocabularies. Numbers under names that end with `_token_id`, alone
     or in a list, and the keys of added_tokens_decoder get their new ids; one without an entry is an error. Strings
     under `*_token`, `content` and `tokens` get their new names, where they have one. What is gone goes: an entry
-    of a list, a value, and the whole object around a `content`. size: the new vocabulary's, for its sizes."""
+    of a list, a value, and the whole object around a `content`. size: the new vocabulary's, for its sizes.
+    Without `plan` both tables are one vocabulary's (some 10^5 rows) and are broadcast."""
     on = [plan] if plan else []
     name = F.try_element_at(F.filter("path", lambda s: s.startswith("k")), F.lit(-1))
     rows = nodes.withColumn("_n", F.substring(name, F.lit(2), F.length(name)))
@@ -88,8 +91,12 @@ def remapped(nodes: DataFrame, key: list[str], ids: DataFrame, literals: DataFra
     string = F.when(F.col("_n").rlike(LITERAL_NAME) & F.col("text").startswith('"'), F.try_variant_get(F.try_parse_json("text"), "$", "string"))
     rows = rows.withColumn("_id", own).withColumn("_literal", string)
     held = lambda tag: ids.select(*on, F.col("old_id").alias(f"_{tag}"), F.col("new_id").alias(f"_new_{tag}"), F.lit(True).alias(f"_known_{tag}"))
-    rows = rows.join(held("id"), [*on, "_id"], "left").join(held("entry"), [*on, "_entry"], "left")
-    rows = rows.join(literals.select(*on, F.col("token").alias("_literal"), F.col("new_token").alias("_new_literal"), F.lit(True).alias("_known_literal")), [*on, "_literal"], "left")
+    for tag, table in (("id", held("id")), ("entry", held("entry")), ("literal", literals.select(*on, F.col("token").alias("_literal"), F.col("new_token").alias("_new_literal"), F.lit(True).alias("_known_literal")))):
+        if plan is None:  # one vocabulary's table: every document asks for the same few ids
+            rows = rows.join(F.broadcast(table), f"_{tag}", "left")
+        else:  # most leaves ask for nothing; they are spread over all tasks
+            spread = F.when(F.col(f"_{tag}").isNull(), F.pmod(F.xxhash64(*key, "path"), F.lit(SPREAD))).otherwise(0)
+            rows = rows.withColumn("_spread", spread).join(table.withColumn("_spread", F.lit(0).cast("long")), [*on, f"_{tag}", "_spread"], "left").drop("_spread")
     lost = lambda tag: F.col(f"_{tag}").isNotNull() & F.col(f"_known_{tag}").isNull()
     gone = lambda tag: F.coalesce(F.col(f"_known_{tag}") & F.col(f"_new_{tag}").isNull(), F.lit(False))
     sure = F.when(lost("id"), F.col("_id")).when(lost("entry"), F.col("_entry"))
@@ -99,9 +106,9 @@ def remapped(nodes: DataFrame, key: list[str], ids: DataFrame, literals: DataFra
         text = text.when(F.col("_n").isin(*SIZE_NAMES), size.cast("string"))
     path = F.when(F.col("_new_entry").isNotNull(), F.transform("path", lambda s, i: F.when(i == at, F.concat(F.lit("k"), F.col("_new_entry").cast("string"))).otherwise(s))).otherwise(F.col("path"))
     rows = rows.withColumn("_text", text.otherwise(F.col("text"))).withColumn("_off", gone("id") | gone("entry") | gone("literal"))
-    # the whole object around a `content` that is gone
+    # the whole object around a `content` that is gone: a document's such paths meet its leaves once
     around = rows.filter((F.col("_n") == "content") & gone("literal")).select(*key, F.slice("path", 1, F.size("path") - 1).alias("_around"))
-    parts = rows.filter("not _off").withColumn("_around", F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", 1, n))))
-    inside = parts.join(around, [*key, "_around"], "left_semi").select(*key, "path").distinct()
-    kept = rows.filter("not _off").join(inside, [*key, "path"], "left_anti")
+    around = around.groupBy(*key).agg(F.collect_set("_around").alias("_around"))
+    inside = F.exists("_around", lambda p: F.slice("path", F.lit(1), F.size(p)) == p)
+    kept = rows.filter("not _off").join(around, key, "left").filter(~F.coalesce(inside, F.lit(False)))
     return kept.select(*key, path.alias("path"), F.col("_text").alias("text"))

@@ -169,3 +169,11 @@ def test_experts(spark, activation):
             g, u = np.split(gate_up[e] @ x[t], 2)
             want[t] = want.get(t, 0) + w * (down[e] @ (A.ACTIVATIONS[activation](g) * u))
         assert got.keys() == want.keys() and all(np.allclose(got[t], want[t]) for t in want)
+
+
+def test_remapping_makes_no_row_a_prefix(spark):
+    nodes = spark.createDataFrame([(1, ["ka_token_id"], "3"), (1, ["kx", "kcontent"], '"g"'), (1, ["kx", "ky"], "1"), (2, ["kx", "ky"], "1")], "i int, path array<string>, text string")
+    ids = spark.createDataFrame([(3, 5)], "old_id long, new_id long")
+    out = J.remapped(nodes, ["i"], ids, spark.createDataFrame([("g", None)], "token string, new_token string"))
+    assert sorted((r.i, r.path, r.text) for r in out.collect()) == [(1, ["ka_token_id"], "5"), (2, ["kx", "ky"], "1")]
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
