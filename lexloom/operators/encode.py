@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SPACE
+from ..session import bound_batches
 
 
 def merge_word(text: str, rank: dict[tuple[str, str], int]) -> list[str]:
@@ -42,6 +43,7 @@ def merge_word(text: str, rank: dict[tuple[str, str], int]) -> list[str]:
 
 def encode_words(words: DataFrame, word: str, ranks: dict[str, dict[tuple[str, str], int]]) -> DataFrame:
     """Adds the tokens of each word under each named table of ranks (one vocabulary's), in Arrow batches."""
+    bound_batches(words.sparkSession)
 
     def one(rank: dict[tuple[str, str], int]) -> Column:
         def batch(values: pd.Series) -> pd.Series:
@@ -52,14 +54,44 @@ def encode_words(words: DataFrame, word: str, ranks: dict[str, dict[tuple[str, s
     return words.withColumns({name: one(rank) for name, rank in ranks.items()})
 
 
+class Known(dict):
+    """word to its number of tokens under the ranks `a`, negative if `b` gives other tokens; worked out when first asked."""
+
+    #: Words that a worker keeps, and the longest of them in characters.
+    most, longest = 1_000_000, 256
+
+    def __init__(self, a: dict[tuple[str, str], int], b: dict[tuple[str, str], int]):
+        super().__init__()
+        self.a, self.b = a, b
+
+    def __missing__(self, word: str) -> int:
+        one = merge_word(word, self.a)
+        n = len(one) if one == merge_word(word, self.b) else -len(one)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = n
+        return n
+
+
+@lru_cache(maxsize=1)
+def known(a: tuple, b: tuple) -> Known:
+    """One worker's words under two tables of ranks."""
+    return Known(dict(a), dict(b))
+
+
 def same_encoding(docs: DataFrame, key: str, text: str, a: dict[tuple[str, str], int], b: dict[tuple[str, str], int]) -> DataFrame:
-    """(key, n_tokens, same) of each row: its number of tokens under the ranks `a`, and whether `b` gives
-    the same tokens. Words (split on white space) are counted per row, each different word is
-    encoded once, and the two meet in a join. Null and blank texts have no token."""
-    split = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), f"{SPACE}+"), lambda w: w != "")
-    rows = docs.select(F.col(key), split.alias("_w"))
-    each = rows.select(key, F.explode_outer("_w").alias("_word")).groupBy(key, "_word").agg(F.count(F.lit(1)).alias("_n"))
-    words = each.select("_word").filter("_word is not null").distinct()
-    coded = encode_words(words, "_word", {"_a": a, "_b": b}).select("_word", F.size("_a").alias("_tokens"), (F.col("_a") == F.col("_b")).alias("_same"))
-    out = each.join(coded, "_word", "left").groupBy(key)
-    return out.agg(F.coalesce(F.sum(F.col("_n") * F.col("_tokens")), F.lit(0)).cast("int").alias("n_tokens"), F.bool_and(F.coalesce("_same", F.lit(True))).alias("same"))
+    """(key, n_tokens, same) of each key: its number of tokens under the ranks `a`, and whether `b` gives
+    the same tokens. Words (split on white space) are looked up where the text is, and each different word is
+    encoded once a worker; only the numbers are grouped by key. Null and blank texts have no token."""
+    bound_batches(docs.sparkSession)
+    ranks = tuple(a.items()), tuple(b.items())
+
+    def batch(values: pd.Series) -> pd.DataFrame:
+        of = known(*ranks).__getitem__
+        found = [list(map(of, x.split())) if x else [] for x in values]
+        return pd.DataFrame({"n": [sum(map(abs, x)) for x in found], "same": [min(x, default=1) > 0 for x in found]})
+
+    coded = F.pandas_udf(batch, "n long, same boolean")(F.coalesce(F.col(text), F.lit("")))
+    out = docs.select(F.col(key), coded.alias("_c")).groupBy(key)
+    return out.agg(F.sum("_c.n").cast("int").alias("n_tokens"), F.bool_and("_c.same").alias("same"))

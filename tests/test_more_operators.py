@@ -203,3 +203,10 @@ def test_run_plans():
         with pytest.raises(ValueError):
             check_options(options, ranges, groups)
     assert json.loads(recipe({"b": 1, "a": None}, {"ind": ["y", "x"]})) == {"options": {"a": None, "b": 1}, "sources": {"ind": ["x", "y"]}}
+
+
+def test_words_are_encoded_where_the_text_is(spark):
+    docs = spark.createDataFrame([(1, "ab\x1cab  ba"), (1, "ab"), (2, None), (3, " 　")], "d int, t string")
+    out = same_encoding(docs, "d", "t", {("a", "b"): 0}, {("a", "b"): 0, ("b", "a"): 1})
+    assert {r.d: (r.n_tokens, r.same) for r in out.collect()} == {1: (5, False), 2: (0, True), 3: (0, True)}
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # no row a word
