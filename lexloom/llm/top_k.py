@@ -4,10 +4,11 @@ Rows go to the nearest of a few coarse centres, and the rows of a centre to shar
 so a shard is a ball in space. A task gets one shard's rows, then the queries in batches (a sort
 within the partition puts them in this order). For a batch it goes down the tree level by level: a
 node's bound is q . centre + |q| * radius, and never over its parent's; nodes below the k-th score
-known so far are cut. The leaves left are visited in falling order of bound, and the k-th score
-rises as they are. The first pass searches the shards about the centre of the highest product with
-a query; its k-th score then rules out all centres whose own bound is lower, and goes with the
-query to the shards of the others, which so begin with it."""
+known so far are cut. The leaves left are visited in falling order of bound, in rounds of twice as
+many, a leaf once a round for all queries that are due there; the k-th score rises from round to
+round, and only scores that reach it are sorted. The first pass searches the shards about the
+centre of the highest product with a query; its k-th score then rules out all centres whose own
+bound is lower, and goes with the query to the shards of the others, which so begin with it."""
 
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ from .common import bound_batches, cleaned, written
 
 #: Most rows of a shard, rows of a leaf, queries that are searched at once.
 SHARD_ROWS, LEAF_ROWS, BATCH = 4096, 32, 1024
+#: Scores found that are held before they are taken into the k best.
+HITS = 1 << 17
 #: Most coarse centres, most numbers in them, and rows of the sample that they are fitted on.
 CENTRES, CENTRE_NUMBERS, SAMPLE_ROWS = 1024, 1 << 20, 8192
 LONG = (1 << 63) - 1
@@ -61,35 +64,61 @@ class BallTree:
                 here = queries @ centre.T + norm[:, None] * radius + slack[:, None]
             bound = np.minimum(bound, np.where(np.isnan(here), np.inf, here))
             bound[bound < least[:, None]] = -np.inf
-        visit = np.argsort(-bound, axis=1, kind="stable")
+        turn = np.empty(bound.shape, np.int64)
+        np.put_along_axis(turn, np.argsort(-bound, axis=1, kind="stable"), np.arange(bound.shape[1])[None, :], axis=1)
         kind = holds(queries, self.points)
         none = none_of(kind)
         best = np.full((len(queries), k), none, kind)
         owner = np.full((len(queries), k), np.iinfo(np.int64).max)
-        least, visited = least.copy(), 0
-        for turn in range(bound.shape[1]):
-            leaf = visit[:, turn]
-            top = bound[np.arange(len(queries)), leaf]
-            live = np.flatnonzero((top >= least) & (top > -np.inf))
-            if not len(live):
-                break
-            for node in np.unique(leaf[live]):
-                rows = live[leaf[live] == node]
+        least, visited, start, held = least.copy(), 0, 0, 0
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            nonlocal held
+            if found:
+                merge(best, owner, *(np.concatenate(x) for x in zip(*found, strict=True)))
+                found.clear()
+                held = 0
+                np.maximum(least, below(best[:, -1], none), out=least)
+
+        # the best leaf of each query, then the next, the next two, four and so on: the k-th score rises between
+        # them, and a leaf is taken for many queries at once
+        while start < bound.shape[1]:
+            stop = max(1, 2 * start)
+            live = (turn >= start) & (turn < stop) & (bound >= least[:, None]) & (bound > -np.inf)
+            for node in np.flatnonzero(live.any(axis=0)):
+                rows = np.flatnonzero(live[:, node])
                 a, b = self.cuts[node], self.cuts[node + 1]
                 visited += len(rows)
                 score = products(queries[rows], self.points[a:b], kind)
-                score[keys[rows][:, None] == self.keys[a:b]] = none
-                scores = np.concatenate([best[rows], score], axis=1)
-                owners = np.concatenate([owner[rows], np.broadcast_to(self.keys[a:b], score.shape)], axis=1)
-                by_key = np.argsort(owners, axis=1, kind="stable")
-                first = np.argsort(-np.take_along_axis(scores, by_key, axis=1), axis=1, kind="stable")[:, :k]
-                first = np.take_along_axis(by_key, first, axis=1)
-                best[rows] = np.take_along_axis(scores, first, axis=1)
-                owner[rows] = np.take_along_axis(owners, first, axis=1)
-            least = np.maximum(least, below(best[:, -1], none))
+                q, r = np.nonzero(score >= least[rows][:, None])
+                score, q, own = score[q, r], rows[q], self.keys[a:b][r]
+                # of those that tie with the k-th only smaller keys get in
+                new = (keys[q] != own) & ((score > best[q, -1]) | (own < owner[q, -1]))
+                found.append((q[new], score[new], own[new]))
+                held += int(new.sum())
+                if held > HITS:
+                    settle()
+            settle()
+            if not ((turn >= stop) & (bound >= least[:, None]) & (bound > -np.inf)).any():
+                break
+            start = stop
         return best, owner, visited
 
 
+def merge(best: np.ndarray, owner: np.ndarray, rows: np.ndarray, scores: np.ndarray, keys: np.ndarray) -> None:
+    """Takes found (row, score, key) into the k best of their rows, highest score first, ties to the smaller key."""
+    k, own = best.shape[1], np.unique(rows)
+    rows = np.concatenate([np.repeat(own, k), rows])
+    scores, keys = np.concatenate([best[own].ravel(), scores]), np.concatenate([owner[own].ravel(), keys])
+    order = np.argsort(keys, kind="stable")
+    order = order[np.argsort(-scores[order], kind="stable")]
+    order = order[np.argsort(rows[order], kind="stable")]
+    begin = np.searchsorted(rows[order], own)  # each row has k at least
+    first = order[begin[:, None] + np.arange(k)]
+    best[own], owner[own] = scores[first], keys[first]
+
+
 def room(norm: np.ndarray, longest: float) -> np.ndarray:
     """What a bound may be short of by rounding."""
     with np.errstate(over="ignore"):
@@ -111,7 +140,7 @@ def products(a: np.ndarray, b: np.ndarray, kind: type) -> np.ndarray:
     if kind is object:
         a, b = (np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) for x in (a, b))
         return a @ b.T
-    return a.astype(kind) @ b.astype(kind).T
+    return a.astype(kind, copy=False) @ b.astype(kind, copy=False).T
 
 
 def below(scores: np.ndarray, none: float | int) -> np.ndarray:

@@ -69,6 +69,29 @@ def test_ball_tree_cuts_leaves():
     assert (again == best).all() and fewer <= visited
 
 
+@pytest.mark.parametrize("size", [1, 1e7, 1e12])
+def test_ball_tree_takes_a_leaf_for_many_queries(monkeypatch, size):
+    """Vectors in all directions rule out no leaf: each is taken in a few rounds, not once for every query's place of it."""
+    from lexloom.llm import top_k
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(1024, 48))
+    points = np.floor(points / np.linalg.norm(points, axis=1)[:, None] * 256 * size)
+    points[900:] = points[0]  # ties
+    keys, taken, plain = rng.permutation(1024), [0], top_k.products
+
+    def counted(a, b, kind):
+        taken[0] += 1
+        return plain(a, b, kind)
+
+    monkeypatch.setattr(top_k, "products", counted)
+    best, owner, _ = top_k.BallTree(keys, points, leaf=16).search(keys[::5], points[::5], 5, np.full(205, -np.inf))
+    assert taken[0] <= 64 * 7
+    for i in range(0, 205, 8):
+        want = sorted((-sum(int(x) * int(y) for x, y in zip(points[5 * i], p)), j) for j, p in zip(keys, points) if j != keys[5 * i])[:5]
+        assert [(-int(s), j) for s, j in zip(best[i], owner[i])] == want
+
+
 def test_language(spark):
     rng = random.Random(2)
     words = {"en": ["the", "and", "house", "thing"], "de": ["der", "und", "straße", "ding"], "fr": ["le", "été", "chose", "avoir"]}
